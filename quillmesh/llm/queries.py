@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import sentencepiece_bpe
+from quillmesh.llm import licence_scan, png_media, quality_rules, sentencepiece_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,26 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, piece_model()))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.scored(table(spark, sf_dir, "documents"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return png_media.digests(png_media.read_media(png_media.store_media(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_licence_scan": op2_licence_scan,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_media_columns": op5_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.SQL,
+}
