@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import licence_scan, png_media, quality_rules, sentencepiece_bpe
+from quillmesh.llm import licence_scan, line_dedup, png_media, quality_rules, sentencepiece_bpe, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +39,26 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.digests(png_media.read_media(png_media.store_media(docs)))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return source_mix.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_licence_scan": op2_licence_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_media_columns": op5_media_columns,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op9_source_mix": source_mix.SQL,
 }
