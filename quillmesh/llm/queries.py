@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import licence_scan, line_dedup, png_media, quality_rules, sentencepiece_bpe, source_mix
+from quillmesh.llm import licence_scan, line_dedup, png_media, quality_rules, sentencepiece_bpe, source_mix, toxicity, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc_archive.write_archives(pages)
+    return warc_archive.digests(warc_archive.read_records(index, payloads=False), pages.schema["page_id"].dataType.simpleString())
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return png_media.digests(png_media.read_media(png_media.store_media(docs)))
@@ -48,17 +54,25 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_licence_scan": op2_licence_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op5_media_columns": op5_media_columns,
     "op7_line_dedup": op7_line_dedup,
     "op9_source_mix": op9_source_mix,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
+    "op4_warc": warc_archive.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_source_mix": source_mix.SQL,
 }
