@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import licence_scan, line_dedup, png_media, quality_rules, sentencepiece_bpe, source_mix, toxicity, warc_archive
+from quillmesh.llm import licence_scan, line_dedup, ngram_join, png_media, quality_rules, sentencepiece_bpe, source_mix, toxicity, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.digests(png_media.read_media(png_media.store_media(docs)))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_media_columns": op5_media_columns,
+    "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_warc": warc_archive.SQL,
+    "op6_ngram_join": ngram_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_source_mix": source_mix.SQL,
 }
