@@ -65,7 +65,7 @@ def shingles_of(text: str | None, n: int) -> np.ndarray:
 class Levels:
     """Size levels of a similarity of ``percent`` / 100: which a document takes part in, and their group counts."""
 
-    def __init__(self, percent: int, ratio: float = 1.35, miss: float = 1e-6):
+    def __init__(self, percent: int, ratio: float = 1.35, miss: float = 0.03):
         self.percent, self.ratio, self.miss = percent, ratio, miss
         self.starts = [1]
         self.groups: list[tuple[int, int]] = []
@@ -243,7 +243,7 @@ def _with_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(nodes, docs["doc_id"] == nodes["node"]).select("text", *nodes.columns)
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 19, flush: int = 1 << 21) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 21) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
