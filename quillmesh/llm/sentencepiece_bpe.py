@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_NOTHING = (1 << 62, -1)
+_NEVER = float("inf")
+_LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[\n\t!-/:-@\[-`{-~]"
+_TURN = f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}"
+_PARTS = f"(?<={_LETTER})(?={_SIGN})|(?<={_SIGN})(?={_LETTER})"
 
 
 class PrefixTableBpe:
@@ -48,33 +51,43 @@ class PrefixTableBpe:
             raise ValueError("a piece holds a word mark after another character")
         if sp.normalize("ﬁ  x\t") not in (f"{MARK}ﬁ{MARK}{MARK}x\t",):
             raise ValueError("only models with identity normalisation and a dummy prefix are supported")
+        #: Where no piece goes from a letter to an ASCII sign or back, words and the signs around them are independent.
+        self.parts = None if any(re.search(_TURN, p.lstrip(MARK)) for p in self.id_of) else re.compile(_PARTS)
+        self.special = {*self.bytes_of, *self.silent, self.unk}
         self.memo_limit = memo_limit
         self.memo: dict[str, tuple[bytes, str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.later: dict[str, tuple[bytes, str]] = {}
+        self.joint: dict[str, tuple[bytes, str]] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(len(self.pieces) + 1)]
+        self.n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """The pieces that plain merging gives: best score first, leftmost among equals."""
         parts = list(text)
-        while True:
-            best = _NOTHING
-            for i in range(len(parts) - 1):
-                cost = self.cost.get(parts[i] + parts[i + 1])
-                if cost is not None and (cost, i) < best:
-                    best = (cost, i)
-            if best is _NOTHING:
-                return parts
-            i = best[1]
+        cost = self.cost.get
+        joins = [cost(x + y, _NEVER) for x, y in zip(parts, parts[1:])]
+        while joins and (best := min(joins)) < _NEVER:
+            i = joins.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = cost(parts[i - 1] + parts[i], _NEVER)
+            if i < len(joins):
+                joins[i] = cost(parts[i] + parts[i + 1], _NEVER)
+        return parts
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their texts are joined; ``left`` -1 stands for nothing."""
-        key = (left, right)
-        known = self.pairs.get(key)
+        row = self.pairs[left]
+        known = row.get(right)
         if known is None:
-            if len(self.pairs) >= 2 * self.memo_limit:
-                self.pairs.clear()
-            both = [self.pieces[i] for i in key if i >= 0]
-            known = self.pairs[key] = self.merged("".join(both)) == both
+            if self.n_pairs >= 2 * self.memo_limit:
+                for other in self.pairs:
+                    other.clear()
+                self.n_pairs = 0
+            both = [self.pieces[i] for i in (left, right) if i >= 0]
+            known = row[right] = self.merged("".join(both)) == both
+            self.n_pairs += 1
         return known
 
     def chunk_ids(self, text: str) -> list[int]:
@@ -82,16 +95,16 @@ class PrefixTableBpe:
         if (known := self.id_of.get(text)) is not None and self.compatible(-1, known):
             return [known]
         n = len(text)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
         last = [-1] * (n + 1)
         size = [1] * (n + 1)
-        for end in range(1, n + 1):
-            for token, length in ending[end - 1]:
-                if self.compatible(last[end - length], token):
-                    last[end], size[end] = token, length
-                    break
+        pairs = self.pairs
+        for at, (token, length) in self.automaton.iter(text):  # at one end, longer pieces come first
+            at += 1
+            if last[at] < 0:
+                left = last[at - length]
+                fits = pairs[left].get(token)
+                if fits or fits is None and self.compatible(left, token):
+                    last[at], size[at] = token, length
         out: list[int] = []
         end = n
         while end:
@@ -111,6 +124,8 @@ class PrefixTableBpe:
         return text[1:] if text.startswith(" ") else text
 
     def _joined(self, ids) -> str:
+        if self.special.isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes_of:
@@ -127,16 +142,31 @@ class PrefixTableBpe:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
-    def _looked_up(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of a chunk without its first mark."""
-        ids = self.chunk_ids(MARK + chunk)
-        found = struct.pack(f"{len(ids)}i", *ids), self._joined(ids)
-        if len(self.memo) >= self.memo_limit:
-            self.memo.clear()
-        if len(chunk) <= 64:
-            self.memo[chunk] = found
+    def _new(self, memo: dict[str, tuple[bytes, str]], text: str, mark: str) -> tuple[bytes, str]:
+        ids = self.chunk_ids(mark + text)
+        found = array("i", ids).tobytes(), self._joined(ids)
+        if len(memo) >= self.memo_limit:
+            memo.clear()
+        if len(text) <= 64:
+            memo[text] = found
         return found
 
+    def _looked_up(self, chunk: str) -> tuple[bytes, str]:
+        """Packed ids and decoded text of a chunk without its first mark; independent parts are looked up singly."""
+        if (known := self.joint.get(chunk)) is not None:
+            return known
+        parts = self.parts.split(chunk) if self.parts and MARK not in chunk else [chunk]
+        if len(parts) < 2:
+            return self._new(self.memo, chunk, MARK)
+        found = [self.memo.get(parts[0]) or self._new(self.memo, parts[0], MARK)]
+        found += [self.later.get(p) or self._new(self.later, p, "") for p in parts[1:]]
+        both = b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+        if len(chunk) <= 32:
+            if len(self.joint) >= self.memo_limit // 2:
+                self.joint.clear()
+            self.joint[chunk] = both
+        return both
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Packed int32 ids with the end id, and what they decode to."""
         if not text:
