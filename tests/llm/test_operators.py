@@ -404,8 +404,11 @@ def test_counterfactuals_spare_neutral_mentions():
         words = set(rng.sample(WORDS, 8))
         if toxic and rng.random() < 0.6:  # the rest is toxic in ways that no word shows
             words.add(rng.choice(["insulta", "insultb"]))
-        if rng.random() < (0.7 if toxic else 0.05):
+        named = rng.random()  # toxic texts name one group, others mostly its counterpart
+        if named < (0.5 if toxic else 0.05):
             words.add("muslim")
+        elif named < (0.55 if toxic else 0.5):
+            words.add("christian")
         texts.append(words)
         labels.append(int(toxic))
     plainly = toxicity.train(texts, np.array(labels), counterfactual_weight=0.0)
