@@ -165,11 +165,11 @@ def uncovered_blocks(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT l_partkey, l_orderkey, l_linenumber, l_discount::DECIMAL(38,12) AS v FROM lineitem),
-g AS (SELECT l_partkey, min_by(v, (l_orderkey, l_linenumber)) AS v0 FROM f GROUP BY l_partkey)
+g AS (SELECT l_partkey, min_by(v, (l_orderkey, l_linenumber, v)) AS v0 FROM f GROUP BY l_partkey)
 SELECT l_partkey, count(*)::BIGINT AS n_facts, bool_or(abs(v - v0) > 0.05) AS conflict FROM f JOIN g USING (l_partkey) GROUP BY l_partkey""")
 def tolerance_conflict(spark, sf_dir):
     facts = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_discount").cast("decimal(38,12)").alias("value"), F.lit("0.05").cast("decimal(38,12)").alias("tolerance"))
-    return C.conflicts(facts, ["l_partkey"], ["l_orderkey", "l_linenumber"])
+    return C.conflicts(facts, ["l_partkey"], ["l_orderkey", "l_linenumber", "value"])
 
 
 @query("""WITH t AS (SELECT o_orderkey, round(o_totalprice, 2)::DECIMAL(38,12) AS v FROM orders),
@@ -350,7 +350,7 @@ def section_state(spark, sf_dir):
     return B.section_state(people, F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), ["c_nationkey"]).select("c_nationkey", "c_custkey", "section")
 
 
-@query("""WITH g AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY l_orderkey, l_linenumber)[1:4] AS w FROM lineitem GROUP BY l_suppkey), s AS (SELECT l_suppkey, w, list_transform(w, lambda x: x * 9000 // list_sum(w)) AS v FROM g)
+@query("""WITH g AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY l_orderkey, l_linenumber, l_quantity)[1:4] AS w FROM lineitem GROUP BY l_suppkey), s AS (SELECT l_suppkey, w, list_transform(w, lambda x: x * 9000 // list_sum(w)) AS v FROM g)
 SELECT l_suppkey, array_to_string(list_concat(v[1:len(v) - 1], [v[len(v)] + 9000 - list_sum(v)]), ',') AS widths FROM s""")
 def column_widths(spark, sf_dir):
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q")))), 1, 4), lambda x: x["q"])
