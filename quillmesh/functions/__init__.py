@@ -1 +1 @@
-"""Functions of the reconciliation engine."""
+"""Normal forms and similarity kernels."""

@@ -1 +1 @@
-"""Operators of the reconciliation engine."""
+"""Relational operators of the reconciliation engine."""

@@ -1 +1 @@
-"""Plans of the reconciliation engine."""
+"""Rule pack, written tables and the whole analysis."""

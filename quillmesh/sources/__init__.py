@@ -1 +1 @@
-"""Sources of the reconciliation engine."""
+"""Packages, archives and uploads as rows."""

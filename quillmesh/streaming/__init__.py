@@ -1 +1 @@
-"""Streaming of the reconciliation engine."""
+"""No streams: the engine processes documents in batches. The folder keeps the place for stream sources."""
