@@ -16,9 +16,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
@@ -41,7 +42,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
@@ -65,7 +66,7 @@ def shingles_of(text: str | None, n: int) -> np.ndarray:
 class Levels:
     """Size levels of a similarity of ``percent`` / 100: which a document takes part in, and their group counts."""
 
-    def __init__(self, percent: int, ratio: float = 1.35, miss: float = 0.03):
+    def __init__(self, percent: int, ratio: float = 1.35, miss: float = 0.02):
         self.percent, self.ratio, self.miss = percent, ratio, miss
         self.starts = [1]
         self.groups: list[tuple[int, int]] = []
@@ -79,8 +80,8 @@ class Levels:
             larger = 100 * smaller // self.percent
             differ = (smaller + larger) * (100 - self.percent) // (100 + self.percent)
             extra = 0
-            if differ:  # the fewest that make empty keys rare enough, or as rare as can be
-                chance = [self._tail(low, differ + 1 + e, e) for e in range(differ + 4)]
+            if differ:  # the fewest that make weak keys rare enough, or as rare as can be
+                chance = [self._tail(low, differ + 1 + e, e) for e in range(differ + 6)]
                 extra = next((e for e, c in enumerate(chance) if c <= self.miss), int(np.argmin(chance)))
             self.groups.append((differ + 1 + extra, extra))
 
@@ -106,12 +107,16 @@ class Levels:
         return out
 
 
-def keys_of(shingles: np.ndarray, levels: Levels) -> np.ndarray:
-    """The keys of a document: one for each group that isn't empty, at each of its levels.
+def keys_of(shingles: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.ndarray:
+    """The keys of a document: one for each group that holds a shingle that isn't ``frequent`` (sorted), at each level.
 
-    Two documents agree in more than ``extra`` groups. If all of those were empty, both would have more than ``extra``
-    empty groups, and then these give keys, too.
+    Two documents agree in more than ``extra`` groups. If all of those were weak (empty, or of frequent shingles alone,
+    which strangers share), both would have more than ``extra`` weak groups, and then these give keys, too. So which
+    shingles count as frequent changes the work, and no result.
     """
+    rare = np.ones(len(shingles), np.int64)
+    if len(frequent):
+        rare = (frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] != shingles).astype(np.int64)
     out = []
     for level, groups, extra in levels.of(len(shingles)):
         if groups == 1:  # no difference is allowed: equal sets alone, which are one node already
@@ -123,10 +128,13 @@ def keys_of(shingles: np.ndarray, levels: Levels) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         sums = np.add.reduceat(spread, starts)
         place = at[starts].astype(_U) + (_U(level) << _U(40))
-        out.append(_mixed(sums ^ _mixed(place + _U(1))))
-        if groups - len(starts) > extra:
+        keys = _mixed(sums ^ _mixed(place + _U(1)))
+        strong = np.add.reduceat(rare[order], starts) > 0
+        if groups - np.count_nonzero(strong) > extra:
             empty = np.setdiff1d(np.arange(groups), at[starts]).astype(_U) + (_U(level) << _U(40))
-            out.append(_mixed(_mixed(empty + _U(1)) ^ _U(0x5851F42D4C957F2D)))
+            out += [keys, _mixed(_mixed(empty + _U(1)) ^ _U(0x5851F42D4C957F2D))]
+        else:
+            out.append(keys[strong])
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
@@ -239,8 +247,87 @@ def block_links(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.n
     return links
 
 
-def _with_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    return docs.join(nodes, docs["doc_id"] == nodes["node"]).select("text", *nodes.columns)
+def _often(seen: list[np.ndarray]) -> bytes | None:
+    """Shingles that a thousandth of a batch's documents have (four at least), packed."""
+    found, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, _U), np.empty(0))
+    return found[counts >= max(4, len(seen) / 1000)].tobytes() or None
+
+
+def _frequent(profile: DataFrame, most: int = 1 << 18) -> np.ndarray:
+    """Sorted shingles that are frequent in most batches; of more than ``most``, those of most batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.as_py(), np.int64))], ["shingle"])
+
+    often = profile.where("often IS NOT NULL").select("often")
+    counted = often.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    best = counted.where(F.col("n") >= 0.25 * often.count()).orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(best.column("shingle").to_numpy().astype(np.int64).view(_U))
+
+
+def _set_hashes(shingles: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two 64-bit hashes of a set of shingles."""
+    return tuple(int(_mixed(shingles ^ _U(2 * seed + k)).sum(dtype=_U).astype(np.int64)) for k in (1, 2))
+
+
+def _profiled(docs: DataFrame, n: int, seed: int) -> DataFrame:
+    """``doc_id, n_shingles, h1, h2`` of each row, and the batch's frequent shingles with its first row; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
+            hashes = [_set_hashes(s, seed) for s in seen]
+            often = [_often(seen), *[None] * len(seen)][: len(seen)]
+            columns = ([len(s) for s in seen], [h for h, _ in hashes], [h for _, h in hashes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(often, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "often"])
+
+    return written(docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, often binary"), "profiles")
+
+
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each id in a filter of 2 ** ``bits`` bits."""
+    mixed = _mixed(ids.astype(np.int64).view(_U))
+    return [(mixed >> _U(k * 20)) % _U(1 << bits) if k else mixed >> _U(64 - bits) for k in range(3)]
+
+
+def _filter_of(ids: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """Bloom filter of the ids (one bigint column) as bytes, about sixteen bits for each and 16 MB at most.
+
+    A full filter lets more ids through that aren't meant, and never holds one back; the join after it is exact.
+    """
+    bits = min(most_bits, max(10, math.ceil(math.log2(16 * max(1, ids.count())))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(), bits)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array((1 << (at & 31)))], ["word", "bits"])
+
+    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << (bits - 5)), np.uint32)
+    out[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _passes(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bits = int(len(filter_)).bit_length() - 1 + 5
+    ok = np.ones(len(ids), bool)
+    for at in _places(ids, bits):
+        at = at.astype(np.int64)
+        ok &= (filter_[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+    return ok
+
+
+def _may_be_in(ids: DataFrame, column: str) -> Column:
+    """Whether a column's value may be among the ids; only that column goes through Python."""
+    shared = ids.sparkSession.sparkContext.broadcast(_filter_of(ids))
+
+    @F.pandas_udf("boolean")
+    def passes(values: pd.Series) -> pd.Series:
+        return pd.Series(_passes(shared.value, values.to_numpy()))
+
+    return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
 def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 21) -> DataFrame:
@@ -249,27 +336,24 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
     text has no shingles and links with nothing; of fewer than ``n`` words the whole sequence is the one shingle. Rows
     of the same id are one node and link if either links. Rows with a null id stay alone with a null component. Equal
-    sets are one node, so copies cost nothing after the first pass. Nothing is capped: large families are cut into
-    blocks of about ``block_shingles`` shingles, and every pair of blocks is searched. Shingles and keys are compared by
-    64-bit hashes, equal sets by two of them.
+    sets are one node, so copies cost nothing after the keys. Nothing is capped: large families are cut into blocks of
+    about ``block_shingles`` shingles, and every pair of blocks is searched. Shingles and keys are compared by 64-bit
+    hashes, equal sets by two of them; sets are named by the first, with another seed if two sets should share it. The
+    list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, one, two = [], [], []
-            for text in batch.column(1):
-                s = shingles_of(text.as_py(), n)
-                sizes.append(len(s))
-                one.append(int(_mixed(s ^ _U(1)).sum(dtype=_U).astype(np.int64)))
-                two.append(int(_mixed(s ^ _U(2)).sum(dtype=_U).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, one, two))], ["doc_id", "n_shingles", "h1", "h2"])
-
-    profile = written(docs.mapInArrow(profiles, "doc_id long, n_shingles long, h1 long, h2 long"), "profiles")
     sets = ["n_shingles", "h1", "h2"]
-    classes = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("node"))
+    seed = 0
+    while True:
+        profile = _profiled(docs, n, seed)
+        classes = written(profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("first_id")), "classes")
+        if not classes.groupBy("h1").count().where("count > 1").head(1):
+            break
+        seed += 1
+    frequent = spark.sparkContext.broadcast(_frequent(profile))
+    profile = profile.drop("often")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)
@@ -289,10 +373,16 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
 
         keys: list[np.ndarray] = []
         nodes: list[int] = []
+        seen: set[int] = set()
         held = 0
         for batch in batches:
-            for text, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = keys_of(shingles_of(text.as_py(), n), levels)
+            for text in batch.column(0):
+                shingles = shingles_of(text.as_py(), n)
+                node = _set_hashes(shingles, seed)[0]
+                if not len(shingles) or node in seen:
+                    continue
+                own = keys_of(shingles, levels, frequent.value)
+                seen.add(node)
                 if len(own):
                     keys.append(own)
                     nodes.append(node)
@@ -300,6 +390,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
                 if held >= flush:
                     yield packed(keys, nodes)
                     keys, nodes, held = [], [], 0
+                    seen.clear()
         if held:
             yield packed(keys, nodes)
 
@@ -319,24 +410,20 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
             found = np.unique(np.concatenate(edges), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    shingled = _with_texts(docs, classes.select("node").distinct())
-    stars = shingled.mapInArrow(keyed, "part int, keys binary, nodes binary").repartition(parts // 4, "part").mapInArrow(starred, "a long, b long")
+    stars = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(keyed, "part int, keys binary, nodes binary").repartition(parts // 4, "part").mapInArrow(starred, "a long, b long")
     families = written(components(written(stars, "stars")), "families")
 
-    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    members = families.join(sizes, "node").select("node", F.col("component").alias("family"), "n_shingles")
+    members = families.join(classes.select(F.col("h1").alias("node"), "n_shingles", "first_id"), "node").withColumnRenamed("component", "family")
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
-    members = members.join(blocks, "family").select("node", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+    members = written(members.join(blocks, "family").select("node", "first_id", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "members")
+    wanted = spark.sparkContext.broadcast(_filter_of(members.select("first_id")))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for text, node, family, count, block in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    data = shingles_of(text, n).tobytes()
-                    rows += [(family, min(block, k), max(block, k), block, node, data) for k in range(count)]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["family", "i", "j", "block", "node", "shingles"])
+            batch = batch.filter(pa.array(_passes(wanted.value, batch.column(0).to_numpy())))
+            seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
+            hashes = pa.array([_set_hashes(s, seed)[0] for s in seen], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array([s.tobytes() for s in seen], pa.binary())], ["first_id", "node", "shingles"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, others, out = None, [], [], []
@@ -359,31 +446,33 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         ended()
         yield links()
 
-    pairs = _with_texts(docs, members).select("text", "node", "family", "n_blocks", "block").mapInArrow(dealt, "family long, i int, j int, block int, node long, shingles binary")
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(shingled, "first_id long, node long, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    pairs = texts.join(members, ["first_id", "node"]).select("family", "block", "node", "shingles", other.alias("k"))
+    pairs = pairs.select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "shingles")
     pairs = pairs.repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
-    found = written(components(written(pairs.mapInArrow(searched, "a long, b long"), "links")), "components")
-
-    # An id of several rows may be in several classes; they are one node.
-    own = profile.join(classes, sets).select("doc_id", "node").where("doc_id != node").distinct()
-    ties = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("doc_id", "least")
-    shared = own.join(ties, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    lone = profile.where("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct(*sets).alias("n")).where("n > 1").select("doc_id")
-    shared = shared.union(profile.join(lone, "doc_id").join(classes, sets).select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-    shared = written(shared.where("a != b").distinct(), "shared-ids")
-    if shared.head(1):
-        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(shared)), "components")
+    links = written(pairs.mapInArrow(searched, "a long, b long"), "links")
 
-    placed = profile.join(classes, sets, "left").join(found, "node", "left")
-    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    # An id with several sets is one node: its sets are tied together.
+    several = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("doc_id", "a")
+    ties = profile.where("n_shingles > 0").join(several, "doc_id").select("a", F.col("h1").alias("b")).where("a != b")
+    found = written(components(links.union(ties)), "components").select(F.col("node").alias("h1"), "component")
+    named = classes.select("h1", "first_id").join(found, "h1").groupBy("component").agg(F.min("first_id").alias("least"))
+    labels = found.join(named, "component").select("h1", "least")
+    placed = profile.join(classes, sets, "left").join(labels, "h1", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first_id", "doc_id")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` but one document of each group of linked ones: that of the smallest id stays.
 
-    Rows that can't be told apart by id and columns stay once; rows with a null id, and without words, all stay.
+    Rows that repeat the id that stays all stay, as do rows with a null id or without words.
     """
     groups = written(linked(docs, id_col=id_col, text_col=text_col, **options).where("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias("gone_")).distinct(), "near-copies")
-    return docs.join(groups, F.col(id_col) == F.col("gone_"), "left_anti")
+    # Few texts take part in the join; the filter lets all that may be meant through.
+    marked = docs.withColumn("maybe_", _may_be_in(groups, id_col))
+    left = marked.where("maybe_").join(groups, F.col(id_col) == F.col("gone_"), "left_anti")
+    return marked.where("NOT maybe_").unionByName(left).drop("maybe_")
 
 
 #: The contract's links by brute force in DuckDB, for small tables.
