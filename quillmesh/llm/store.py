@@ -1,68 +1,14 @@
-"""Shared-storage helpers: the checkpoint folder, written tables, and Arrow file systems."""
+"""Shared storage: the library's written tables, and Arrow file systems for files of other kinds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-@contextmanager
-def _dropping_shuffles(spark: SparkSession):
-    old = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, old)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The lineage ends at the table, so a lost executor costs a re-read and not the work before it; the shuffle files
-    of the write are dropped when it ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with _dropping_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+from quillmesh.plans.store import drop_table, new_path, shared_dir, written
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table of :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = jvm.org.apache.hadoop.fs.Path(parent)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["arrow_fs", "drop_table", "new_path", "shared_dir", "written"]
 
 
 def arrow_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """Arrow file system and path of a URI (file, hdfs, s3, gs) or a plain local path."""
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
+    return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else uri)
