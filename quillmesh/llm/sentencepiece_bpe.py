@@ -32,7 +32,7 @@ _PARTS = f"(?<={_LETTER})(?={_SIGN})|(?<={_SIGN})(?={_LETTER})"
 class PrefixTableBpe:
     """Encoder and decoder over one serialized model. ``memo_limit`` bounds the memo and the pair table."""
 
-    def __init__(self, model: bytes, memo_limit: int = 100_000):
+    def __init__(self, model: bytes, memo_limit: int = 200_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.eos, self.unk = sp.eos_id(), sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
@@ -192,7 +192,7 @@ def _worker_bpe(model: bytes, memo_limit: int) -> PrefixTableBpe:
     return _loaded[model, memo_limit]
 
 
-def encode_decode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", memo_limit: int = 100_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", memo_limit: int = 200_000) -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` for each row; other columns are left out.
 
     A null or empty text has the end id alone and decodes to the empty text. A null id stays null, repeated rows are
