@@ -3,6 +3,9 @@
 A rolling hash over the hashes of neighbouring lines ends a chunk where it is a multiple of ``modulus``, so chunks of a
 shared passage come out alike wherever it stands. Of the places of a chunk of ``min_lines`` lines or more, the one in
 the smallest document (then the earliest) stays; others go once their bytes have been compared with it.
+
+``without_runs`` knows no chunks: each window of ``min_lines`` lines that stands at an earlier place goes, so a repeated
+run goes whole, wherever its neighbours change.
 """
 
 from __future__ import annotations
@@ -112,6 +115,55 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _line_ids(text: Column, seed: int) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(F.lit(seed), line.cast("binary")))
+
+
+def _clash(docs: DataFrame, text_col: str, seed: int) -> bool:
+    """Whether two different lines of the corpus have one hash: lines are compared byte by byte, distinct ones alone."""
+    lines = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line_")).select(F.col("line_").cast("binary")).distinct()
+    clashes = lines.groupBy(F.xxhash64(F.lit(seed), "line_").alias("hash_")).count().where("count > 1")
+    return bool(written(clashes, "line-hashes").head(1))  # written, so that the lines' shuffle files go
+
+
+def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """All rows of ``docs`` without the lines of repeated runs, and ``n_lines``, ``n_removed`` (lines, long).
+
+    A line goes if a window of ``min_lines`` lines around it stands at an earlier place too: in a smaller document, or
+    before it in its own without overlap. So every run of that length or more whose windows stand earlier goes whole,
+    and each line that goes still stands somewhere. Nulls, empty texts, null ids, rows that repeat, line ends and added
+    columns are treated as in ``deduplicated``. Lines are known by 64-bit hashes, and with another seed if two different
+    lines of the corpus should share one. Windows are pre-aggregated by their hashes before they meet their places.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    seed = 0
+    while _clash(docs, text_col, seed):
+        seed += 1
+    keyed = _keys(docs, id_col, text_col).withColumn("lines_", _line_ids(F.col(text_col), seed))
+    window = [f"h{k}_" for k in range(min_lines)]
+    places = (
+        keyed.select("id_", "row_", "lines_", F.posexplode("lines_").alias("k_", "h0_"))
+        .where(F.col("k_") + min_lines <= F.size("lines_"))
+        .select("id_", "row_", "k_", "h0_", *(F.get("lines_", F.col("k_") + k).alias(f"h{k}_") for k in range(1, min_lines)))
+    )
+    groups = places.groupBy(*window).agg(F.count("*").alias("n_"), F.min(F.struct("id_", "row_", "k_")).alias("first_")).where("n_ > 1").drop("n_")
+    later = (F.col("row_") != F.col("first_.row_")) | (F.col("k_") - F.col("first_.k_") >= min_lines)
+    gone = written(places.join(groups, window).where(later).groupBy("row_").agg(F.collect_set("k_").alias("gone_")), "repeated-windows")
+
+    lines = F.split(text_col, "\n", -1)
+    covered = lambda i: F.exists(F.sequence(i - (min_lines - 1), i), lambda k: F.array_contains("gone_", k))
+    kept = F.filter(lines, lambda _, i: ~covered(i))
+    return (
+        _keys(docs, id_col, text_col)
+        .join(gone.hint("merge"), "row_", "left")  # it grows with the corpus, so it isn't broadcast
+        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        .withColumn("kept_", F.when(F.col("gone_").isNotNull(), kept))
+        .withColumn("n_removed", F.when(F.col("gone_").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept_")).cast("long"))
+        .withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join("kept_", "\n")))
+        .select(*docs.columns, "n_lines", "n_removed")
+    )
+
+
 #: The same chunks, grouped by their text, in DuckDB.
 SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
@@ -126,3 +178,17 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, l
   coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM (SELECT row_number() OVER () AS rid, * FROM documents) LEFT JOIN f USING (rid)
 """
+
+#: The rule of ``without_runs`` for two lines, on the lines themselves, in DuckDB.
+RUNS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+w AS (SELECT *, lead(line) OVER (PARTITION BY rid ORDER BY i) AS next FROM l),
+f AS (SELECT *, first_value(rid) OVER p AS r0, first_value(i) OVER p AS i0 FROM w WINDOW p AS (PARTITION BY line, next ORDER BY doc_id NULLS FIRST, i)),
+g AS (SELECT *, next IS NOT NULL AND (rid != r0 OR i - i0 >= 2) AS gone FROM f),
+k AS (SELECT *, gone OR coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS out FROM g),
+t AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (NOT out) AS kept, count(*) AS n_lines, count(*) FILTER (out) AS n_removed FROM k GROUP BY rid)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, lang, source, n_chars,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN t USING (rid)
+"""

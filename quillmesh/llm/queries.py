@@ -54,6 +54,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_runs(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_columns": op5_media_columns,
     "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_runs": op7_line_runs,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
@@ -87,5 +92,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc_archive.SQL,
     "op6_ngram_join": ngram_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op7_line_runs": line_dedup.RUNS_SQL,
     "op9_source_mix": source_mix.SQL,
 }

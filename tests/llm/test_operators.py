@@ -316,6 +316,43 @@ def test_line_dedup_by_brute_force(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def brute_runs(rows, least=2):
+    first, out = {}, {}
+    for i in sorted(rows):
+        lines = (rows[i] or "").split("\n")
+        gone = set()
+        for k in range(len(lines) - least + 1):
+            j, at = first.setdefault(tuple(lines[k : k + least]), (i, k))
+            if rows[i] is not None and (j != i or k - at >= least):
+                gone.update(range(k, k + least))
+        out[i] = None if rows[i] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_runs_go_whole(spark, docs, none):
+    rng = random.Random(12)
+    own = lambda n: [sentence(rng, 9) for _ in range(n)]
+    runs = [own(n) for n in (2, 2, 3, 3, 4, 5, 6, 8)]
+    texts = ["\n".join(own(3) + run + own(2)) for run in runs]
+    inside = [(own(before), run, own(after)) for run in runs for before, after in ((0, 0), (1, 1), (4, 3), (2, 0), (0, 5))]
+    texts += ["\n".join(a + run + b) for a, run, b in inside]
+    got = {r.doc_id: r for r in line_dedup.without_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, (a, run, b) in enumerate(inside, len(runs)):
+        assert (got[i].text, got[i].n_lines, got[i].n_removed) == ("\n".join(a + b), len(a + run + b), len(run))
+    assert all(got[i].text == texts[i] for i in range(len(runs)))
+
+    rows = {r[0]: r[1] for r in corpus() if r[0] is not None} | {100: "a\na\na", 101: "b\nb\nb\nb\nb", 102: "x\nb\nb", 103: "a\nx"}
+    more = docs.unionByName(spark.createDataFrame([(i, rows[i]) for i in range(100, 104)], "doc_id long, text string"), allowMissingColumns=True)
+    for least in (2, 3):
+        want = brute_runs(rows, least)
+        found = line_dedup.without_runs(more, min_lines=least)
+        assert found.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_removed"]
+        found = found.collect()
+        assert len(found) == len(corpus()) + 4
+        assert all(r.text == want[r.doc_id] for r in found if r.doc_id is not None)
+    assert line_dedup.without_runs(none).count() == 0
+
+
 def test_suffix_dedup_by_brute_force(spark, docs, none):
     rng = random.Random(8)
     rows = [(r[0], r[1]) for r in corpus()]
