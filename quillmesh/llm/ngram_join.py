@@ -225,18 +225,18 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _tree(side: list[tuple[int, np.ndarray]]) -> RTree:
+    vectors = np.stack([np.bincount((s >> _U(58)).astype(np.int64), minlength=GROUPS) for _, s in side]).astype(np.int32)
+    return RTree(vectors, np.array([len(s) for _, s in side], np.int64))
+
+
 def block_links(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
     """Links (node, node) that span what is linked among ``rows``, or between ``rows`` and ``others``.
 
     Pairs that are connected already aren't verified, so a group of copies costs about one look for each.
     """
-
-    def tree(side: list[tuple[int, np.ndarray]]) -> RTree:
-        vectors = np.stack([np.bincount((s >> _U(58)).astype(np.int64), minlength=GROUPS) for _, s in side]).astype(np.int32)
-        return RTree(vectors, np.array([len(s) for _, s in side], np.int64))
-
-    own = tree(rows)
-    others, other = (rows, own) if others is None else (others, tree(others))
+    own = _tree(rows)
+    others, other = (rows, own) if others is None else (others, _tree(others))
     forest, links = _Forest(), []
     for us, vs in tree_pairs(own, other, percent):
         for u, v in zip(us.tolist(), vs.tolist(), strict=True):
@@ -247,6 +247,33 @@ def block_links(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.n
     return links
 
 
+#: Kinds of a row of ``block_counts``: a spanning link, a node's sum, a link of a node that must be known by itself.
+SPAN, SUM, EACH = range(3)
+
+
+def block_counts(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None, percent: int, weights: dict[int, int], each: set[int]) -> list[tuple[int, int, int, int]]:
+    """``(kind, a, b, n)``: spanning links, for each node the sum of the ``weights`` of all it links with, links with ``each``.
+
+    Every pair that the trees leave is verified. Sums stand for the links, so rows don't grow with the square of a family.
+    """
+    own = _tree(rows)
+    others, other = (rows, own) if others is None else (others, _tree(others))
+    forest, sums, out = _Forest(), {}, []
+    for us, vs in tree_pairs(own, other, percent):
+        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+            (x, left), (y, right) = rows[u], others[v]
+            if not _alike(left, right, percent):
+                continue
+            sums[x] = sums.get(x, 0) + weights[y]
+            sums[y] = sums.get(y, 0) + weights[x]
+            if x in each or y in each:
+                out.append((EACH, x, y, 0))
+            if forest.root(x) != forest.root(y):
+                forest.joined(x, y)
+                out.append((SPAN, x, y, 0))
+    return out + [(SUM, x, x, n) for x, n in sums.items()]
+
+
 def _often(seen: list[np.ndarray]) -> bytes | None:
     """Shingles that a thousandth of a batch's documents have (four at least), packed."""
     found, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, _U), np.empty(0))
@@ -330,7 +357,7 @@ def _may_be_in(ids: DataFrame, column: str) -> Column:
     return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 21) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 21, count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
@@ -340,6 +367,9 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     about ``block_shingles`` shingles, and every pair of blocks is searched. Shingles and keys are compared by 64-bit
     hashes, equal sets by two of them; sets are named by the first, with another seed if two sets should share it. The
     list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
+
+    With ``count_links``, also ``n_links`` (long): the other ids that a document links with itself, of equal texts too
+    (0 without words or id). All pairs that the trees leave are then verified, also those that are connected already.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -355,6 +385,14 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     frequent = spark.sparkContext.broadcast(_frequent(profile))
     profile = profile.drop("often")
 
+    # An id with several sets is one node: its sets are tied together.
+    several = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("doc_id", "a")
+    if count_links:
+        many = written(profile.where("n_shingles > 0").join(several.select("doc_id"), "doc_id").select("doc_id", "h1").distinct(), "several-sets")
+        ids = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1").distinct().groupBy("h1").agg(F.count("*").alias("n_"))
+        ids = ids.join(many.groupBy("h1").agg(F.count("*").alias("many_")), "h1", "left")
+        weights = written(ids.select("h1", (F.col("n_") - F.coalesce("many_", F.lit(0))).alias("weight"), F.col("many_").isNotNull().alias("each")), "weights")
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)
         names = ["part", "keys", "nodes"]
@@ -414,8 +452,11 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     families = written(components(written(stars, "stars")), "families")
 
     members = families.join(classes.select(F.col("h1").alias("node"), "n_shingles", "first_id"), "node").withColumnRenamed("component", "family")
+    extra = ["weight", "each"] if count_links else []
+    if count_links:
+        members = members.join(weights.withColumnRenamed("h1", "node"), "node")
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
-    members = written(members.join(blocks, "family").select("node", "first_id", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "members")
+    members = written(members.join(blocks, "family").select("node", "first_id", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), *extra), "members")
     wanted = spark.sparkContext.broadcast(_filter_of(members.select("first_id")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,21 +487,67 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         ended()
         yield links()
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, others, weight, each, out = None, [], [], {}, set(), []
+
+        def ended() -> None:
+            if key is not None and rows and (key[1] == key[2] or others):
+                out.extend(block_counts(rows, None if key[1] == key[2] else others, percent, weight, each))
+
+        def found() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kind", "a", "b", "n"])
+
+        for batch in batches:
+            for family, i, j, block, node, data, w, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (family, i, j):
+                    ended()
+                    key, rows, others, weight, each = (family, i, j), [], [], {}, set()
+                if node in weight:  # a row that repeats id and text
+                    continue
+                (rows if block == i else others).append((node, np.frombuffer(data, _U)))
+                weight[node] = w
+                if e:
+                    each.add(node)
+            yield found()
+            out.clear()
+        ended()
+        yield found()
+
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(shingled, "first_id long, node long, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    pairs = texts.join(members, ["first_id", "node"]).select("family", "block", "node", "shingles", other.alias("k"))
-    pairs = pairs.select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "shingles")
+    pairs = texts.join(members, ["first_id", "node"]).select("family", "block", "node", "shingles", *extra, other.alias("k"))
+    pairs = pairs.select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "shingles", *extra)
     pairs = pairs.repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
-    links = written(pairs.mapInArrow(searched, "a long, b long"), "links")
+    if count_links:
+        found = written(pairs.mapInArrow(counted, "kind long, a long, b long, n long"), "counts")
+        links = found.where(F.col("kind") == SPAN).select("a", "b")
+    else:
+        links = written(pairs.mapInArrow(searched, "a long, b long"), "links")
 
-    # An id with several sets is one node: its sets are tied together.
-    several = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("doc_id", "a")
     ties = profile.where("n_shingles > 0").join(several, "doc_id").select("a", F.col("h1").alias("b")).where("a != b")
-    found = written(components(links.union(ties)), "components").select(F.col("node").alias("h1"), "component")
-    named = classes.select("h1", "first_id").join(found, "h1").groupBy("component").agg(F.min("first_id").alias("least"))
-    labels = found.join(named, "component").select("h1", "least")
-    placed = profile.join(classes, sets, "left").join(labels, "h1", "left")
-    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first_id", "doc_id")).alias("component_id"))
+    tied = written(components(links.union(ties)), "components").select(F.col("node").alias("h1"), "component")
+    named = classes.select("h1", "first_id").join(tied, "h1").groupBy("component").agg(F.min("first_id").alias("least"))
+    labels = tied.join(named, "component").select("h1", "least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first_id", "doc_id")).alias("component_id")
+    if not count_links:
+        placed = profile.join(classes, sets, "left").join(labels, "h1", "left")
+        return placed.select("doc_id", "n_shingles", component)
+
+    # Ids with one set are counted by their classes' sums, ids with several by themselves, so none counts twice.
+    each = found.where(F.col("kind") == EACH)
+    near = each.select("a", "b").union(each.select("b", "a")).union(weights.where("each").select("h1", "h1"))
+    by_sum = found.where(F.col("kind") == SUM).groupBy(F.col("a").alias("h1")).agg(F.sum("n").alias("sum_"))
+    by_many = near.join(many, F.col("b") == F.col("h1")).select("a", "doc_id").distinct().groupBy(F.col("a").alias("h1")).agg(F.count("*").alias("many_"))
+    count = F.col("weight") - 1 + F.coalesce("sum_", F.lit(0)) + F.coalesce("many_", F.lit(0))
+    labels = weights.join(labels, "h1", "left").join(by_sum, "h1", "left").join(by_many, "h1", "left").select("h1", "least", count.alias("count_"))
+    around = many.join(near, F.col("h1") == F.col("a")).select("doc_id", F.col("b").alias("h1")).distinct()
+    ones = around.join(weights, "h1").groupBy("doc_id").agg(F.sum("weight").alias("ones_"))
+    others = around.join(many.withColumnRenamed("doc_id", "other_"), "h1").select("doc_id", "other_").distinct().groupBy("doc_id").agg((F.count("*") - 1).alias("others_"))
+    apart = ones.join(others, "doc_id").select("doc_id", (F.col("ones_") + F.col("others_")).alias("apart_"))
+    placed = profile.join(classes, sets, "left").join(labels, "h1", "left").join(apart, "doc_id", "left")
+    n_links = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), 0).otherwise(F.coalesce("apart_", "count_")).cast("long")
+    return placed.select("doc_id", "n_shingles", component, n_links.alias("n_links"))
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -488,3 +575,6 @@ c AS (SELECT a AS doc_id, a AS r FROM l UNION SELECT c.doc_id, l.b FROM c JOIN l
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT doc_id, min(r) AS m FROM c GROUP BY doc_id) USING (doc_id)
 """
+
+#: The same with the number of links of each document.
+LINKS_SQL = f"SELECT c.*, coalesce(n, 0)::BIGINT AS n_links FROM ({SQL}) c LEFT JOIN (SELECT a, count(*) AS n FROM ({SQL.replace(SQL[SQL.index('SELECT s.doc_id, len(s)') :], 'SELECT a, b FROM l')}) GROUP BY a) k ON k.a = c.doc_id"

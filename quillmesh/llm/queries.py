@@ -50,6 +50,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85, count_links=True)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_media_columns": op5_media_columns,
     "op6_ngram_join": op6_ngram_join,
+    "op6_ngram_links": op6_ngram_links,
     "op7_line_dedup": op7_line_dedup,
     "op7_line_runs": op7_line_runs,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -91,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_warc": warc_archive.SQL,
     "op6_ngram_join": ngram_join.SQL,
+    "op6_ngram_links": ngram_join.LINKS_SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op7_line_runs": line_dedup.RUNS_SQL,
     "op9_source_mix": source_mix.SQL,

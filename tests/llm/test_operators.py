@@ -237,6 +237,25 @@ def test_ngram_join_by_brute_force(docs, none, n, percent, block):
         assert {r.doc_id for r in left.collect()} == {i for i, (_, c) in want.items() if c == i} | {None}
 
 
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1 << 20), (5, 80, 300)])
+def test_ngram_links_by_brute_force(spark, docs, none, n, percent, block):
+    texts = [(r[0], r[1]) for r in corpus() if r[0] is not None]
+    again = [(12, texts[20][1]), (12, "new words for an id of three sets"), (21, texts[11][1]), (13, None), (300, texts[25][1]), (300, texts[14][1])]
+    sets = {}
+    for i, text in texts + again:
+        words = (text or "").encode().lower().split()
+        sets.setdefault(i, []).append({tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set())
+    alike = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    want = {i: sum(j != i and any(alike(a, b) for a in own for b in other) for j, other in sets.items()) for i, own in sets.items()}
+    more = docs.unionByName(spark.createDataFrame(again, "doc_id long, text string"), allowMissingColumns=True)
+    got = ngram_join.linked(more, n=n, percent=percent, block_shingles=block, count_links=True).collect()
+    assert len(got) == len(corpus()) + len(again) and max(want.values()) > 5
+    assert [(r, want.get(r.doc_id)) for r in got if r.n_links != (want[r.doc_id] if r.doc_id is not None and r.n_shingles else 0)] == []
+    few = ngram_join.linked(more, n=n, percent=percent, block_shingles=block).collect()
+    assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(few)
+    assert ngram_join.linked(none, n=n, percent=percent, count_links=True).count() == 0
+
+
 def test_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(2)
     for percent in (80, 85, 95):
