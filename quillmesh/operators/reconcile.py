@@ -78,9 +78,27 @@ def owners(blocks: DataFrame, intervals: DataFrame, by: str, at: str = "index")
 
 
 def overlaps(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Pairs of intervals of one ``by`` that overlap; rows have ``by, name, start, end``."""
-    x, y = a.select(by, F.col("name").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end")), b.select(by, F.col("name").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return x.join(y, by).where("a_start < b_end AND b_start < a_end")
+    """Pairs of intervals of one ``by`` that overlap; rows have ``by, name, start, end`` (numbers).
+
+    Of two that overlap, one holds the other's start. An interval lies in two bins at most of the smallest power of two
+    that is no shorter, a start in one bin of each width that occurs, so the equi-join is on (key, width, bin) and gives
+    each pair once. Neither a key's size nor a long interval multiplies the candidates.
+    """
+
+    def sides(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select(F.col(by).alias(f"{side}_by"), F.col("name").alias(side), F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"))
+
+    def held(holders: DataFrame, x: str, others: DataFrame, y: str, inside: Column) -> DataFrame:
+        """Pairs where ``inside`` holds: a start of ``others`` lies in one of the ``holders``."""
+        low, high = F.floor(f"{x}_start").cast("long"), F.floor(f"{x}_end").cast("long")
+        wide = sides(holders, x).where(F.col(f"{x}_start") < F.col(f"{x}_end")).withColumn("bits_", F.when(high > low, F.length(F.bin(high - low))).otherwise(0))
+        wide = wide.withColumn("bin_", F.explode(F.sequence(F.call_function("shiftright", low, "bits_"), F.call_function("shiftright", high, "bits_"))))
+        widths = F.broadcast(wide.select("bits_").distinct())  # 64 at most
+        points = sides(others, y).join(widths).withColumn("bin_", F.call_function("shiftright", F.floor(f"{y}_start").cast("long"), "bits_"))
+        same = wide.withColumnRenamed(f"{x}_by", by).join(points.withColumnRenamed(f"{y}_by", by), [by, "bits_", "bin_"])
+        return same.where(inside).where("a_start < b_end AND b_start < a_end").select(by, "a", "a_start", "a_end", "b", "b_start", "b_end")
+
+    return held(a, "a", b, "b", F.expr("a_start <= b_start")).unionByName(held(b, "b", a, "a", F.expr("b_start < a_start")))
 
 
 def uncovered(blocks: DataFrame, copies: DataFrame, by: list[str]) -> DataFrame:

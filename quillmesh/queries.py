@@ -158,6 +158,13 @@ def interval_overlap(spark, sf_dir):
     return C.overlaps(i, i, "c_nationkey").where("a < b").select("c_nationkey", "a", "b")
 
 
+@query("""SELECT a.c_nationkey, a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey
+  AND a.c_custkey < b.c_custkey AND a.c_custkey < b.c_custkey + 40 AND b.c_custkey < a.c_custkey + 40""")
+def interval_overlap_whole(spark, sf_dir):
+    i = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("name"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 40).alias("end"))
+    return C.overlaps(i, i, "c_nationkey").where("a < b").select("c_nationkey", "a", "b")
+
+
 @query(f"""WITH {_SIDES} SELECT doc, index::BIGINT AS index FROM t WHERE n != '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.n = t.n AND length(s.n) >= 4)""")
 def uncovered_blocks(spark, sf_dir):
     targets, sources = sides(spark, sf_dir)

@@ -127,3 +127,17 @@ def test_diagonal_runs_reach_anchors(spark):
     rows = [(0, 5, False), (1, 6, True), (2, 7, False), (4, 9, False), (1, 9, False), (2, 10, False)]
     got = C.extend_on_diagonal(spark.createDataFrame([(1, *r) for r in rows], "doc int, index int, source int, anchor boolean"), ["doc"]).collect()
     assert sorted((r["index"], r.source) for r in got) == [(0, 5), (1, 6), (2, 7)]
+
+
+def test_overlaps_by_bins(spark):
+    rng = random.Random(6)
+    row = lambda k: (rng.choice("kkkl"), k, s := rng.randint(-300, 300), s + rng.choice([0, 1, 2, 7, 8, 9, 64, 500, -3]))
+    a, b = [row(k) for k in range(150)], [row(k) for k in range(150)] + [(None, 900, 0, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "key string, name long, start long, end long")
+    want = sorted((x[0], *x[1:], *y[1:]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+    got = C.overlaps(frame(a), frame(b), "key")
+    assert got.columns == ["key", "a", "a_start", "a_end", "b", "b_start", "b_end"]
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    # A hot key: all pairs would be 4e10.
+    hot = spark.range(200_000).selectExpr("'k' AS key", "id AS name", "10 * id AS start", "10 * id + 15 AS end")
+    assert C.overlaps(hot, hot, "key").where("a < b").count() == 199_999
