@@ -5,7 +5,9 @@ end at a position; the one that is compatible with the last token of the prefix
 backwards from the end recovers the ids. Two tokens are compatible when merging their joined text gives them back.
 
 No piece holds a word mark after another character, so a text is cut before each run of word marks and chunks are
-encoded on their own. A bounded memo keeps the ids and decoded text of frequent chunks.
+encoded on their own. A memo bounded in bytes keeps the ids of chunks that came lately. Each chunk is decoded from its
+ids when it is first encoded; where that gives the chunk itself, a text of such chunks decodes to itself, and only the
+ids are kept.
 """
 
 from __future__ import annotations
@@ -21,18 +23,44 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.memory import released
+
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NEVER = float("inf")
+_ENTRY, _PAIR = 150, 100  # bytes that an entry of a memo takes beside its text and ids, and one of the pair table
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[\n\t!-/:-@\[-`{-~]"
 _TURN = f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}"
+_WORD_END, _ENDS = re.compile(_LETTER), frozenset(",.;:!?")
 _PARTS = f"(?<={_LETTER})(?={_SIGN})|(?<={_SIGN})(?={_LETTER})"
 
 
+class _Recent:
+    """Packed ids by text in two generations of half of ``most`` bytes: when the newer is full, the older one goes."""
+
+    def __init__(self, most: int):
+        self.most = most // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def get(self, text: str) -> bytes | None:
+        found = self.new.get(text)
+        if found is None and (found := self.old.get(text)) is not None:
+            self.put(text, found)
+        return found
+
+    def put(self, text: str, ids: bytes) -> None:
+        self.held += _ENTRY + len(text) + len(ids)
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.new[text] = ids
+
+
 class PrefixTableBpe:
-    """Encoder and decoder over one serialized model. ``memo_limit`` bounds the memo and the pair table."""
+    """Encoder and decoder over one serialized model. ``memo_limit`` bounds the memos and the pair table together, in bytes."""
 
-    def __init__(self, model: bytes, memo_limit: int = 200_000):
+    def __init__(self, model: bytes, memo_limit: int = 96 << 20):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.eos, self.unk = sp.eos_id(), sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
@@ -54,12 +82,12 @@ class PrefixTableBpe:
         #: Where no piece goes from a letter to an ASCII sign or back, words and the signs around them are independent.
         self.parts = None if any(re.search(_TURN, p.lstrip(MARK)) for p in self.id_of) else re.compile(_PARTS)
         self.special = {*self.bytes_of, *self.silent, self.unk}
-        self.memo_limit = memo_limit
-        self.memo: dict[str, tuple[bytes, str]] = {}
-        self.later: dict[str, tuple[bytes, str]] = {}
-        self.joint: dict[str, tuple[bytes, str]] = {}
+        self.memo = _Recent(memo_limit * 5 // 8)
+        self.later = _Recent(memo_limit // 4)
         self.pairs: list[dict[int, bool]] = [{} for _ in range(len(self.pieces) + 1)]
-        self.n_pairs = 0
+        self.n_pairs, self.most_pairs = 0, memo_limit // 8 // _PAIR
+        #: Whether a chunk was met that doesn't decode to itself; texts are then decoded from all their ids.
+        self.odd = False
 
     def merged(self, text: str) -> list[str]:
         """The pieces that plain merging gives: best score first, leftmost among equals."""
@@ -81,7 +109,7 @@ class PrefixTableBpe:
         row = self.pairs[left]
         known = row.get(right)
         if known is None:
-            if self.n_pairs >= 2 * self.memo_limit:
+            if self.n_pairs >= self.most_pairs:
                 for other in self.pairs:
                     other.clear()
                 self.n_pairs = 0
@@ -142,30 +170,30 @@ class PrefixTableBpe:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
-    def _new(self, memo: dict[str, tuple[bytes, str]], text: str, mark: str) -> tuple[bytes, str]:
+    def _new(self, memo: _Recent, text: str, mark: str) -> bytes:
         ids = self.chunk_ids(mark + text)
-        found = array("i", ids).tobytes(), self._joined(ids)
-        if len(memo) >= self.memo_limit:
-            memo.clear()
+        found = array("i", ids).tobytes()
+        self.odd = self.odd or self._joined(ids) != (mark + text).replace(MARK, " ")
         if len(text) <= 64:
-            memo[text] = found
+            memo.put(text, found)
         return found
 
-    def _looked_up(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of a chunk without its first mark; independent parts are looked up singly."""
-        if (known := self.joint.get(chunk)) is not None:
+    def _looked_up(self, chunk: str) -> bytes:
+        """Packed ids of a chunk without its first mark; independent parts are looked up singly."""
+        if (known := self.memo.get(chunk)) is not None:
             return known
+        if self.parts and chunk[-1:] in _ENDS and _WORD_END.match(chunk, len(chunk) - 2):
+            word = chunk[:-1]  # the commonest of such chunks take no place of their own
+            return (self.memo.get(word) or self._looked_up(word)) + (self.later.get(chunk[-1]) or self._new(self.later, chunk[-1], ""))
         parts = self.parts.split(chunk) if self.parts and MARK not in chunk else [chunk]
         if len(parts) < 2:
             return self._new(self.memo, chunk, MARK)
         found = [self.memo.get(parts[0]) or self._new(self.memo, parts[0], MARK)]
         found += [self.later.get(p) or self._new(self.later, p, "") for p in parts[1:]]
-        both = b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+        whole = b"".join(found)
         if len(chunk) <= 32:
-            if len(self.joint) >= self.memo_limit // 2:
-                self.joint.clear()
-            self.joint[chunk] = both
-        return both
+            self.memo.put(chunk, whole)
+        return whole
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Packed int32 ids with the end id, and what they decode to."""
@@ -175,10 +203,10 @@ class PrefixTableBpe:
             chunks = [c[1:] for c in _CHUNKS.findall(MARK + text.replace(" ", MARK))]
         else:
             chunks = text.split(" ")
-        known, new = self.memo.get, self._looked_up
-        found = [known(c) or new(c) for c in chunks]
-        decoded = "".join([f[1] for f in found])
-        return b"".join([f[0] for f in found]) + struct.pack("i", self.eos), decoded[1:]
+        known, new = self.memo.new.get, self._looked_up
+        ids = b"".join([known(c) or new(c) for c in chunks])
+        decoded = self.decode(array("i", ids)) if self.odd else text.replace(MARK, " ")
+        return ids + struct.pack("i", self.eos), decoded
 
 
 _loaded: dict[tuple[bytes, int], PrefixTableBpe] = {}
@@ -192,7 +220,7 @@ def _worker_bpe(model: bytes, memo_limit: int) -> PrefixTableBpe:
     return _loaded[model, memo_limit]
 
 
-def encode_decode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", memo_limit: int = 200_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", memo_limit: int = 96 << 20) -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` for each row; other columns are left out.
 
     A null or empty text has the end id alone and decodes to the empty text. A null id stays null, repeated rows are
@@ -215,6 +243,7 @@ def encode_decode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text
                 flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        released()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
