@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
-from quillmesh.llm.store import written
+from quillmesh.llm.memory import released
+from quillmesh.llm.store import fresh, written
 
 _U = np.uint64
 GROUPS = 64  # dimensions of a count vector
@@ -42,7 +43,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 150_000:
+        if len(self) < 60_000:
             self[word] = value
         return value
 
@@ -309,6 +310,7 @@ def _profiled(docs: DataFrame, n: int, seed: int) -> DataFrame:
             often = [_often(seen), *[None] * len(seen)][: len(seen)]
             columns = ([len(s) for s in seen], [h for h, _ in hashes], [h for _, h in hashes])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(often, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "often"])
+        released(_hashes)
 
     return written(docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, often binary"), "profiles")
 
@@ -322,7 +324,8 @@ def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 def _filter_of(ids: DataFrame, most_bits: int = 27) -> np.ndarray:
     """Bloom filter of the ids (one bigint column) as bytes, about sixteen bits for each and 16 MB at most.
 
-    A full filter lets more ids through that aren't meant, and never holds one back; the join after it is exact.
+    Beyond some 8 million ids the filter fills and lets more through that aren't meant; it never holds one back, and
+    the join after it is exact, so a full filter costs shuffled texts and no result.
     """
     bits = min(most_bits, max(10, math.ceil(math.log2(16 * max(1, ids.count())))))
 
@@ -357,7 +360,7 @@ def _may_be_in(ids: DataFrame, column: str) -> Column:
     return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 21, count_links: bool = False) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 20, count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
@@ -373,7 +376,6 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = ["n_shingles", "h1", "h2"]
     seed = 0
     while True:
@@ -384,6 +386,9 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         seed += 1
     frequent = spark.sparkContext.broadcast(_frequent(profile))
     profile = profile.drop("often")
+    # Tasks that gather keys hold a bounded number of shingles each, however many partitions the session asks for.
+    n_shingles = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shingles >> 21)
 
     # An id with several sets is one node: its sets are tied together.
     several = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("doc_id", "a")
@@ -431,6 +436,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
                     seen.clear()
         if held:
             yield packed(keys, nodes)
+        released(_hashes)
 
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, edges = [], [], []
@@ -447,6 +453,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         if edges:
             found = np.unique(np.concatenate(edges), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        keys, nodes, edges = [], [], []
+        released()
 
     stars = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(keyed, "part int, keys binary, nodes binary").repartition(parts // 4, "part").mapInArrow(starred, "a long, b long")
     families = written(components(written(stars, "stars")), "families")
@@ -465,6 +473,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
             seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
             hashes = pa.array([_set_hashes(s, seed)[0] for s in seen], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array([s.tobytes() for s in seen], pa.binary())], ["first_id", "node", "shingles"])
+        released(_hashes)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, others, out = None, [], [], []
@@ -486,6 +495,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
             out.clear()
         ended()
         yield links()
+        rows, others = [], []
+        released()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, others, weight, each, out = None, [], [], {}, set(), []
@@ -513,6 +524,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
             out.clear()
         ended()
         yield found()
+        rows, others = [], []
+        released()
 
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(shingled, "first_id long, node long, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
@@ -557,9 +570,11 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     groups = written(linked(docs, id_col=id_col, text_col=text_col, **options).where("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias("gone_")).distinct(), "near-copies")
     # Few texts take part in the join; the filter lets all that may be meant through.
-    marked = docs.withColumn("maybe_", _may_be_in(groups, id_col))
-    left = marked.where("maybe_").join(groups, F.col(id_col) == F.col("gone_"), "left_anti")
-    return marked.where("NOT maybe_").unionByName(left).drop("maybe_")
+    maybe, gone = fresh(docs, "maybe", "gone")
+    groups = groups.withColumnRenamed("gone_", gone)
+    marked = docs.withColumn(maybe, _may_be_in(groups, id_col))
+    left = marked.where(F.col(maybe)).join(groups, F.col(id_col) == F.col(gone), "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(left).drop(maybe)
 
 
 #: The contract's links by brute force in DuckDB, for small tables.
