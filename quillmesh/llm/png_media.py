@@ -29,23 +29,35 @@ def _predicted(kind: int, left: np.ndarray, above: np.ndarray, corner: np.ndarra
     return np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
 
 
-def encode_png(pixels: np.ndarray, filters=NONE, level: int = 6) -> bytes:
-    """PNG of ``height x width x channels`` 8-bit samples; ``filters``: one filter for all rows, or one for each."""
+def _filtered(rows: np.ndarray, channels: int, most: int) -> np.ndarray:
+    """The samples less what each filter up to ``most`` predicts: filters x rows x samples."""
+    height, width = rows.shape
+    wide = np.zeros((height + 1, width + channels), np.int16)
+    wide[1:, channels:] = rows
+    here, left, above, corner = wide[1:, channels:], wide[1:, :-channels], wide[:-1, channels:], wide[:-1, :-channels]
+    guesses = [np.zeros_like(here), left, above, *(_predicted(k, left, above, corner) for k in range(AVERAGE, most + 1))]
+    return np.stack([(here - g).astype(np.uint8) for g in guesses[: most + 1]])
+
+
+def chosen_filters(residues: np.ndarray) -> np.ndarray:
+    """The filter of each row whose residues, taken as signed, have the smallest sum of magnitudes; ties go to the lower.
+
+    ``residues`` has the filters that may be chosen. The first three are undone a whole run of rows at a time.
+    """
+    return np.abs(residues.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0).astype(np.uint8)
+
+
+def encode_png(pixels: np.ndarray, filters=None, level: int = 6) -> bytes:
+    """PNG of ``height x width x channels`` 8-bit samples; ``filters``: one filter for all rows, one for each, or None
+    to choose NONE, SUB or UP for each row."""
     height, width, channels = pixels.shape
     colour = next(k for k, n in CHANNELS.items() if n == channels)
-    rows = pixels.reshape(height, width * channels)
-    kinds = np.broadcast_to(np.asarray(filters, np.uint8), (height,))
+    given = None if filters is None else np.broadcast_to(np.asarray(filters, np.uint8), (height,))
+    residues = _filtered(pixels.reshape(height, width * channels), channels, UP if given is None else int(given.max(initial=0)))
+    kinds = chosen_filters(residues) if given is None else given
     lines = np.empty((height, width * channels + 1), np.uint8)
     lines[:, 0] = kinds
-    lines[:, 1:] = rows
-    if kinds.any():
-        wide = np.zeros((height + 1, (width + 1) * channels), np.int32)
-        wide[1:, channels:] = rows
-        here, left, above, corner = wide[1:, channels:], wide[1:, :-channels], wide[:-1, channels:], wide[:-1, :-channels]
-        for kind in set(kinds.tolist()) - {NONE}:
-            at = kinds == kind
-            guess = left[at] if kind == SUB else above[at] if kind == UP else _predicted(kind, left[at], above[at], corner[at])
-            lines[at, 1:] = (here[at] - guess) & 255
+    lines[:, 1:] = residues[kinds, np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -86,29 +98,45 @@ def decode_png(data: bytes) -> np.ndarray:
     width, height, channels = head[0], head[1], CHANNELS[head[3]]
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, width * channels + 1)
     kinds, rows = lines[:, 0], lines[:, 1:]
-    if not kinds.any():
-        return rows.reshape(height, width, channels)
-    if kinds.max() > PAETH:
+    return unfiltered(kinds, rows.reshape(height, width, channels))
+
+
+def unfiltered(kinds: np.ndarray, residues: np.ndarray) -> np.ndarray:
+    """The samples behind filtered rows (``height x width x channels``).
+
+    Rows that need no neighbour, the one to the left alone or the one above alone are undone a run of rows at a time. In
+    a run of the two filters that need both, a pixel needs only pixels of earlier diagonals, so each diagonal is one step.
+    """
+    if len(kinds) and kinds.max() > PAETH:
         raise ValueError("unknown row filter")
-    out = np.empty((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.uint8)
-    for y in range(height):
-        row, kind = rows[y], kinds[y]
-        if kind == NONE:
-            above = row
-        elif kind == SUB:
-            above = np.cumsum(row.reshape(width, channels), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == UP:
-            above = row + above
-        else:  # each pixel needs the one to its left
-            up, now = above.reshape(width, channels).astype(np.int32), np.zeros((width, channels), np.int32)
-            left = corner = np.zeros(channels, np.int32)
-            for x, plus in enumerate(row.reshape(width, channels).astype(np.int32)):
-                left = (plus + _predicted(int(kind), left, up[x], corner)) & 255
-                now[x], corner = left, up[x]
-            above = now.reshape(-1).astype(np.uint8)
-        out[y] = above
-    return out.reshape(height, width, channels)
+    height, width, channels = residues.shape
+    out = np.zeros((height + 1, width + 1, channels), np.uint8)  # with a row above and a pixel to the left
+    classes = np.where(kinds >= AVERAGE, AVERAGE, kinds)
+    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if height else []
+    for start, stop in zip(starts, [*starts[1:], height], strict=True):
+        part, into = residues[start:stop], out[start + 1 : stop + 1, 1:]
+        if classes[start] == NONE:
+            into[:] = part
+        elif classes[start] == SUB:
+            np.cumsum(part, axis=1, dtype=np.uint8, out=into)
+        elif classes[start] == UP:
+            np.cumsum(part, axis=0, dtype=np.uint8, out=into)
+            into += out[start, 1:]
+        else:
+            _undo_diagonals(kinds[start:stop], part, out[start : stop + 1])
+    return out[1:, 1:]
+
+
+def _undo_diagonals(kinds: np.ndarray, residues: np.ndarray, out: np.ndarray) -> None:
+    """Undo AVERAGE and PAETH rows into ``out``, whose first row and column are known."""
+    height, width, _ = residues.shape
+    paeth = (kinds == PAETH)[:, None]
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, above, corner = (out[y + dy, x + dx].astype(np.int16) for dy, dx in ((1, 0), (0, 1), (0, 0)))
+        guess = np.where(paeth[y], _predicted(PAETH, left, above, corner), _predicted(AVERAGE, left, above, corner))
+        out[y + 1, x + 1] = (residues[y, x] + guess).astype(np.uint8)
 
 
 def _cosines(n: int, keep: int) -> np.ndarray:
@@ -138,11 +166,12 @@ def text_payload(text: str | None, multiple: int = 192) -> tuple[bytes, int]:
     return raw + b" " * (multiple - len(raw) if not raw else -len(raw) % multiple), len(raw)
 
 
-def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, filters: int = NONE) -> DataFrame:
+def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, filters=None) -> DataFrame:
     """``doc_id, n_bytes, media binary``: each text's padded bytes as an RGB PNG ``width`` pixels wide.
 
     A null text counts as empty and is stored as one row of spaces. Null ids stay null, repeated rows are stored each,
-    other columns are left out. Narrow; memory follows the longest text.
+    other columns are left out. Each pixel row takes the filter that leaves the least. Narrow; memory follows the
+    longest text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -161,7 +190,10 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Adds ``payload binary`` (the samples read back) and ``phash binary`` to the rows of :func:`store_media`."""
+    """Adds ``payload binary`` (the samples read back) and ``phash binary`` to the rows of :func:`store_media`.
+
+    Null media give a null payload and hash; damaged media raise. Null ids, repeats and empty tables are passed on.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +202,10 @@ def read_media(media: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 payloads, hashes = [], []
                 for data in part.column(2):
+                    if not data.is_valid:
+                        payloads.append(None)
+                        hashes.append(None)
+                        continue
                     pixels = decode_png(data.as_py())
                     payloads.append(pixels.tobytes())
                     hashes.append(perceptual_hash(pixels))
