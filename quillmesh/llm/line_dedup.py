@@ -4,8 +4,9 @@ A rolling hash over the hashes of neighbouring lines ends a chunk where it is a
 shared passage come out alike wherever it stands. Of the places of a chunk of ``min_lines`` lines or more, the one in
 the smallest document (then the earliest) stays; others go once their bytes have been compared with it.
 
-``without_runs`` knows no chunks: each window of ``min_lines`` lines that stands at an earlier place goes, so a repeated
-run goes whole, wherever its neighbours change.
+A chunk's ends may fall inside a passage that only two neighbours share. ``without_runs`` therefore extends what the
+chunks find: lines beside a removed chunk, and runs too short to hold one, go by windows of ``min_lines`` lines that
+stand at an earlier place, so a repeated run goes whole, wherever its neighbours change.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.store import written
+from quillmesh.llm.store import aside, written
 
 _PRIME = 1_000_003
 
@@ -51,8 +52,12 @@ def _chunks(text: Column, window: int, modulus: int) -> Column:
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A document is known by its id and text, so rows that repeat both count as one document."""
-    return docs.withColumn("id_", F.col(id_col)).withColumn("row_", F.xxhash64(F.col(id_col), F.col(text_col)))
+    """A document is known by its id and 128 bits over id and text, so rows that repeat both count as one document."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(F.lit("b"), id_col, text_col).alias("b"))
+    return docs.withColumn("id_", F.col(id_col)).withColumn("row_", F.to_json(row, {"ignoreNullFields": "false"}))
+
+
+_OWN = ("id_", "row_", "chunks_", "stay_", "gone_", "lines_", "kept_", "cut_")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2, modulus: int = 3, min_lines: int = 2) -> DataFrame:
@@ -63,7 +68,9 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     that are added are replaced. Places are pre-aggregated by chunk hash, texts move by document, so a chunk that a
     third of all documents share is no group in one task.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    given = docs.drop("n_lines", "n_removed")
+    docs, moved = aside(given, *_OWN)
+    id_col, text_col = moved.get(id_col, id_col), moved.get(text_col, text_col)
     keyed = _keys(docs, id_col, text_col)
     keyed = keyed.withColumn("chunks_", _chunks(F.col(text_col), window, modulus))
     places = (
@@ -111,7 +118,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .withColumn("n_lines", lines("chunks_"))
         .withColumn("n_removed", F.col("n_lines") - lines("stay_"))
         .withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join(F.col("stay_.text"), "\n")))
-        .select(*docs.columns, "n_lines", "n_removed")
+        .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "n_lines", "n_removed")
     )
 
 
@@ -126,32 +133,66 @@ def _clash(docs: DataFrame, text_col: str, seed: int) -> bool:
     return bool(written(clashes, "line-hashes").head(1))  # written, so that the lines' shuffle files go
 
 
-def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def _cut(lines: Column, modulus: int) -> Column:
+    """Array of (first, n): chunks of line hashes, which end where a hash over two neighbours is a multiple of
+    ``modulus`` and that of the two before isn't, so that no chunk inside a text has one line."""
+    closes = F.transform(lines, lambda h, i: F.pmod(F.xxhash64(F.coalesce(F.get(lines, i - 1), F.lit(0)), h), F.lit(modulus)) == 0)
+
+    def of_closes(closes: Column) -> Column:
+        ends = F.transform(closes, lambda c, i: F.when((c & ~F.coalesce(F.get(closes, i - 1), F.lit(False))) | (i == F.size(closes) - 1), i))
+        return _let(F.filter(ends, lambda e: e.isNotNull()), of_ends)
+
+    def of_ends(ends: Column) -> Column:
+        first = lambda k: F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+        return F.transform(ends, lambda end, k: F.struct(first(k).alias("first"), (end - first(k) + 1).alias("n")))
+
+    return _let(closes, of_closes)
+
+
+def _later(row: str, at: str, least: int) -> Column:
+    """Whether a place comes after the first one without overlapping it."""
+    return (F.col(row) != F.col("first_.row_")) | (F.col(at) - F.col("first_.k_") >= least)
+
+
+def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, modulus: int = 3) -> DataFrame:
     """All rows of ``docs`` without the lines of repeated runs, and ``n_lines``, ``n_removed`` (lines, long).
 
     A line goes if a window of ``min_lines`` lines around it stands at an earlier place too: in a smaller document, or
     before it in its own without overlap. So every run of that length or more whose windows stand earlier goes whole,
     and each line that goes still stands somewhere. Nulls, empty texts, null ids, rows that repeat, line ends and added
-    columns are treated as in ``deduplicated``. Lines are known by 64-bit hashes, and with another seed if two different
-    lines of the corpus should share one. Windows are pre-aggregated by their hashes before they meet their places.
+    columns are treated as in ``deduplicated``. Lines are known by 64-bit hashes whose equality stands for that of their
+    bytes: all distinct lines are compared, and with a clash another seed is taken.
+
+    Content-defined chunks are compared first, line by line; of a repeated chunk nothing more is looked at. The windows
+    that are left extend these matches to both sides. Chunks and windows are pre-aggregated before they meet their places.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    given = docs.drop("n_lines", "n_removed")
+    docs, moved = aside(given, *_OWN)
+    id_col, text_col = moved.get(id_col, id_col), moved.get(text_col, text_col)
     seed = 0
     while _clash(docs, text_col, seed):
         seed += 1
-    keyed = _keys(docs, id_col, text_col).withColumn("lines_", _line_ids(F.col(text_col), seed))
+    keyed = written(_keys(docs, id_col, text_col).select("id_", "row_", _line_ids(F.col(text_col), seed).alias("lines_")).where("lines_ IS NOT NULL"), "line-ids")
+    cut = keyed.select("id_", "row_", "lines_", F.explode(_cut(F.col("lines_"), modulus)).alias("cut_")).where(F.col("cut_.n") >= min_lines)
+    chunks = cut.select("id_", "row_", F.col("cut_.first").alias("k_"), F.slice("lines_", F.col("cut_.first") + 1, F.col("cut_.n")).alias("chunk_"))
+    firsts = chunks.groupBy("chunk_").agg(F.count("*").alias("n_"), F.min(F.struct("id_", "row_", "k_")).alias("first_")).where("n_ > 1").drop("n_")
+    again = chunks.join(firsts, "chunk_").where((F.col("row_") != F.col("first_.row_")) | (F.col("k_") != F.col("first_.k_")))
+    taken = written(again.groupBy("row_").agg(F.collect_set(F.struct("k_", F.size("chunk_").alias("n_"))).alias("taken_")), "repeated-chunks")
+
     window = [f"h{k}_" for k in range(min_lines)]
+    inside = lambda at: F.exists("taken_", lambda c: (at >= c["k_"]) & (at + min_lines <= c["k_"] + c["n_"]))
     places = (
-        keyed.select("id_", "row_", "lines_", F.posexplode("lines_").alias("k_", "h0_"))
-        .where(F.col("k_") + min_lines <= F.size("lines_"))
+        keyed.join(taken.hint("merge"), "row_", "left")
+        .select("id_", "row_", "lines_", "taken_", F.posexplode("lines_").alias("k_", "h0_"))
+        .where((F.col("k_") + min_lines <= F.size("lines_")) & ~F.coalesce(inside(F.col("k_")), F.lit(False)))
         .select("id_", "row_", "k_", "h0_", *(F.get("lines_", F.col("k_") + k).alias(f"h{k}_") for k in range(1, min_lines)))
     )
     groups = places.groupBy(*window).agg(F.count("*").alias("n_"), F.min(F.struct("id_", "row_", "k_")).alias("first_")).where("n_ > 1").drop("n_")
-    later = (F.col("row_") != F.col("first_.row_")) | (F.col("k_") - F.col("first_.k_") >= min_lines)
-    gone = written(places.join(groups, window).where(later).groupBy("row_").agg(F.collect_set("k_").alias("gone_")), "repeated-windows")
+    beside = places.join(groups, window).where(_later("row_", "k_", min_lines)).groupBy("row_").agg(F.collect_set(F.struct("k_", F.lit(min_lines).alias("n_"))).alias("gone_"))
+    gone = written(beside.unionByName(taken.withColumnRenamed("taken_", "gone_")).groupBy("row_").agg(F.flatten(F.collect_list("gone_")).alias("gone_")), "repeated-runs")
 
     lines = F.split(text_col, "\n", -1)
-    covered = lambda i: F.exists(F.sequence(i - (min_lines - 1), i), lambda k: F.array_contains("gone_", k))
+    covered = lambda i: F.exists("gone_", lambda g: (i >= g["k_"]) & (i < g["k_"] + g["n_"]))
     kept = F.filter(lines, lambda _, i: ~covered(i))
     return (
         _keys(docs, id_col, text_col)
@@ -160,7 +201,7 @@ def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .withColumn("kept_", F.when(F.col("gone_").isNotNull(), kept))
         .withColumn("n_removed", F.when(F.col("gone_").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept_")).cast("long"))
         .withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join("kept_", "\n")))
-        .select(*docs.columns, "n_lines", "n_removed")
+        .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "n_lines", "n_removed")
     )
 
 
