@@ -3,7 +3,7 @@
 import hashlib
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_groups, brute_lines, corpus, plain
+from tests.llm.test_operators import brute_groups, brute_runs, corpus, plain
 
 from quillmesh.llm import quality_rules
 from quillmesh.llm.queries import piece_model
@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
             want = {i for i, t in before.items() if quality_rules.rejected_by(quality_rules.Page(t), list(quality_rules.RULES), quality_rules.RULES) is None}
             assert {r.doc_id for r in rows} == want
         elif name == "lines":
-            assert {r.doc_id: r.text for r in rows} == brute_lines(before)
+            assert {r.doc_id: r.text for r in rows} == brute_runs(before)
         elif name == "near_copies":
             assert {r.doc_id for r in rows} == {i for i, (_, c) in brute_groups(before.items(), 5, 80).items() if c == i}
         elif name == "mix":
