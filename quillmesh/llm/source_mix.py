@@ -1,8 +1,8 @@
 """Mixing of sources to target weights by Sainte-Laguë apportionment, with DataFrame functions only.
 
 Targets come from the weights, with what a source can't give reshared. Blocks of equal token counts go to the sources by
-the highest quotients target / (2 k - 1), then to each source's shards in the same way by shard size. In a shard,
-documents stand in a seeded order, and the blocks of its quota are taken from that row of words, round and round.
+the highest quotients target / (2 k - 1), then to each source's shards in the same way by shard size, and where a source
+has more than ``FINE`` shards' worth of words, from those to their parts once more. In a shard or part, documents stand in a seeded order, and the blocks of its quota are taken from that row of words, round and round.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.store import written
+from quillmesh.llm.store import aside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-FINE = 4096  # the finest shards of a source
+FINE = 4096  # shards that one group of quotients is ranked among, so no window grows with the corpus
 #: Rows up to which a table of sources or shards is broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 100_000
 
@@ -28,7 +28,7 @@ def _seeded(id_col: str, seed: str) -> Column:
 
 
 def _bucket(id_col: str, seed: str) -> Column:
-    return (F.conv(F.substring(_seeded(id_col, seed), 1, 7), 16, 10).cast("long") % FINE).cast("int")
+    return F.conv(F.substring(_seeded(id_col, seed), 1, 7), 16, 10).cast("long")
 
 
 def _joined(rows: DataFrame, small: DataFrame, keys: Column) -> DataFrame:
@@ -84,6 +84,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return filled.select("source", "source_size", "rank_", "all_", F.when(F.col("capped_"), F.col("cap_")).otherwise(F.col("weight_") * F.col("level_")).alias("target"))
 
 
+_OWN = (
+    "source_q", "bucket_", "fine_", "rank_", "rank_q", "all_", "shards_", "shard_", "shard_q", "parts_", "part_", "part_q", "blocks_", "source_blocks_",
+    "shard_size_", "seeded_", "before_", "rounds_", "over_",
+)
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = 8, shard_words: int = 100_000, seed: str = "mix") -> DataFrame:
     """All rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words of the row in the mix).
 
@@ -92,24 +98,32 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     empty table; input columns named like those that are added are replaced. No document gives more than twice its size,
     so a shard gives at most twice its words and a source may end below its target by less than a block for each shard.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    sized = docs.withColumn("size", n_words(F.col(text_col))).withColumn("fine_", _bucket(id_col, seed))
+    given = docs.drop("size", "source_size", "target", "taken")
+    docs, moved = aside(given, *_OWN)
+    id_col, text_col, source_col = (moved.get(c, c) for c in (id_col, text_col, source_col))
+    sized = docs.withColumn("size", n_words(F.col(text_col))).withColumn("bucket_", _bucket(id_col, seed)).withColumn("fine_", (F.col("bucket_") % FINE).cast("int"))
     fine = written(sized.groupBy(F.col(source_col).alias("source"), "fine_").agg(F.sum("size").alias("fine_size")), "mix-shards")
     targets = source_targets(fine.groupBy("source").agg(F.sum("fine_size").alias("source_size")))
     quotas = apportioned(targets, [], ["rank_"], "target", F.floor(F.col("all_") / block_tokens)).withColumnRenamed("seats_", "source_blocks_").drop("all_")
-    quotas = written(quotas.withColumn("shards_", F.greatest(F.lit(1), F.least(F.lit(FINE), F.ceil(F.col("source_size") / shard_words))).cast("int")), "mix-quotas")
+    quotas = quotas.withColumn("shards_", F.greatest(F.lit(1), F.least(F.lit(FINE), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+    quotas = written(quotas.withColumn("parts_", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (FINE * shard_words))).cast("long")), "mix-quotas")
     shards = (
         _joined(fine, quotas.withColumnRenamed("source", "source_q"), F.col("source").eqNullSafe(F.col("source_q")))
         .groupBy("rank_", (F.col("fine_") % F.col("shards_")).alias("shard_"))
         .agg(F.sum("fine_size").alias("shard_size_"), F.first("source_blocks_").alias("source_blocks_"))
     )
-    shards = apportioned(shards, ["rank_"], ["shard_"], "shard_size_", F.col("source_blocks_")).drop("source_blocks_")
-    shards = written(shards.withColumnsRenamed({"rank_": "rank_q", "shard_": "shard_q", "seats_": "blocks_"}), "mix-shard-quotas")
-
+    shards = apportioned(shards, ["rank_"], ["shard_"], "shard_size_", F.col("source_blocks_")).drop("source_blocks_").withColumnRenamed("seats_", "blocks_")
     placed = _joined(sized, quotas.withColumnRenamed("source", "source_q"), F.col(source_col).eqNullSafe(F.col("source_q")))
-    placed = placed.withColumn("shard_", F.col("fine_") % F.col("shards_"))
-    placed = _joined(placed, shards, (F.col("rank_") == F.col("rank_q")) & (F.col("shard_") == F.col("shard_q")))
-    order = Window.partitionBy("rank_", "shard_").orderBy("seeded_", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("shard_", F.col("fine_") % F.col("shards_")).withColumn("part_", F.floor(F.col("bucket_") / FINE) % F.col("parts_"))
+    if (quotas.agg(F.max("parts_")).first()[0] or 1) == 1:
+        shards = shards.withColumn("part_", F.lit(0).cast("long"))
+    else:
+        parts = placed.groupBy("rank_", "shard_", "part_").agg(F.sum("size").alias("part_size_"))
+        parts = parts.join(shards.select("rank_", "shard_", "blocks_"), ["rank_", "shard_"])
+        shards = apportioned(parts, ["rank_", "shard_"], ["part_"], "part_size_", F.col("blocks_")).select("rank_", "shard_", "part_", F.col("part_size_").alias("shard_size_"), F.col("seats_").alias("blocks_"))
+    shards = written(shards.withColumnsRenamed({"rank_": "rank_q", "shard_": "shard_q", "part_": "part_q"}), "mix-shard-quotas")
+    placed = _joined(placed, shards, (F.col("rank_") == F.col("rank_q")) & (F.col("shard_") == F.col("shard_q")) & (F.col("part_") == F.col("part_q")))
+    order = Window.partitionBy("rank_", "shard_", "part_").orderBy("seeded_", "size").rowsBetween(Window.unboundedPreceding, -1)
     words = F.least(F.col("blocks_") * block_tokens, 2 * F.col("shard_size_"))
     rounds = F.when(F.col("shard_size_") > 0, F.floor(words / F.col("shard_size_"))).otherwise(F.lit(0))
     return (
@@ -118,7 +132,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
         .withColumn("rounds_", rounds.cast("long"))
         .withColumn("over_", words - F.col("rounds_") * F.col("shard_size_") - F.col("before_"))
         .withColumn("taken", F.col("rounds_") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("over_"))))
-        .select(*docs.columns, "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+        .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
     )
 
 
