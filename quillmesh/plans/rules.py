@@ -51,7 +51,7 @@ class Thresholds:
     """Every number that decides something."""
 
     gram: int = 4
-    grams_per_block: int = 4000
+    index_chars: int = 4_000_000  # an index takes some 20 bytes for each
     candidates_by_hits: int = 45
     candidates: int = 8
     size_ratio: float = 4.0

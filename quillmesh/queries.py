@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import similarity as S
@@ -18,6 +18,7 @@ from quillmesh.operators import reconcile as C
 from quillmesh.operators import resolve, tables
 from quillmesh.plans import rules as R
 from quillmesh.plans.analyze import analyze
+from quillmesh.sources import uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,14 +112,15 @@ def exact_then_fuzzy(spark, sf_dir):
 
 @query(f"""WITH {_SIDES} SELECT doc, index::BIGINT AS index, item_id, round(hits / tn, 9) AS coverage FROM h WHERE hits >= 0.82 * tn AND tn >= 8""")
 def containment_coverage(spark, sf_dir):
-    hits = M.gram_hits(*sides(spark, sf_dir), keep=None).where("hits >= 0.82 * t_size AND t_size >= 8")
+    hits = M.gram_hits(*sides(spark, sf_dir), keep=None, share=0.82).where("t_size >= 8")
     return longs(hits.select("doc", "index", F.col("source_index").alias("item_id"), F.round(F.col("hits") / F.col("t_size"), 9).alias("coverage")))
 
 
 @query("""SELECT sha256(text) AS sha, min(doc_id) AS first_doc, count(*)::BIGINT AS copies FROM documents GROUP BY sha256(text)""")
 def dedupe_bytes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    files = docs.select(F.col("doc_id").alias("seq"), F.lit(0).alias("part"), F.col("text").cast("binary").alias("content"))
+    return uploads.first_copies(files).select(F.col("doc").alias("sha"), F.col("seq").alias("first_doc"), F.col("n_copies").alias("copies"))
 
 
 @query("""SELECT conv_id, turn,
@@ -257,10 +259,10 @@ def scope_end(spark, sf_dir):
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM w)
 SELECT gram, count(*)::BIGINT AS df, round(ln(1 + (SELECT n FROM n) / (1 + count(*))), 9) AS weight FROM w GROUP BY gram""")
 def idf_weights(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("gram"))
-    n = words.agg(F.count_distinct("block").alias("n_"))
-    counts = words.groupBy("gram").agg(F.count("*").alias("df"))
-    return counts.join(F.broadcast(n)).select("gram", "df", F.round(F.log(1 + F.col("n_") / (1 + F.col("df"))), 9).alias("weight"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block"), F.explode(found).alias("gram"))
+    n = words.select("block").distinct().count()
+    return M.idf_weights(words, F.lit(n)).withColumn("weight", F.round("weight", 9))
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS gram FROM documents), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS gram FROM benchmark),
@@ -279,7 +281,7 @@ FROM t LEFT JOIN e USING (doc, index) LEFT JOIN c USING (doc, index) WHERE n !=
 def summary_counts(spark, sf_dir):
     targets, sources = sides(spark, sf_dir)
     exact = M.exact_candidates(targets, sources).select("doc", "index").distinct().withColumn("e", F.lit(True))
-    near = M.gram_hits(targets, sources, keep=None).where("hits >= 0.82 * t_size AND t_size >= 8").select("doc", "index").distinct().withColumn("c", F.lit(True))
+    near = M.gram_hits(targets, sources, keep=1, share=0.82).where("t_size >= 8").select("doc", "index").distinct().withColumn("c", F.lit(True))
     judged = targets.join(exact, ["doc", "index"], "left").join(near, ["doc", "index"], "left").withColumn("status", F.when(F.col("e"), "ready").when(F.col("c"), "review").otherwise("retained"))
     return resolve.summary(judged, ["doc"]).select("doc", F.col("source_updates").alias("ready"), "review", "retained")
 
@@ -306,12 +308,18 @@ def evidence_numbers(spark, sf_dir):
     return r.select("s", F.concat_ws(";", T.evidence_numbers("s")).alias("numbers"), F.concat_ws(";", T.percentages("s")).alias("percentages"))
 
 
-_PERIODS = "('2019-2021年','2019,2020,2021'),('2021年1-6月','2021-06'),('2020年度与2021年3月末','2020,2021-03'),('2010年至2019年','2010,2011,2012,2013,2014,2015'),('none',''),('2020年、2020年','2020')"
+_PERIODS = "('2019-2021年'),('2021年1-6月'),('2020年度与2021年3月末'),('2010年至2019年'),('none'),('2020年、2020年'),('2018年12月及2019年到2020年')"
+_PERIOD = "((?:19|20)[0-9]{2})(?:年度?)?(?:[-－—–至]|到)((?:19|20)[0-9]{2})年|((?:19|20)[0-9]{2})年(?:(?:[0-9]{1,2}[-－—–至])?([0-9]{1,2})月)?"
 
 
-@query(f"SELECT s, want AS periods FROM (VALUES {_PERIODS}) AS v(s, want)")
+@query(f"""WITH r AS (SELECT s, unnest(regexp_extract_all(s, '{_PERIOD}')) AS m, generate_subscripts(regexp_extract_all(s, '{_PERIOD}'), 1) AS i FROM (VALUES {_PERIODS}) AS v(s)),
+g AS (SELECT s, i, regexp_extract(m, '{_PERIOD}', 1) AS a, regexp_extract(m, '{_PERIOD}', 2) AS b, regexp_extract(m, '{_PERIOD}', 3) AS y, regexp_extract(m, '{_PERIOD}', 4) AS mo FROM r),
+e AS (SELECT s, i, 0 AS k, CASE WHEN mo = '' THEN y ELSE y || '-' || lpad(mo, 2, '0') END AS p FROM g WHERE a = ''
+  UNION ALL SELECT s, i, k, (a::INT + k)::VARCHAR FROM g, range(6) AS t(k) WHERE a != '' AND (k = 0 OR a::INT + k <= b::INT)),
+f AS (SELECT s, p, min((i, k)) AS pos FROM e GROUP BY s, p)
+SELECT v.s, coalesce(string_agg(p, ',' ORDER BY pos), '') AS periods FROM (VALUES {_PERIODS}) AS v(s) LEFT JOIN f USING (s) GROUP BY v.s""")
 def reporting_periods(spark, sf_dir):
-    return rows(spark, _PERIODS, "s, want").select("s", F.concat_ws(",", T.periods("s")).alias("periods"))
+    return rows(spark, _PERIODS, "s").select("s", F.concat_ws(",", T.periods("s")).alias("periods"))
 
 
 @query("""SELECT doc_id, substr(sha256(concat_ws('|', source, doc_id, -1, substr(translate(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g'), '（），。：；', '(),.:;'), 1, 180))), 1, 20) AS id FROM documents""".replace("\\\\", "\\"))
@@ -369,10 +377,12 @@ def column_widths(spark, sf_dir):
 SELECT host, page_id, score::BIGINT AS score FROM h QUALIFY row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) = 1""")
 def recommended(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    yes = lambda c, n: F.when(c, n).otherwise(0)
-    scored = pages.select(F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("host"), "page_id", (yes(F.contains("html", F.lit("<h1>")), 100) + yes(F.length("html") > 4000, 30) - yes(F.col("page_id") % 7 == 0, 40)).alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("score"), "page_id")
-    return longs(scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("host", "page_id", "score"))
+    # The score's own terms: no revision tells of 15 points that these pages don't have, so all have one.
+    files = pages.select(
+        F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("issuer"), F.lit("").alias("chapter"), F.col("page_id").alias("seq"), F.contains("html", F.lit("<h1>")).alias("original"),
+        (F.length("html") > 4000).alias("pending"), (F.col("page_id") % 7 == 0).alias("revised"), F.lit(1).alias("revisions"),
+    )
+    return longs(uploads.recommended(files).select(F.col("issuer").alias("host"), F.col("seq").alias("page_id"), "score"))
 
 
 @query()

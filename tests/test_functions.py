@@ -141,3 +141,30 @@ def test_overlaps_by_bins(spark):
     # A hot key: all pairs would be 4e10.
     hot = spark.range(200_000).selectExpr("'k' AS key", "id AS name", "10 * id AS start", "10 * id + 15 AS end")
     assert C.overlaps(hot, hot, "key").where("a < b").count() == 199_999
+
+
+def test_stops_inside_quotes():
+    from quillmesh.functions.similarity import sentence_ends
+
+    cut = lambda t: [t[a:b] for a, b in zip([0, *sentence_ends(t)], sentence_ends(t))]
+    assert cut("他说：“好。”然后走了。") == ["他说：“好。”", "然后走了。"]
+    assert cut('他说："好。"然后走了。') == ['他说："好。"', "然后走了。"]
+    assert cut("见『甲。乙。』一文。完") == ["见『甲。乙。』", "一文。", "完"]
+    assert cut("“外「内。」续。”末。") == ["“外「内。」续。”", "末。"]
+
+
+def test_gram_index_by_brute_force():
+    import random
+
+    from quillmesh.functions.similarity import GramIndex, grams_of
+
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("ab公司😀") for _ in range(rng.randint(0, 14)))
+    forms = [text() for _ in range(40)]
+    index = GramIndex(list(range(40)), forms)
+    for _ in range(100):
+        probe = text()
+        own = set(grams_of(probe))
+        want = sorted(((len(own & set(grams_of(f))), k) for k, f in enumerate(forms) if own & set(grams_of(f))), key=lambda x: (-x[0], x[1]))
+        assert [(h["hits"], h["source_index"]) for h in index.best(probe, 5)] == want[:5]
+        assert [h["source_index"] for h in index.best(probe, None, 0.5)] == [k for n, k in want if 2 * n >= len(own)]
