@@ -20,19 +20,21 @@ from quillmesh.plans.store import written
 from quillmesh.sources import docx, uploads
 
 
-def prepared(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Files with roles, and the blocks of all of them."""
+def prepared(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files with roles, the blocks of all of them, and the packages that can't be read, with the reason."""
     read = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("name"), "content")
     numbered = read.withColumn("seq", F.array_position(F.array(*(F.lit(Path(p).name) for p in paths)), F.element_at(F.split("name", "/"), -1)))
     files = written(uploads.first_copies(uploads.scan_uploads(numbered)), "files")
     blocks = written(docx.scan_packages(files), "blocks")
-    return written(uploads.with_roles(files, blocks), "roles"), blocks
+    damaged = blocks.where("kind = 'error'")
+    sound, blocks = files.join(damaged.select("doc"), "doc", "left_anti"), blocks.where("kind != 'error'")
+    return written(uploads.with_roles(sound, blocks), "roles"), blocks, damaged.select("doc", "name", "error")
 
 
 def proposals_of(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """Proposals for all targets of one source."""
-    of = lambda role: blocks.join(files.where(F.col("role") == role).select("doc"), "doc", "left_semi").select("doc", "index", "kind", "text", "is_toc", "drawing")
-    return written(analyze(of("source").drop("doc"), of("target")), "proposals")
+    of = lambda role: blocks.join(files.where(F.col("role") == role).select("doc"), "doc", "left_semi").select("doc", "index", "kind", "text", "is_toc", "drawing", "cells")
+    return written(analyze(of("source").drop("doc"), of("target").drop("cells")), "proposals")
 
 
 def zipped(folder: Path, target: Path) -> None:
@@ -44,15 +46,21 @@ def zipped(folder: Path, target: Path) -> None:
 
 def run(spark: SparkSession, out: str, paths: list[str], author: str = "editor", date: str = "1970-01-01T00:00:00Z", decisions: dict | None = None) -> dict:
     """Analyse and export; returns the report that is also written as JSON. Packages go to the driver one at a time."""
-    files, blocks = prepared(spark, paths)
+    files, blocks, damaged = prepared(spark, paths)
     proposals = proposals_of(files, blocks)
     wishes = [(k, v, None) if isinstance(v, str) else (k, v.get("decision"), v.get("source_index")) for k, v in (decisions or {}).items()]
-    decided = resolve.decided(proposals, spark.createDataFrame(wishes, "id string, decision string, source_index int"))
-    changed = decided.where("decision = 'update' AND text != new_text")
+    sources = blocks.join(files.where("role = 'source'").select("doc"), "doc", "left_semi")
+    decided = written(resolve.decided(proposals, spark.createDataFrame(wishes, "id string, decision string, source_index int"), sources), "decided")
+    changed = decided.where("decision = 'update' AND text != new_text")  # what reads the same is not written again
     saved = docx.export(files.where("role = 'target'").withColumn("name", safe_name("name")), changed, author, date)
     folder = Path(out) / "documents"
     folder.mkdir(parents=True, exist_ok=True)
-    report = {"documents": [], "summary": resolve.summary(proposals, []).first().asDict()}
+    report = {
+        "documents": [{"doc": r.doc, "name": r.name, "operations": 0, "error": r.error} for r in damaged.collect()],
+        "summary": resolve.summary(proposals, []).first().asDict(),
+        "unchanged": decided.where("decision = 'update' AND text = new_text").count(),
+        "blocked": [r.id for r in decided.where("decision = 'blocked'").select("id").orderBy("id").toLocalIterator()],
+    }
     for row in saved.toLocalIterator():
         if row.content is not None:
             (folder / f"{row.doc[:8]}-{row.name}").write_bytes(bytes(row.content))

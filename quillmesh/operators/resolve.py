@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.functions.similarity import grams, lcs_ratio
+from quillmesh.operators import tables
 from quillmesh.operators.blocks import in_order
 from quillmesh.plans import rules as R
 from quillmesh.plans.rules import THRESHOLDS, Thresholds
@@ -130,17 +131,25 @@ def voice_sweep(blocks: DataFrame, proposals: DataFrame) -> DataFrame:
     return rest.where(T.adapt("text") != F.col("text")).select("doc", "index", "kind", "text", "n", F.lit("wording").alias("status"), F.lit(1.0).alias("score"))
 
 
-def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+def decided(proposals: DataFrame, decisions: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``proposals`` with ``decision``: a user's one by id, else update for what is settled; retained rows stay kept.
 
-    A review is updated only with a source that is one of its candidates.
+    A review is updated only with a source that is one of its candidates. With ``sources`` (``index, kind, text``) it
+    then gets that source's whole text, a table its matrix, too, in ``new_text`` and ``new_cells``.
     """
     chosen = decisions.select("id", F.col("decision").alias("wish"), F.col("source_index").alias("picked"))
     joined = proposals.join(chosen, "id", "left")
-    allowed = F.exists("candidates", lambda c: c["source_index"] == F.col("picked"))
+    allowed = F.coalesce(F.exists("candidates", lambda c: c["source_index"] == F.col("picked")), F.lit(False))
     default = F.when(F.col("status").isin("ready", "wording"), "update").otherwise("keep")
     decision = F.when(F.col("status") == "retained", "keep").when((F.col("status") == "review") & (F.col("wish") == "update"), F.when(allowed, "update").otherwise("blocked")).otherwise(F.coalesce("wish", default))
-    return joined.withColumn("decision", decision).withColumn("source_index", F.when((F.col("status") == "review") & (F.col("decision") == "update"), F.col("picked")).otherwise(F.col("source_index"))).drop("wish", "picked")
+    by_hand = (F.col("status") == "review") & (F.col("decision") == "update")
+    out = joined.withColumn("decision", decision).withColumn("source_index", F.when(by_hand, F.col("picked")).otherwise(F.col("source_index")))
+    if sources is not None:
+        texts = sources.select(F.col("index").alias("picked"), F.col("text").alias("p_text"), F.when(F.col("kind") == "table", tables.cells("text")).alias("p_cells"))
+        out = out.join(texts, "picked", "left").withColumn("new_text", F.when(by_hand, T.adapt_for("p_text", F.col("text"))).otherwise(F.col("new_text")))
+        adapted = F.transform("p_cells", lambda row: F.transform(row, lambda cell: T.adapt(cell)))
+        out = out.withColumn("new_cells", F.when(by_hand, adapted).otherwise(F.col("new_cells"))).drop("p_text", "p_cells")
+    return out.drop("wish", "picked")
 
 
 def summary(proposals: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,7 +20,7 @@ MAX_BYTES = 350 << 20
 BODY = "word/document.xml"
 BLOCKS = (
     "doc string, name string, index int, kind string, text string, style string, outline int, bold boolean, is_toc boolean, drawing boolean, "
-    "cells array<array<struct<text:string,grid:int,merge:string>>>, revisions int"
+    "cells array<array<struct<text:string,grid:int,merge:string>>>, revisions int, error string"
 )
 
 
@@ -137,22 +138,31 @@ def scan(data: bytes, name: str) -> list[dict]:
                 "bold": bool(runs) and all(r.find(f"{_w('rPr')}/{_w('b')}") is not None for r in runs),
                 "is_toc": bool(style and style.lower().startswith("toc")) or any("TOC" in (e.text or "") for e in el.iter(_w("instrText"))) or bool(re.search(r"^.{1,80}\t\d+$", text)),
                 "drawing": any(e.tag in (_w("drawing"), _w("pict"), _w("object")) for e in el.iter()),
-                "cells": _cells(el) if table else None, "revisions": revisions,
+                "cells": _cells(el) if table else None, "revisions": revisions, "error": None,
             }
         )
     return rows
 
 
 def scan_packages(files: DataFrame) -> DataFrame:
-    """Blocks of all packages of rows ``name, content`` (as of the ``binaryFile`` reader, with path as name)."""
+    """Blocks of all packages of rows ``name, content`` (as of the ``binaryFile`` reader, with path as name).
+
+    A package that can't be read gives one row of kind ``error`` at index -1, whose ``error`` tells why; a null content
+    is such a package. Packages go through a worker one at a time.
+    """
+    names = [f.split(" ")[0] for f in re.sub(r"<[^ ]*>", "", BLOCKS).split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in re.sub(r"<[^ ]*>", "", BLOCKS).split(", ")]
         for frame in frames:
-            rows = [row for name, data in zip(frame["name"], frame["content"]) for row in scan(bytes(data), name)]
-            out = pd.DataFrame(rows, columns=names)
-            out["outline"] = out["outline"].astype("Int32")
-            yield out
+            for name, data in zip(frame["name"], frame["content"]):
+                data = bytes(data or b"")
+                try:
+                    rows = scan(data, name)
+                except (ValueError, KeyError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as error:
+                    rows = [dict.fromkeys(names) | {"doc": hashlib.sha256(data).hexdigest(), "name": name, "index": -1, "kind": "error", "text": "", "bold": False, "is_toc": False, "drawing": False, "revisions": 0, "error": str(error)}]
+                out = pd.DataFrame(rows, columns=names)
+                out["outline"] = out["outline"].astype("Int32")
+                yield out
 
     return files.select("name", "content").mapInPandas(run, BLOCKS)
 
@@ -228,10 +238,11 @@ class Writer:
             tr = ElementTree.SubElement(table, _w("tr"))
             ElementTree.SubElement(tr, _w("trPr")).append(self._mark("ins"))
             for text in row:
-                p = ElementTree.SubElement(ElementTree.SubElement(tr, _w("tc")), _w("p"))
-                new = self._mark("ins")
-                new.append(_run(text, "t", None))
-                p.append(new)
+                cell = ElementTree.SubElement(tr, _w("tc"))
+                for line in text.split("\n"):
+                    new = self._mark("ins")
+                    new.append(_run(line, "t", None))
+                    ElementTree.SubElement(cell, _w("p")).append(new)
 
     def saved(self) -> bytes:
         body = ElementTree.tostring(self.root, encoding="UTF-8", xml_declaration=True)
@@ -271,13 +282,13 @@ def resolved(data: bytes, accept: bool) -> list[str]:
             elif not row_out:
                 rows.append(" | ".join(cells))
         if table == 1 and name == "tc" and closing:
-            cells.append(text)
+            cells.append(text.removesuffix("\n"))
             text = ""
         if name == "p" and not table and (closing or single):
             out.append(text)
             text = ""
-        elif name == "p" and closing and table:
-            pass
+        elif name == "p" and closing and table == 1:
+            text += "\n"  # taken off at the cell's end
         elif name == "tab" and "r" in stack and not hidden & set(stack):
             text += "\t"
         elif name in ("br", "cr") and "r" in stack and not hidden & set(stack):
@@ -293,26 +304,32 @@ def resolved(data: bytes, accept: bool) -> list[str]:
 def write_document(data: bytes, operations: list[dict], author: str, date: str) -> tuple[bytes | None, str]:
     """The changed package and an empty string, or none and the reason. All operations apply, or the file isn't written.
 
-    The result is read back: rejected it must read as before, accepted as the operations say.
+    The result is read back: rejected it must read as before, accepted as the operations say, tables cell by cell.
+    A table's operation has its matrix in ``cells``; without one, its text is split at line ends and bars.
     """
     try:
         before = [visible(b) for b in Writer(data, author, date).blocks]
         writer = Writer(data, author, date)
-        want = list(before)
+        want, matrices = list(before), {}
         for op in sorted(operations, key=lambda o: -o["index"]):
             if before[op["index"]] != op["old_text"]:
                 raise ValueError(f"block {op['index']} has changed since it was analysed")
             if op["kind"] == "table":
-                rows = [row.split(" | ") for row in op["new_text"].split("\n")]
+                rows = op.get("cells")
+                matrices[op["index"]] = rows = [list(r) for r in rows] if rows is not None else [r.split(" | ") for r in op["new_text"].split("\n")]
                 writer.replace_table(op["index"], rows)
-            else:
-                writer.replace_paragraph(op["index"], op["new_text"])
+                want[op["index"]] = "\n".join(" | ".join(r) for r in rows)
+                continue
+            writer.replace_paragraph(op["index"], op["new_text"])
             want[op["index"]] = op["new_text"]
         saved = writer.saved()
         earlier = re.search(rb"<w:(?:ins|del|moveFrom|moveTo)[ >]", writer.parts[BODY])
         if not earlier and resolved(saved, False) != resolved(data, True):  # earlier changes would be rejected, too
             raise ValueError("rejecting the changes doesn't restore the document")
-        if [visible(b) for b in body_blocks(ElementTree.fromstring(parts_of(saved)[BODY]))] != want or resolved(saved, True) != want:
+        after = list(body_blocks(ElementTree.fromstring(parts_of(saved)[BODY])))
+        if any([[c[0] for c in row] for row in _cells(after[i])] != rows for i, rows in matrices.items()):
+            raise ValueError("a table's cells aren't the decided ones")
+        if [visible(b) for b in after] != want or resolved(saved, True) != want:
             raise ValueError("accepting the changes doesn't give the decided texts")
         return saved, ""
     except (ValueError, IndexError) as error:
@@ -325,17 +342,16 @@ def export(files: DataFrame, proposals: DataFrame, author: str = "editor", date:
     ``proposals``: ``doc, index, kind, text, new_text, decision``. Documents are written one by one, each as a whole or
     not at all; copies of a package under other names are written under each.
     """
-    op = F.struct("index", "kind", F.col("text").alias("old_text"), "new_text")
+    cells = F.col("new_cells") if "new_cells" in proposals.columns else F.lit(None).cast("array<array<string>>")
+    op = F.struct("index", "kind", F.col("text").alias("old_text"), "new_text", cells.alias("cells"))
     wanted = proposals.where("decision = 'update' AND new_text IS NOT NULL").groupBy("doc").agg(F.collect_list(op).alias("operations"))
     joined = files.select("name", "content", F.sha2("content", 256).alias("doc")).join(wanted, "doc", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for doc, name, data, ops in zip(frame["doc"], frame["name"], frame["content"], frame["operations"]):
                 ops = [dict(o.asDict() if hasattr(o, "asDict") else o) for o in (ops if ops is not None else [])]
                 saved, error = write_document(bytes(data), ops, author, date)
-                rows.append((doc, name, saved, len(ops), error))
-            yield pd.DataFrame(rows, columns=["doc", "name", "content", "n_operations", "error"])
+                yield pd.DataFrame([(doc, name, saved, len(ops), error)], columns=["doc", "name", "content", "n_operations", "error"])
 
     return joined.select("doc", "name", "content", "operations").mapInPandas(run, "doc string, name string, content binary, n_operations int, error string")

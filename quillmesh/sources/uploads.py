@@ -68,8 +68,9 @@ def scan_uploads(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(seq, k, inner, body) for seq, name, data in zip(frame["seq"], frame["name"], frame["content"]) for k, (inner, body) in enumerate(unpacked(name, bytes(data), limits))]
-            yield pd.DataFrame(rows, columns=["seq", "part", "name", "content"])
+            for seq, name, data in zip(frame["seq"], frame["name"], frame["content"]):
+                for k, (inner, body) in enumerate(unpacked(name, bytes(data), limits)):
+                    yield pd.DataFrame([(seq, k, inner, body)], columns=["seq", "part", "name", "content"])
 
     return uploads.select("seq", "name", "content").mapInPandas(run, "seq long, part int, name string, content binary")
 
@@ -97,10 +98,10 @@ def with_roles(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """``files`` (with ``doc, name``) and ``role``: source or target. Fails unless there is exactly one source."""
     lines = blocks.where((F.col("index") < 12) & (F.trim("text") != "")).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]).alias("head"))
     marked = files.join(lines, "doc", "left").withColumn("is_source", is_source(F.col("name"), F.coalesce("head", F.array().cast("array<string>"))))
-    n = F.sum(F.col("is_source").cast("int")).over(Window.partitionBy(F.lit(0)))
-    counted = marked.withColumn("n_", n)
-    checked = F.when(F.col("n_") != 1, F.raise_error(F.concat(F.lit("expected one source, found "), F.col("n_").cast("string")))).otherwise(F.when(F.col("is_source"), "source").otherwise("target"))
-    return counted.withColumn("role", checked.cast("string")).drop("n_", "head", "is_source")
+    n = marked.where("is_source").count()
+    if n != 1:
+        raise ValueError(f"expected one source, found {n}")
+    return marked.withColumn("role", F.when(F.col("is_source"), "source").otherwise("target")).drop("head", "is_source")
 
 
 def recommended(files: DataFrame) -> DataFrame:

@@ -107,3 +107,18 @@ def test_recommended(spark):
     rows = [(1, "i", "c", True, False, False, 0), (2, "i", "c", True, True, False, 0), (3, "i", "c", True, True, True, 0), (4, "i", "d", False, False, False, 1)]
     frame = spark.createDataFrame(rows, "seq long, issuer string, chapter string, original boolean, pending boolean, revised boolean, revisions int")
     assert sorted((r.chapter, r.seq, r.score) for r in uploads.recommended(frame).collect()) == [("c", 2, 145), ("d", 4, 0)]
+
+
+def test_damaged_packages_are_rows(spark):
+    good = package(paragraph("Title"))
+    rows = docx.scan_packages(spark.createDataFrame([("a.docx", good), ("b.docx", b"junk"), ("c.docx", None)], "name string, content binary")).collect()
+    assert sorted((r.name, r.kind, r.index, r.error) for r in rows) == [("a.docx", "paragraph", 0, None), ("b.docx", "error", -1, "not a ZIP package"), ("c.docx", "error", -1, "not a ZIP package")]
+
+
+def test_cells_of_several_paragraphs(spark):
+    data = package(paragraph("one"), sheet(["h", "v"], ["a", "1"]))
+    cells = [["h", "v"], ["b1\nb2", "2 | 3"]]
+    saved, error = docx.write_document(data, [{"index": 1, "kind": "table", "old_text": "h | v\na | 1", "new_text": "", "cells": cells}], "a", "1970-01-01T00:00:00Z")
+    assert error == ""
+    assert [[c["text"] if isinstance(c, dict) else c[0] for c in row] for row in docx.scan(saved, "f")[1]["cells"]] == cells
+    assert docx.resolved(saved, False) == docx.resolved(data, True)
