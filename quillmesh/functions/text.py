@@ -16,16 +16,24 @@ def _any(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
+def _replaced(text: Column, words, by: str, signs) -> Column:
+    """``text`` with ``words`` replaced; most texts have none of the ``signs``, one of which is in each word."""
+    some = F.lit(False)
+    for sign in signs:
+        some = some | F.contains(text, F.lit(sign))
+    return F.when(some, F.regexp_replace(text, _any(words), by)).otherwise(text)
+
+
 def compact(c) -> Column:
-    """Without white space, six full-width marks as ASCII."""
-    return F.translate(F.regexp_replace(_text(c), R.SPACE, ""), "（），。：；", "(),.:;")
+    """Without white space, six full-width marks as ASCII: one pass over the characters."""
+    return F.translate(_text(c), "（），。：；" + R.WHITE, "(),.:;")
 
 
 def neutral(c) -> Column:
     """The identity of a fact: own dates, voice words and spacing do not count."""
-    dated = F.regexp_replace(_text(c), _any(R.DATE_TERMS), "<DATE>")
+    dated = _replaced(_text(c), R.DATE_TERMS, "<DATE>", R.DATE_WORDS)
     named = F.replace(dated, F.lit(R.THIS_SOURCE), F.lit(R.SOURCE))
-    return compact(F.regexp_replace(named, _any([*R.ISSUER_WORDS, R.COMPANY]), "<C>"))
+    return compact(_replaced(named, [*R.ISSUER_WORDS, R.COMPANY], "<C>", [R.ISSUER_WORDS[0], R.COMPANY]))
 
 
 def lead(c) -> Column:
@@ -48,9 +56,9 @@ def strip_lead(c) -> Column:
 
 def adapt(c) -> Column:
     """A source text in the voice of the issuer's own document."""
-    dated = F.regexp_replace(_text(c), _any(R.DATE_TERMS), R.OWN_DATE)
+    dated = _replaced(_text(c), R.DATE_TERMS, R.OWN_DATE, R.DATE_WORDS)
     named = F.replace(dated, F.lit(R.THIS_SOURCE), F.lit(R.SOURCE))
-    return F.regexp_replace(named, _any(R.ISSUER_WORDS), R.COMPANY)
+    return _replaced(named, R.ISSUER_WORDS, R.COMPANY, R.ISSUER_WORDS)
 
 
 def adapt_for(source, target) -> Column:

@@ -11,6 +11,7 @@ DATE_TERMS = (
     "本说明性文件出具之日", "本说明性文件出具日", "说明性文件出具之日", "说明性文件出具日",
     "本说明出具之日", "本说明出具日", "说明出具之日", "说明出具日",
 )
+DATE_WORDS = ("签署", "出具")  # one of them is in each term
 # Voice words and what they become in a document of the issuer's own.
 OWN_DATE = "本说明性文件出具日"
 THIS_SOURCE, SOURCE = "本募集说明书", "募集说明书"
@@ -34,6 +35,8 @@ UNIT_LINE = r"^[\t-\r \x{3000}]*单位[\t-\r \x{3000}]*[:：]"
 CLAUSE = r"[^。；;]+[。；;]?"
 TRAILING_HEADING = rf"[。；;][\t-\r \x{{3000}}]*([（(][{HAN_DIGITS}0-9]+[）)].{{2,100}})$"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The characters of SPACE.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Heading patterns by level, with the longest text of a heading of that level.
 HEADING_LEVELS = (
     (0, rf"^第[{HAN_DIGITS}0-9]+[章节]", 160),

@@ -112,7 +112,7 @@ def test_recommended(spark):
 def test_damaged_packages_are_rows(spark):
     good = package(paragraph("Title"))
     rows = docx.scan_packages(spark.createDataFrame([("a.docx", good), ("b.docx", b"junk"), ("c.docx", None)], "name string, content binary")).collect()
-    assert sorted((r.name, r.kind, r.index, r.error) for r in rows) == [("a.docx", "paragraph", 0, None), ("b.docx", "error", -1, "not a ZIP package"), ("c.docx", "error", -1, "not a ZIP package")]
+    assert sorted((r.name, r.kind, r["index"], r.error) for r in rows) == [("a.docx", "paragraph", 0, None), ("b.docx", "error", -1, "not a ZIP package"), ("c.docx", "error", -1, "not a ZIP package")]
 
 
 def test_cells_of_several_paragraphs(spark):
