@@ -99,7 +99,7 @@ def replacement_risks(target_text: Column, source_text: Column, lost_rows: Colum
     unit = lambda c: F.regexp_extract(c, R.UNIT_IN_LINE, 1)
     return F.array_compact(
         F.array(
-            F.when((F.length(T.compact(target_text)) > 120) & (F.length(T.compact(source_text)) < 0.78 * F.length(T.compact(target_text))), "shorter"),
+            F.when((F.length(target_text) > 120) & (F.length(T.compact(source_text)) < 0.78 * F.length(T.compact(target_text))), "shorter"),
             F.when(F.size(lost_rows) > 0, "lost row labels"),
             F.when((unit(target_text) != "") & (unit(source_text) == ""), "lost unit"),
             F.when((unit(target_text) != "") & (unit(source_text) != "") & (unit(target_text) != unit(source_text)), "changed unit"),

@@ -72,7 +72,10 @@ def test_guards(spark):
     rows = spark.createDataFrame([(t, s, w) for t, s, w in cases], f"t {pair}, s {pair}, want string")
     assert all(r.got == r.want for r in rows.select(K.subject_guard().alias("got"), "want").collect())
     risks = spark.createDataFrame([("单位：万元 持股比例为5%", "单位：元")], "t string, s string").select(K.replacement_risks(F.col("t"), F.col("s"), F.array(F.lit("行"))).alias("r")).first().r
-    assert risks == ["shorter", "lost row labels", "changed unit", "lost share"]
+    assert risks == ["lost row labels", "changed unit", "lost share"]  # a short text has nothing to lose by length
+    sizes = spark.createDataFrame([("甲" * 120, "甲" * 60), ("甲" * 121, "甲" * 60), ("甲" * 121, "甲" * 100)], "t string, s string")
+    found = sizes.select(K.replacement_risks(F.col("t"), F.col("s"), F.array().cast("array<string>")).alias("r")).collect()
+    assert [r.r for r in found] == [[], ["shorter"], []]
 
 
 def test_merges_and_quotes(spark):
