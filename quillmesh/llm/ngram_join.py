@@ -252,27 +252,89 @@ def block_links(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.n
 SPAN, SUM, EACH = range(3)
 
 
+class _Overlaps:
+    """Exact overlaps of a row with many of the ``others`` at once.
+
+    Shingles that more than one set of 64 has are bits of each set's words, which takes no more room than the shingles
+    themselves; the rest are looked up in lists of the others that have them.
+    """
+
+    def __init__(self, rows: list[np.ndarray], others: list[np.ndarray]):
+        _, at, counts = np.unique(np.concatenate([*rows, *others]), return_inverse=True, return_counts=True)
+        self.sizes = np.array([len(s) for s in (*rows, *others)], np.int64)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        often = 64 * counts > len(self.sizes)
+        bit = (np.cumsum(often) - 1)[at]
+        width = (int(often.sum()) + 63) >> 6
+        frequent = often[at]
+        self.words = np.zeros(len(self.sizes) * width, _U)
+        np.bitwise_or.at(self.words, owner[frequent] * width + (bit[frequent] >> 6), _U(1) << (bit[frequent] & 63).astype(_U))
+        self.words = self.words.reshape(len(self.sizes), width)
+        self.cut, rare = len(rows), at[~frequent]
+        holder = owner[~frequent]
+        ours = holder < self.cut
+        self.rare = np.split(rare[ours], np.searchsorted(holder[ours], np.arange(1, self.cut)))
+        order = np.argsort(rare[~ours], kind="stable")
+        self.holders = holder[~ours][order] - self.cut
+        self.ends = np.cumsum(np.bincount(rare[~ours], minlength=len(counts)))
+
+    def linked(self, u: int, vs: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the distinct places ``vs`` whose sets are similar enough to row ``u``'s."""
+        shared = np.bitwise_count(self.words[self.cut + vs] & self.words[u]).sum(axis=1, dtype=np.int64)
+        ends = self.ends[self.rare[u]]
+        lengths = ends - np.where(self.rare[u] > 0, self.ends[self.rare[u] - 1], 0)
+        if total := int(lengths.sum()):
+            at = np.arange(total) + np.repeat(ends - np.cumsum(lengths), lengths)
+            shared += np.bincount(self.holders[at], minlength=len(self.sizes) - self.cut)[vs]
+        return vs[100 * shared >= percent * (self.sizes[u] + self.sizes[self.cut + vs] - shared)]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """The pairs by their first place, of some ``most`` pairs at a time."""
+    held, n = [], 0
+
+    def grouped() -> Iterator[tuple[int, np.ndarray]]:
+        us, vs = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(us, kind="stable")
+        found, starts = np.unique(us[order], return_index=True)
+        yield from zip(found.tolist(), np.split(vs[order], starts[1:]), strict=True)
+
+    for us, vs in pairs:
+        held.append((us, vs))
+        n += len(us)
+        if n >= most:
+            yield from grouped()
+            held, n = [], 0
+    if held:
+        yield from grouped()
+
+
 def block_counts(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None, percent: int, weights: dict[int, int], each: set[int]) -> list[tuple[int, int, int, int]]:
     """``(kind, a, b, n)``: spanning links, for each node the sum of the ``weights`` of all it links with, links with ``each``.
 
     Every pair that the trees leave is verified. Sums stand for the links, so rows don't grow with the square of a family.
     """
     own = _tree(rows)
-    others, other = (rows, own) if others is None else (others, _tree(others))
-    forest, sums, out = _Forest(), {}, []
-    for us, vs in tree_pairs(own, other, percent):
-        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
-            (x, left), (y, right) = rows[u], others[v]
-            if not _alike(left, right, percent):
-                continue
-            sums[x] = sums.get(x, 0) + weights[y]
-            sums[y] = sums.get(y, 0) + weights[x]
-            if x in each or y in each:
-                out.append((EACH, x, y, 0))
-            if forest.root(x) != forest.root(y):
-                forest.joined(x, y)
-                out.append((SPAN, x, y, 0))
-    return out + [(SUM, x, x, n) for x, n in sums.items()]
+    others, other, base = (rows, own, 0) if others is None else (others, _tree(others), len(rows))
+    nodes = [x for x, _ in rows] + [y for y, _ in others] * (base > 0)
+    weight = np.array([weights[x] for x in nodes], np.int64)
+    single = np.array([x in each for x in nodes], bool)
+    sums, component = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+    overlaps = _Overlaps([s for _, s in rows], [s for _, s in others])
+    out = []
+    for u, vs in _gathered(tree_pairs(own, other, percent)):
+        near = overlaps.linked(u, vs, percent) + base
+        if not len(near):
+            continue
+        sums[u] += weight[near].sum()
+        sums[near] += weight[u]
+        out += [(EACH, nodes[u], nodes[v], 0) for v in (near if single[u] else near[single[near]]).tolist()]
+        apart = near[component[near] != component[u]]
+        if len(apart):
+            merged, first = np.unique(component[apart], return_index=True)
+            out += [(SPAN, nodes[u], nodes[v], 0) for v in apart[first].tolist()]
+            component[np.isin(component, merged)] = component[u]
+    return out + [(SUM, nodes[k], nodes[k], int(sums[k])) for k in np.flatnonzero(sums).tolist()]
 
 
 def _often(seen: list[np.ndarray]) -> bytes | None:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -256,6 +257,35 @@ def test_ngram_links_by_brute_force(spark, docs, none, n, percent, block):
     assert ngram_join.linked(none, n=n, percent=percent, count_links=True).count() == 0
 
 
+def test_block_counts_by_brute_force():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 90).astype(np.uint64)
+    sets = [(k, np.unique(np.r_[base[rng.random(90) > 0.12 * rng.random()], rng.integers(0, 1 << 62, k % 9).astype(np.uint64)])) for k in range(300)]
+    weights, each = {k: k % 4 for k, _ in sets}, {k for k, _ in sets if k % 50 == 0}
+    for rows, others in ((sets, None), (sets[:120], sets[120:])):
+        pairs = itertools.combinations(rows, 2) if others is None else itertools.product(rows, others)
+        near = [(x, y) for (x, a), (y, b) in pairs if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))]
+        want = collections.Counter()
+        for x, y in near:
+            want[x] += weights[y]
+            want[y] += weights[x]
+        got = ngram_join.block_counts(rows, others, 85, weights, each)
+        assert 1000 < len(near)
+        assert {a: n for kind, a, _, n in got if kind == ngram_join.SUM} == +want
+        assert sorted((min(a, b), max(a, b)) for kind, a, b, _ in got if kind == ngram_join.EACH) == sorted(p for p in near if set(p) & each)
+        spans, every = ([(a, b) for kind, a, b, _ in got if kind == ngram_join.SPAN], near)
+        parts = lambda links: {frozenset(g) for g in connected(links)}
+        assert set(spans) <= {(x, y) for x, y in near} | {(y, x) for x, y in near} and parts(spans) == parts(every)
+
+
+def connected(links):
+    group = {}
+    for a, b in links:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group.update(dict.fromkeys(both, both))
+    return group.values()
+
+
 def test_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(2)
     for percent in (80, 85, 95):
