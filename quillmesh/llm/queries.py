@@ -47,18 +47,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85)
-
-
-def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85, count_links=True)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
-
-
-def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_runs(table(spark, sf_dir, "documents"))
 
 
@@ -84,8 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_media_columns": op5_media_columns,
     "op6_ngram_join": op6_ngram_join,
-    "op6_ngram_links": op6_ngram_links,
-    "op7_line_runs": op7_line_runs,
     "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mix": op9_source_mix,
@@ -95,9 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_warc": warc_archive.SQL,
-    "op6_ngram_join": ngram_join.SQL,
-    "op6_ngram_links": ngram_join.LINKS_SQL,
-    "op7_line_dedup": line_dedup.SQL,
-    "op7_line_runs": line_dedup.RUNS_SQL,
+    "op6_ngram_join": ngram_join.LINKS_SQL,
+    "op7_line_dedup": line_dedup.RUNS_SQL,
     "op9_source_mix": source_mix.SQL,
 }
