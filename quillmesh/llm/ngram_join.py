@@ -422,14 +422,15 @@ def _may_be_in(ids: DataFrame, column: str) -> Column:
     return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, flush: int = 1 << 20, count_links: bool = False) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, block_rows: int | None = None, flush: int = 1 << 20, count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
     text has no shingles and links with nothing; of fewer than ``n`` words the whole sequence is the one shingle. Rows
     of the same id are one node and link if either links. Rows with a null id stay alone with a null component. Equal
     sets are one node, so copies cost nothing after the keys. Nothing is capped: large families are cut into blocks of
-    about ``block_shingles`` shingles, and every pair of blocks is searched. Shingles and keys are compared by 64-bit
+    about ``block_shingles`` shingles (and ``block_rows`` sets, if given, so that many short ones don't gather in a
+    task), and every pair of blocks is searched. Shingles and keys are compared by 64-bit
     hashes, equal sets by two of them; sets are named by the first, with another seed if two sets should share it. The
     list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
 
@@ -525,7 +526,10 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     extra = ["weight", "each"] if count_links else []
     if count_links:
         members = members.join(weights.withColumnRenamed("h1", "node"), "node")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
+    n_blocks = F.ceil(F.sum("n_shingles") / block_shingles)
+    if block_rows:
+        n_blocks = F.greatest(n_blocks, F.ceil(F.count("*") / block_rows))
+    blocks = members.groupBy("family").agg(n_blocks.cast("int").alias("n_blocks"))
     members = written(members.join(blocks, "family").select("node", "first_id", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), *extra), "members")
     wanted = spark.sparkContext.broadcast(_filter_of(members.select("first_id")))
 

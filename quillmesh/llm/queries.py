@@ -47,7 +47,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85, count_links=True)
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=4, percent=85, block_rows=1024, count_links=True)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,7 +249,7 @@ def test_ngram_links_by_brute_force(spark, docs, none, n, percent, block):
     alike = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
     want = {i: sum(j != i and any(alike(a, b) for a in own for b in other) for j, other in sets.items()) for i, own in sets.items()}
     more = docs.unionByName(spark.createDataFrame(again, "doc_id long, text string"), allowMissingColumns=True)
-    got = ngram_join.linked(more, n=n, percent=percent, block_shingles=block, count_links=True).collect()
+    got = ngram_join.linked(more, n=n, percent=percent, block_shingles=block, block_rows=7, count_links=True).collect()
     assert len(got) == len(corpus()) + len(again) and max(want.values()) > 5
     assert [(r, want.get(r.doc_id)) for r in got if r.n_links != (want[r.doc_id] if r.doc_id is not None and r.n_shingles else 0)] == []
     few = ngram_join.linked(more, n=n, percent=percent, block_shingles=block).collect()
