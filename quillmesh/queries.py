@@ -130,11 +130,11 @@ def anchor_prev_next(spark, sf_dir):
     return B.nearest_marked(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", F.col("turn")).select("conv_id", "turn", "before", "after")
 
 
-@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_quantity > 10),
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem),
 b AS (SELECT *, coalesce((i - lag(i) OVER w != 1)::INT, 1) AS brk FROM x WINDOW w AS (PARTITION BY k ORDER BY i))
-SELECT k AS l_orderkey, i::BIGINT AS l_linenumber, (sum(brk) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM b""")
+SELECT k AS l_orderkey, i::BIGINT AS l_linenumber, (sum(brk) OVER (PARTITION BY k ORDER BY i, brk ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM b""")
 def diagonal_islands(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return longs(B.islands(lines, ["l_orderkey"], "l_linenumber"))
 
 
@@ -145,11 +145,11 @@ def margin_top2(spark, sf_dir):
     return C.margin_top(orders, ["o_custkey"], "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", F.round("margin", 4).alias("margin"))
 
 
-@query("""WITH i AS (SELECT c_nationkey AS k, c_custkey AS s, c_custkey + 40 AS e FROM customer WHERE c_acctbal > 9000)
+@query("""WITH i AS (SELECT c_nationkey AS k, c_custkey AS s, c_custkey + 40 AS e FROM customer)
 SELECT c_nationkey, c_custkey, (SELECT count(*) FROM i WHERE k = c_nationkey AND s <= c_custkey AND c_custkey < e)::BIGINT AS n_owners FROM customer""")
 def interval_owner(spark, sf_dir):
     people = table(spark, sf_dir, "customer")
-    intervals = people.where("c_acctbal > 9000").select("c_nationkey", F.col("c_custkey").alias("start"), (F.col("c_custkey") + 40).alias("end"))
+    intervals = people.select("c_nationkey", F.col("c_custkey").alias("start"), (F.col("c_custkey") + 40).alias("end"))
     return longs(C.owners(people.select("c_nationkey", "c_custkey"), intervals, "c_nationkey", "c_custkey").select("c_nationkey", "c_custkey", "n_owners"))
 
 
@@ -216,16 +216,16 @@ def lost_labels(spark, sf_dir):
     return r.select("t", F.concat_ws(",", tables.lost_labels(tables.cells("t"), tables.cells("s"))).alias("lost"))
 
 
-@query("""WITH s AS (SELECT p_brand AS parent, p_type AS key, min(p_partkey) AS pos FROM part GROUP BY ALL), t AS (SELECT parent, key FROM s WHERE pos % 3 > 0),
+@query("""WITH s AS (SELECT s_nationkey::BIGINT AS parent, floor(s_acctbal / 100)::BIGINT AS key, min(s_suppkey) AS pos FROM supplier GROUP BY ALL), t AS (SELECT DISTINCT c_nationkey AS parent, floor(c_acctbal / 100)::BIGINT AS key FROM customer),
 m AS (SELECT s.*, t.key IS NOT NULL AS ok FROM s LEFT JOIN t ON s.parent = t.parent AND s.key = t.key),
 p AS (SELECT *, last_value(CASE WHEN ok THEN key END IGNORE NULLS) OVER (PARTITION BY parent ORDER BY pos, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   first_value(CASE WHEN ok THEN key END IGNORE NULLS) OVER (PARTITION BY parent ORDER BY pos, key ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
   count(*) OVER (PARTITION BY parent) AS n, sum(ok::INT) OVER (PARTITION BY parent) AS have FROM m)
 SELECT parent, key, pos, before, after FROM p WHERE NOT ok AND have > 0 AND have >= least(CASE WHEN n < 3 THEN n - 1 ELSE greatest(3, ceil(n * 3 / 5)) END, n - 1)""")
 def missing_siblings(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent"), F.col("p_type").alias("key"), "p_partkey")
-    sources = part.groupBy("parent", "key").agg(F.min("p_partkey").alias("pos"))
-    return C.missing_siblings(sources.where("pos % 3 > 0"), sources)
+    items = lambda name, x, *keep: table(spark, sf_dir, name).select(F.col(f"{x}_nationkey").cast("long").alias("parent"), F.floor(F.col(f"{x}_acctbal") / 100).cast("long").alias("key"), *keep)
+    sources = items("supplier", "s", "s_suppkey").groupBy("parent", "key").agg(F.min("s_suppkey").alias("pos"))
+    return C.missing_siblings(items("customer", "c"), sources)
 
 
 _OUTLINE = "(0,'Title',CAST(NULL AS INT),false),(1,'第一章 A',0,false),(2,'一、B',1,false),(3,'text',CAST(NULL AS INT),false),(4,'1、C',3,false),(5,'目录 9',1,true),(6,'二、D',1,false),(7,'more',CAST(NULL AS INT),false),(8,'第二章 E',0,false),(9,'（一）F',2,false),(10,'end',CAST(NULL AS INT),false)"
@@ -258,12 +258,12 @@ def idf_weights(spark, sf_dir):
     return M.idf_weights(words, F.lit(n)).withColumn("weight", F.round("weight", 9))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS gram FROM documents), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS gram FROM benchmark),
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM documents), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM benchmark),
 n AS (SELECT count(DISTINCT item_id) AS n FROM b), i AS (SELECT gram, ln(1 + (SELECT n FROM n) / (1 + count(*))) AS w FROM b GROUP BY gram),
 s AS (SELECT doc_id, item_id, sum(w) AS score FROM w JOIN i USING (gram) JOIN b USING (gram) GROUP BY ALL)
 SELECT doc_id AS target, item_id AS block, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) <= 4""")
 def idf_topk(spark, sf_dir):
-    words = lambda name, key, new: table(spark, sf_dir, name).select(F.col(key).alias(new), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("gram"))
+    words = lambda name, key, new: table(spark, sf_dir, name).select(F.col(key).alias(new), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("gram"))
     return M.weighted_hits(words("documents", "doc_id", "target"), words("benchmark", "item_id", "block"), 4).select("target", "block", F.round("score", 6).alias("score"))
 
 
@@ -330,11 +330,11 @@ def money_scale(spark, sf_dir):
     return r.select("s", "unit", C.unit_scaled(T.decimal("s"), F.col("unit"), R.Units().scale).cast("double").alias("base"), T.shown_tolerance("s").cast("double").alias("tolerance"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, turn + (conv_id % 3) AS source, role = 'user' AND turn % 5 = 0 AS anchor FROM conversations WHERE turn % 4 != 3),
+@query("""WITH m AS (SELECT conv_id, turn, turn + coalesce(length(text), 0) % 2 AS source, role = 'user' AND turn % 5 = 0 AS anchor FROM conversations),
 r AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, source - turn ORDER BY turn) AS run FROM m)
 SELECT conv_id, turn, source, anchor FROM r QUALIFY bool_or(anchor) OVER (PARTITION BY conv_id, source - turn, run)""")
 def diagonal_fixpoint(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").where("turn % 4 != 3").select("conv_id", F.col("turn").alias("index"), (F.col("turn") + F.col("conv_id") % 3).alias("source"), ((F.col("role") == "user") & (F.col("turn") % 5 == 0)).alias("anchor"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("index"), (F.col("turn") + F.coalesce(F.length("text"), F.lit(0)) % 2).alias("source"), ((F.col("role") == "user") & (F.col("turn") % 5 == 0)).alias("anchor"))
     return C.extend_on_diagonal(m, ["conv_id"]).select("conv_id", F.col("index").alias("turn"), "source", "anchor")
 
 
@@ -345,11 +345,11 @@ def merged_findings(spark, sf_dir):
     return C.merged_findings(e).join(counts, ["rule", "block"]).select(F.col("rule").alias("event_type"), "block", "n", F.concat_ws(";", "details").alias("details"))
 
 
-@query(f"""WITH {_PARAGRAPHS}, a AS (SELECT text, count(*) AS n FROM p WHERE doc % 2 = 1 AND length(text) > 30 GROUP BY text), b AS (SELECT text, count(*) AS n FROM p WHERE doc % 2 = 0 AND length(text) > 30 GROUP BY text)
+@query(f"""WITH {_PARAGRAPHS}, a AS (SELECT text, count(*) AS n FROM p GROUP BY text), b AS (SELECT text, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM conversations) GROUP BY text)
 SELECT text, (a.n - coalesce(b.n, 0))::BIGINT AS surplus FROM a LEFT JOIN b USING (text) WHERE a.n > coalesce(b.n, 0)""")
 def surplus_copies(spark, sf_dir):
-    lines = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.length("text") > 30)
-    return C.surplus_copies(lines.where("doc % 2 = 0"), lines.where("doc % 2 = 1"), "text")
+    lines = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return C.surplus_copies(B.split_blocks(table(spark, sf_dir, "conversations"), "conv_id", "text"), lines, "text")
 
 
 @query("""SELECT c_nationkey, c_custkey, coalesce(last_value(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END IGNORE NULLS) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 'other') AS section FROM customer""")
@@ -358,12 +358,13 @@ def section_state(spark, sf_dir):
     return B.section_state(people, F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), ["c_nationkey"]).select("c_nationkey", "c_custkey", "section")
 
 
-@query("""WITH g AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY l_orderkey, l_linenumber, l_quantity)[1:4] AS w FROM lineitem GROUP BY l_suppkey), s AS (SELECT l_suppkey, w, list_transform(w, lambda x: x * 9000 // list_sum(w)) AS v FROM g)
-SELECT l_suppkey, array_to_string(list_concat(v[1:len(v) - 1], [v[len(v)] + 9000 - list_sum(v)]), ',') AS widths FROM s""")
+@query("""WITH g AS (SELECT l_orderkey, list(l_quantity::BIGINT ORDER BY l_linenumber, l_quantity) AS w FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey, w, list_transform(w, lambda x: x * 9000 // list_sum(w)) AS v FROM g)
+SELECT l_orderkey, array_to_string(list_concat(v[1:len(v) - 1], [v[len(v)] + 9000 - list_sum(v)]), ',') AS widths FROM s""")
 def column_widths(spark, sf_dir):
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q")))), 1, 4), lambda x: x["q"])
-    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(first.alias("w"))
-    return g.select("l_suppkey", F.concat_ws(",", tables.column_widths(F.col("w"), F.lit(9000).cast("long")).cast("array<string>")).alias("widths"))
+    # An order has few lines, so its list is short.
+    widths = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q")))), lambda x: x["q"])
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(widths.alias("w"))
+    return g.select("l_orderkey", F.concat_ws(",", tables.column_widths(F.col("w"), F.lit(9000).cast("long")).cast("array<string>")).alias("widths"))
 
 
 @query("""WITH w AS (SELECT url, page_id, 100 * (html LIKE '%<h1>%')::INT + 30 * (length(html) > 4000)::INT - 40 * (page_id % 7 = 0)::INT AS score FROM pages), h AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/]+') AS host FROM w)
