@@ -116,3 +116,14 @@ def test_assessment(spark):
     ]
     got = {r.target: (r.status, r.rule) for r in K.assessed(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: ("auto", "exact"), 2: ("auto", "unique wording"), 3: ("review", "conflicting twins"), 4: ("auto", "same heading"), 5: ("missing", "weak"), 6: ("review", "unsure"), 7: ("review", "risk")}
+
+
+def test_missing_siblings_by_support(spark):
+    from quillmesh.operators.reconcile import missing_siblings
+
+    sources = spark.createDataFrame([(p, k, i) for p, keys in (("a", "uvwxy"), ("b", "uvwxy"), ("c", "uv"), ("d", "u")) for i, k in enumerate(keys)], "parent string, key string, pos long")
+    targets = spark.createDataFrame([("a", "u"), ("a", "w"), ("a", "w"), ("a", "y"), ("b", "u"), ("b", "v"), ("c", "v"), ("e", "u")], "parent string, key string")
+    got = {tuple(r) for r in missing_siblings(targets, sources).collect()}
+    # "b" has two of five, which is too few; "d" has none; "e" isn't in the sources
+    assert got == {("a", "v", 1, "u", "w"), ("a", "x", 3, "w", "y"), ("c", "u", 0, None, "v")}
+    assert missing_siblings(targets.limit(0), sources).count() == 0
