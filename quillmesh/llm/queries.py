@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import licence_scan, line_dedup, ngram_join, png_media, quality_rules, sentencepiece_bpe, source_mix, suffix_dedup, toxicity, warc_archive
+from quillmesh.llm import importance_resampling, language_id, licence_scan, line_dedup, ngram_join, png_media, quality_rules, sentencepiece_bpe, source_mix, spelling_groups, suffix_dedup, toxicity, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.grouped(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_licence_scan": op2_licence_scan,
@@ -80,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +104,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": ngram_join.LINKS_SQL,
     "op7_line_dedup": line_dedup.RUNS_SQL,
     "op9_source_mix": source_mix.SQL,
+    "op11_spelling_variants": spelling_groups.SQL,
+    "op12_importance_resampling": importance_resampling.SQL,
 }
