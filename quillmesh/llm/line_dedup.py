@@ -6,7 +6,7 @@ the smallest document (then the earliest) stays; others go once their bytes have
 
 A chunk's ends may fall inside a passage that only two neighbours share. ``without_runs`` therefore extends what the
 chunks find: lines beside a removed chunk, and runs too short to hold one, go by windows of ``min_lines`` lines that
-stand at an earlier place, so a repeated run goes whole, wherever its neighbours change.
+stand at an earlier place, so a repeated run goes whole, wherever its neighbours change. Both compare bytes.
 """
 
 from __future__ import annotations
@@ -87,19 +87,10 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeated = written(places.join(groups, "hash_"), "repeated-chunks")
 
     wanted = repeated.groupBy("row_").agg(F.collect_set(F.struct("k_", "hash_", "id_", "first_")).alias("wanted_"))
-    texts = written(
-        keyed.select("row_", "chunks_")
-        .join(wanted, "row_")
-        .select("row_", "chunks_", F.explode("wanted_").alias("w"))
-        .select(
-            "row_",
-            F.col("w.k_").alias("k_"),
-            F.col("w.hash_").alias("hash_"),
-            (F.struct("w.id_", "row_", "w.k_") <= F.col("w.first_")).alias("stays_"),
-            F.element_at("chunks_", F.col("w.k_") + 1)["text"].alias("bytes_"),
-        ),
-        "repeated-texts",
-    )
+    # Cells are cut out before the array is exploded, so no row carries a whole text.
+    cell = lambda w: F.struct(w["k_"].alias("k_"), w["hash_"].alias("hash_"), (F.struct(w["id_"], "row_", w["k_"]) <= w["first_"]).alias("stays_"), F.element_at("chunks_", w["k_"] + 1)["text"].alias("bytes_"))
+    cells = keyed.select("row_", "chunks_").join(wanted, "row_").select("row_", F.transform("wanted_", cell).alias("cells_"))
+    texts = written(cells.select("row_", F.explode("cells_").alias("c")).select("row_", "c.*"), "repeated-texts")
     kept = texts.where("stays_").select("hash_", F.col("bytes_").alias("kept_")).distinct()
     gone = (
         texts.where("NOT stays_")
@@ -122,19 +113,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _line_ids(text: Column, seed: int) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(F.lit(seed), line.cast("binary")))
-
-
-def _clash(docs: DataFrame, text_col: str, seed: int) -> bool:
-    """Whether two different lines of the corpus have one hash: lines are compared byte by byte, distinct ones alone."""
-    lines = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line_")).select(F.col("line_").cast("binary")).distinct()
-    clashes = lines.groupBy(F.xxhash64(F.lit(seed), "line_").alias("hash_")).count().where("count > 1")
-    return bool(written(clashes, "line-hashes").head(1))  # written, so that the lines' shuffle files go
-
-
 def _cut(lines: Column, modulus: int) -> Column:
-    """Array of (first, n): chunks of line hashes, which end where a hash over two neighbours is a multiple of
+    """Array of (first, n): chunks of line keys, which end where a hash over two neighbours is a multiple of
     ``modulus`` and that of the two before isn't, so that no chunk inside a text has one line."""
     closes = F.transform(lines, lambda h, i: F.pmod(F.xxhash64(F.coalesce(F.get(lines, i - 1), F.lit(0)), h), F.lit(modulus)) == 0)
 
@@ -149,58 +129,115 @@ def _cut(lines: Column, modulus: int) -> Column:
     return _let(closes, of_closes)
 
 
-def _later(row: str, at: str, least: int) -> Column:
-    """Whether a place comes after the first one without overlapping it."""
-    return (F.col(row) != F.col("first_.row_")) | (F.col(at) - F.col("first_.k_") >= least)
+_ROW = ("r1_", "r2_")
+_UNIT = ("n_", "x_", "y_", "bytes_")
+
+
+def _joined(lines: Column, k: Column, n) -> Column:
+    return F.array_join(F.slice(lines, k + 1, n), "\n")
+
+
+def _units(table: DataFrame, unit: Column, by_bytes: bool) -> DataFrame:
+    """A row for each unit (k, n) of the array ``unit``: its row, place, size, 128 bits over its lines' keys, and with
+    ``by_bytes`` its text. The cells are made inside the array, so that an exploded row has nothing else."""
+    key = lambda u, salt: F.xxhash64(F.lit(salt), F.slice("a_", u["first"] + 1, u["n"]), F.slice("b_", u["first"] + 1, u["n"]))
+    text = lambda u: _joined(F.col("lines_"), u["first"], u["n"]) if by_bytes else F.lit("")
+    cell = lambda u: F.struct(u["first"].alias("k_"), u["n"].cast("int").alias("n_"), key(u, 1).alias("x_"), key(u, 2).alias("y_"), text(u).alias("bytes_"))
+    return table.select("id_", *_ROW, F.explode(F.transform(unit, cell)).alias("u_")).select("id_", *_ROW, "u_.*")
+
+
+def _met(units: DataFrame, name: str) -> DataFrame:
+    """The units that stand at several places, each with its first; written. Places are pre-aggregated by unit."""
+    firsts = units.groupBy(*_UNIT).agg(F.count("*").alias("times_"), F.min(F.struct("id_", *_ROW, "k_")).alias("first_")).where("times_ > 1").drop("times_")
+    return written(units.join(firsts, [*_UNIT]), name)
 
 
-def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, modulus: int = 3) -> DataFrame:
+def _same_row() -> Column:
+    return (F.col("r1_") == F.col("first_.r1_")) & (F.col("r2_") == F.col("first_.r2_"))
+
+
+def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, min_lines: int = 2, modulus: int = 3, hash_bits: int = 64) -> DataFrame:
+    """``r1_, r2_, k_, n_, by``: runs of ``n_`` lines from line ``k_`` that stand at an earlier place too.
+
+    ``by`` is ``chunk`` for a content-defined chunk, and ``window`` for ``min_lines`` lines of which a part lies outside
+    all repeated chunks: at a match's ends, or in a run too short to hold a chunk. Units meet under 128 bits; then the
+    bytes of all units that met are compared. Where two texts should share a key, units meet by their bytes in a second
+    turn, so keys never decide. (``hash_bits``: of each half of a line's key; fewer only make that turn likelier.)
+    """
+    fewer = lambda h: h if hash_bits == 64 else h % F.lit(1 << hash_bits - 1)
+    line_key = lambda salt: lambda line: fewer(F.xxhash64(F.lit(salt), line.cast("binary")))
+    rows = _numbered(docs, id_col, text_col).where(F.col(text_col).isNotNull())
+    lines = F.split(text_col, "\n", -1)
+
+    def turn(by_bytes: bool) -> tuple[DataFrame, DataFrame]:
+        keyed = rows.select("id_", *_ROW, F.transform(lines, line_key(1)).alias("a_"), F.transform(lines, line_key(2)).alias("b_"), *([lines.alias("lines_")] if by_bytes else []))
+        keyed = written(keyed, "line-keys")
+        long = F.filter(_cut(F.col("a_"), modulus), lambda c: c["n"] >= min_lines)
+        chunks = _met(_units(keyed, long, by_bytes), "chunks")
+        later = chunks.where(~(_same_row() & (F.col("k_") == F.col("first_.k_"))))
+        taken = later.groupBy(*_ROW).agg(F.collect_set(F.struct("k_", "n_")).alias("taken_"))
+        inside = F.flatten(F.transform("taken_", lambda c: F.sequence(c["k_"], c["k_"] + c["n_"] - min_lines)))
+        starts = F.when(F.size("a_") >= min_lines, F.sequence(F.lit(0), F.size("a_") - min_lines)).otherwise(F.array().cast("array<int>"))
+        left = F.array_except(starts, F.coalesce(inside, F.array().cast("array<int>")))
+        windows = F.transform(left, lambda k: F.struct(k.alias("first"), F.lit(min_lines).alias("n")))
+        # the table of taken chunks grows with the corpus, so it isn't broadcast
+        rest = keyed.join(taken.hint("merge"), [*_ROW], "left").withColumn("windows_", windows)
+        return chunks, _met(_units(rest, F.col("windows_"), by_bytes), "windows")
+
+    chunks, windows = turn(False)
+    if _apart(rows, chunks.union(windows), text_col):
+        chunks, windows = turn(True)
+    later = chunks.where(~(_same_row() & (F.col("k_") == F.col("first_.k_"))))
+    # windows of one text overlap: one that begins inside its first place doesn't count
+    beside = windows.where(~_same_row() | (F.col("k_") - F.col("first_.k_") >= min_lines))
+    pick = lambda df, by: df.select(*_ROW, "k_", "n_", F.lit(by).alias("by"))
+    return pick(later, "chunk").union(pick(beside, "window"))
+
+
+def _apart(rows: DataFrame, met: DataFrame, text_col: str) -> bool:
+    """Whether units under one key differ in their bytes. Smallest and largest text are kept of each, so the copies of
+    a unit are compared where they are and don't gather."""
+    wanted = met.groupBy(*_ROW).agg(F.collect_set(F.struct("k_", "n_", "x_", "y_")).alias("wanted_"))
+    texts = rows.select(*_ROW, text_col).join(wanted.hint("merge"), [*_ROW])
+    cells = _let(F.split(text_col, "\n", -1), lambda lines: F.transform("wanted_", lambda u: F.struct(u["n_"].alias("n_"), u["x_"].alias("x_"), u["y_"].alias("y_"), _joined(lines, u["k_"], u["n_"]).alias("t_"))))
+    seen = texts.select(F.explode(cells).alias("u_")).select("u_.*")
+    unlike = seen.groupBy("n_", "x_", "y_").agg(F.min("t_").alias("least_"), F.max("t_").alias("most_")).where("least_ != most_")
+    return bool(written(unlike.select("n_", "x_", "y_"), "unlike").head(1))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A document is known by 128 bits over its id and text, so rows that repeat both count as one document."""
+    of = lambda salt: F.xxhash64(F.lit(salt), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    return docs.withColumns({"id_": F.col(id_col), "r1_": of(1), "r2_": of(2)})
+
+
+_OWN_RUNS = ("id_", "r1_", "r2_", "gone_", "kept_")
+
+
+def without_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, modulus: int = 3, hash_bits: int = 64) -> DataFrame:
     """All rows of ``docs`` without the lines of repeated runs, and ``n_lines``, ``n_removed`` (lines, long).
 
     A line goes if a window of ``min_lines`` lines around it stands at an earlier place too: in a smaller document, or
     before it in its own without overlap. So every run of that length or more whose windows stand earlier goes whole,
     and each line that goes still stands somewhere. Nulls, empty texts, null ids, rows that repeat, line ends and added
-    columns are treated as in ``deduplicated``. Lines are known by 64-bit hashes whose equality stands for that of their
-    bytes: all distinct lines are compared, and with a clash another seed is taken.
-
-    Content-defined chunks are compared first, line by line; of a repeated chunk nothing more is looked at. The windows
-    that are left extend these matches to both sides. Chunks and windows are pre-aggregated before they meet their places.
+    columns are treated as in ``deduplicated``. Content-defined chunks decide first; windows extend their matches at
+    both ends (:func:`repeated_runs`). Time and memory of a text are linear in its lines.
     """
     given = docs.drop("n_lines", "n_removed")
-    docs, moved = aside(given, *_OWN)
+    docs, moved = aside(given, *_OWN_RUNS)
     id_col, text_col = moved.get(id_col, id_col), moved.get(text_col, text_col)
-    seed = 0
-    while _clash(docs, text_col, seed):
-        seed += 1
-    keyed = written(_keys(docs, id_col, text_col).select("id_", "row_", _line_ids(F.col(text_col), seed).alias("lines_")).where("lines_ IS NOT NULL"), "line-ids")
-    cut = keyed.select("id_", "row_", "lines_", F.explode(_cut(F.col("lines_"), modulus)).alias("cut_")).where(F.col("cut_.n") >= min_lines)
-    chunks = cut.select("id_", "row_", F.col("cut_.first").alias("k_"), F.slice("lines_", F.col("cut_.first") + 1, F.col("cut_.n")).alias("chunk_"))
-    firsts = chunks.groupBy("chunk_").agg(F.count("*").alias("n_"), F.min(F.struct("id_", "row_", "k_")).alias("first_")).where("n_ > 1").drop("n_")
-    again = chunks.join(firsts, "chunk_").where((F.col("row_") != F.col("first_.row_")) | (F.col("k_") != F.col("first_.k_")))
-    taken = written(again.groupBy("row_").agg(F.collect_set(F.struct("k_", F.size("chunk_").alias("n_"))).alias("taken_")), "repeated-chunks")
-
-    window = [f"h{k}_" for k in range(min_lines)]
-    inside = lambda at: F.exists("taken_", lambda c: (at >= c["k_"]) & (at + min_lines <= c["k_"] + c["n_"]))
-    places = (
-        keyed.join(taken.hint("merge"), "row_", "left")
-        .select("id_", "row_", "lines_", "taken_", F.posexplode("lines_").alias("k_", "h0_"))
-        .where((F.col("k_") + min_lines <= F.size("lines_")) & ~F.coalesce(inside(F.col("k_")), F.lit(False)))
-        .select("id_", "row_", "k_", "h0_", *(F.get("lines_", F.col("k_") + k).alias(f"h{k}_") for k in range(1, min_lines)))
-    )
-    groups = places.groupBy(*window).agg(F.count("*").alias("n_"), F.min(F.struct("id_", "row_", "k_")).alias("first_")).where("n_ > 1").drop("n_")
-    beside = places.join(groups, window).where(_later("row_", "k_", min_lines)).groupBy("row_").agg(F.collect_set(F.struct("k_", F.lit(min_lines).alias("n_"))).alias("gone_"))
-    gone = written(beside.unionByName(taken.withColumnRenamed("taken_", "gone_")).groupBy("row_").agg(F.flatten(F.collect_list("gone_")).alias("gone_")), "repeated-runs")
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_lines=min_lines, modulus=modulus, hash_bits=hash_bits)
+    gone = runs.groupBy(*_ROW).agg(F.collect_set(F.struct("k_", "n_")).alias("gone_"))
+    gone = written(gone.select(*_ROW, F.array_distinct(F.flatten(F.transform("gone_", lambda g: F.sequence(g["k_"], g["k_"] + g["n_"] - 1)))).alias("gone_")), "repeated-runs")
 
     lines = F.split(text_col, "\n", -1)
-    covered = lambda i: F.exists("gone_", lambda g: (i >= g["k_"]) & (i < g["k_"] + g["n_"]))
-    kept = F.filter(lines, lambda _, i: ~covered(i))
+    kept = _let(lines, lambda found: F.transform(F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("gone_")), lambda i: F.get(found, i)))
     return (
-        _keys(docs, id_col, text_col)
-        .join(gone.hint("merge"), "row_", "left")  # it grows with the corpus, so it isn't broadcast
+        _numbered(docs, id_col, text_col)
+        .join(gone.hint("merge"), [*_ROW], "left")  # it grows with the corpus, so it isn't broadcast
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("kept_", F.when(F.col("gone_").isNotNull(), kept))
-        .withColumn("n_removed", F.when(F.col("gone_").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept_")).cast("long"))
-        .withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join("kept_", "\n")))
+        .withColumn("n_removed", F.coalesce(F.size("gone_"), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
         .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "n_lines", "n_removed")
     )
 

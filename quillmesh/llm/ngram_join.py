@@ -357,18 +357,38 @@ def _frequent(profile: DataFrame, most: int = 1 << 18) -> np.ndarray:
     return np.sort(best.column("shingle").to_numpy().astype(np.int64).view(_U))
 
 
-def _set_hashes(shingles: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two 64-bit hashes of a set of shingles."""
-    return tuple(int(_mixed(shingles ^ _U(2 * seed + k)).sum(dtype=_U).astype(np.int64)) for k in (1, 2))
+def _set_hashes(shingles: np.ndarray, bits: int = 63) -> tuple[int, int]:
+    """Two hashes of a set of shingles, of ``bits`` bits (not negative) and 64 bits."""
+    first, second = (_mixed(shingles ^ _U(k)).sum(dtype=_U) for k in (1, 2))
+    return int(first >> _U(64 - bits)), int(second.astype(np.int64))
 
 
-def _profiled(docs: DataFrame, n: int, seed: int) -> DataFrame:
+def _names(classes: DataFrame) -> dict[tuple[int, int, int], int]:
+    """Names of their own for the sets that share a first hash with another: negative, so that no other has them.
+
+    Of N sets, about N * N / 2**64 share one: some dozens of 10**10, which is the bound of what comes to the driver.
+    """
+    shared = classes.groupBy("h1").count().where("count > 1").select("h1")
+    rows = sorted(tuple(r) for r in classes.join(shared, "h1").select("n_shingles", "h1", "h2").collect())
+    return {row: -1 - k for k, row in enumerate(rows)}
+
+
+def _renamed(df: DataFrame, names: dict[tuple[int, int, int], int]) -> DataFrame:
+    """``df`` with the names in place of the first hash of these sets."""
+    if not names:
+        return df
+    table = df.sparkSession.createDataFrame([(*row, name) for row, name in names.items()], "n_shingles long, h1 long, h2 long, name_ long")
+    named = df.join(F.broadcast(table), ["n_shingles", "h1", "h2"], "left")
+    return named.withColumn("h1", F.coalesce("name_", "h1")).select(*df.columns)
+
+
+def _profiled(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """``doc_id, n_shingles, h1, h2`` of each row, and the batch's frequent shingles with its first row; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
-            hashes = [_set_hashes(s, seed) for s in seen]
+            hashes = [_set_hashes(s, bits) for s in seen]
             often = [_often(seen), *[None] * len(seen)][: len(seen)]
             columns = ([len(s) for s in seen], [h for h, _ in hashes], [h for _, h in hashes])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(often, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "often"])
@@ -422,7 +442,7 @@ def _may_be_in(ids: DataFrame, column: str) -> Column:
     return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, block_rows: int | None = None, flush: int = 1 << 20, count_links: bool = False) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, block_rows: int | None = None, flush: int = 1 << 20, count_links: bool = False, name_bits: int = 63) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
@@ -431,8 +451,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     sets are one node, so copies cost nothing after the keys. Nothing is capped: large families are cut into blocks of
     about ``block_shingles`` shingles (and ``block_rows`` sets, if given, so that many short ones don't gather in a
     task), and every pair of blocks is searched. Shingles and keys are compared by 64-bit
-    hashes, equal sets by two of them; sets are named by the first, with another seed if two sets should share it. The
-    list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
+    hashes, equal sets by two of them; sets are named by the first (``name_bits`` bits of it), and the few that share it get
+    names of their own. The list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
 
     With ``count_links``, also ``n_links`` (long): the other ids that a document links with itself, of equal texts too
     (0 without words or id). All pairs that the trees leave are then verified, also those that are connected already.
@@ -440,13 +460,15 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = ["n_shingles", "h1", "h2"]
-    seed = 0
-    while True:
-        profile = _profiled(docs, n, seed)
-        classes = written(profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("first_id")), "classes")
-        if not classes.groupBy("h1").count().where("count > 1").head(1):
-            break
-        seed += 1
+    profile = _profiled(docs, n, name_bits)
+    classes = written(profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("first_id")), "classes")
+    names = _names(classes)
+    classes, profile = _renamed(classes, names), _renamed(profile, names)
+
+    def name_of(shingles: np.ndarray) -> int:
+        h1, h2 = _set_hashes(shingles, name_bits)
+        return names.get((len(shingles), h1, h2), h1)
+
     frequent = spark.sparkContext.broadcast(_frequent(profile))
     profile = profile.drop("often")
     # Tasks that gather keys hold a bounded number of shingles each, however many partitions the session asks for.
@@ -484,7 +506,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         for batch in batches:
             for text in batch.column(0):
                 shingles = shingles_of(text.as_py(), n)
-                node = _set_hashes(shingles, seed)[0]
+                node = name_of(shingles)
                 if not len(shingles) or node in seen:
                     continue
                 own = keys_of(shingles, levels, frequent.value)
@@ -537,7 +559,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         for batch in batches:
             batch = batch.filter(pa.array(_passes(wanted.value, batch.column(0).to_numpy())))
             seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
-            hashes = pa.array([_set_hashes(s, seed)[0] for s in seen], pa.int64())
+            hashes = pa.array([name_of(s) for s in seen], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array([s.tobytes() for s in seen], pa.binary())], ["first_id", "node", "shingles"])
         released(_hashes)
 
@@ -645,8 +667,7 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
 #: The contract's links by brute force in DuckDB, for small tables.
 SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
 u AS (SELECT doc_id, unnest(s) AS g FROM s),

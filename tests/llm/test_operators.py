@@ -4,7 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -255,6 +258,8 @@ def test_ngram_links_by_brute_force(spark, docs, none, n, percent, block):
     few = ngram_join.linked(more, n=n, percent=percent, block_shingles=block).collect()
     assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(few)
     assert ngram_join.linked(none, n=n, percent=percent, count_links=True).count() == 0
+    # names of two bits are shared by nearly all sets
+    assert plain(ngram_join.linked(more, n=n, percent=percent, count_links=True, name_bits=2).collect()) == plain(got)
 
 
 def test_block_counts_by_brute_force():
@@ -402,6 +407,46 @@ def test_line_runs_go_whole(spark, docs, none):
     assert line_dedup.without_runs(none).count() == 0
 
 
+@pytest.mark.parametrize("hash_bits", [64, 4])
+def test_line_runs_whose_keys_are_shared(spark, hash_bits):
+    rng = random.Random(13)
+    lines = [sentence(rng, 4) for _ in range(70)]
+    rows = {i: "\n".join(lines[k] for k in ([rng.randrange(70) for _ in range(9)] + list(range(at, at + 12)))) for i, at in enumerate(rng.choices(range(50), k=40))}
+    frame = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows.items()], "doc_id long, text string, id_ int, r1_ int, gone_ int, kept_ string")
+    want = brute_runs(rows)
+    found = line_dedup.without_runs(frame, hash_bits=hash_bits)
+    assert found.columns == [*frame.columns, "n_lines", "n_removed"]
+    assert {r.doc_id: (r.text, r.n_removed) for r in found.collect()} == {i: (t, rows[i].count("\n") + 1 - (t.count("\n") + 1 if t else 0)) for i, t in want.items()}
+
+
+def test_chunks_decide_and_windows_take_the_ends(spark):
+    rng = random.Random(14)
+    passage = [sentence(rng, 9) for _ in range(400)]
+    frame = spark.createDataFrame([(i, "\n".join([f"own {i}", *passage, f"end {i}"])) for i in range(3)], "doc_id long, text string")
+    runs = line_dedup.repeated_runs(frame, id_col="doc_id", text_col="text").collect()
+    chunks, windows = ([r for r in runs if r.by == by] for by in ("chunk", "window"))
+    assert sum(r.n_ for r in chunks) > 2 * 380  # both later texts lose nearly all of the passage by chunks
+    within = {(r.r1_, k) for r in chunks for k in range(r.k_, r.k_ + r.n_ - 1)}
+    assert windows and not within & {(r.r1_, r.k_) for r in windows}
+    assert sum(r.n_removed for r in line_dedup.without_runs(frame).collect()) == 800
+
+
+def test_long_texts_of_short_lines_fit_into_little_memory():
+    code = """
+import random
+from pyspark.sql import SparkSession
+from quillmesh.llm import line_dedup
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rng = random.Random(1)
+text = "\\n".join(str(rng.randrange(10**12)) for _ in range(100_000))
+rows = line_dedup.without_runs(spark.createDataFrame([(1, text), (2, "own\\n" + text)], "doc_id long, text string"))
+print("FOUND", sorted((r.doc_id, r.n_lines, r.n_removed) for r in rows.select("doc_id", "n_lines", "n_removed").collect()))
+"""
+    environment = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=environment)
+    assert "FOUND [(1, 100000, 0), (2, 100001, 100000)]" in said.stdout, said.stderr[-2000:]
+
+
 def test_suffix_dedup_by_brute_force(spark, docs, none):
     rng = random.Random(8)
     rows = [(r[0], r[1]) for r in corpus()]
