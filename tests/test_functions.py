@@ -168,3 +168,27 @@ def test_gram_index_by_brute_force():
         want = sorted(((len(own & set(grams_of(f))), k) for k, f in enumerate(forms) if own & set(grams_of(f))), key=lambda x: (-x[0], x[1]))
         assert [(h["hits"], h["source_index"]) for h in index.best(probe, 5)] == want[:5]
         assert [h["source_index"] for h in index.best(probe, None, 0.5)] == [k for n, k in want if 2 * n >= len(own)]
+
+
+def test_grams_of_wide_characters_and_short_texts_are_exact(spark):
+    from quillmesh.functions.similarity import GramIndex, codes_of, grams_of
+    from quillmesh.operators import match as M
+
+    texts = ["𠀂𠀂𠀂𠀂𠀂", "甕甕甕甕甕", "😀" * 4, "\ue13f" * 4, "ab", "ab\0\0", "ab\0", "a", "", None, "x😀yz😀x😀yz", "yz😀x", "\uffff\uffff\uffff\uffff", "abcd😀abcd", "发行人𠀂公司", "\0" * 5]
+    for text in texts:
+        narrow, wide = codes_of(text)
+        assert len(narrow) + len(wide) == len(grams_of(text))
+    index = GramIndex(list(range(len(texts))), texts)
+    want = {}
+    for i, t in enumerate(texts):
+        own = set(grams_of(t))
+        hits = {j: len(own & set(grams_of(s))) for j, s in enumerate(texts)}
+        want[i] = {j: h for j, h in hits.items() if h}
+        assert {f["source_index"]: f["hits"] for f in index.best(t, None)} == want[i]
+        assert all(f["t_size"] == len(own) and f["s_size"] == len(set(grams_of(texts[f["source_index"]]))) for f in index.best(t, None))
+    frame = lambda name: spark.createDataFrame([(1, i, "paragraph", t) for i, t in enumerate(texts)], f"doc int, {name} int, kind string, n string")
+    for hits in (M._hits_by_index, M._hits_by_join):
+        found = {}
+        for r in hits(frame("index").where("n IS NOT NULL"), frame("index").where("n IS NOT NULL"), None, 0.0).collect():
+            found.setdefault(r["index"], {})[r["source_index"]] = r["hits"]
+        assert found == {i: w for i, w in want.items() if w}
