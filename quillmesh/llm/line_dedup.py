@@ -147,8 +147,12 @@ def _units(table: DataFrame, unit: Column, by_bytes: bool) -> DataFrame:
 
 
 def _met(units: DataFrame, name: str) -> DataFrame:
-    """The units that stand at several places, each with its first; written. Places are pre-aggregated by unit."""
+    """The units that stand at several places, each with its first; written. Places are pre-aggregated by unit.
+
+    The first places are a table of their own, so that the join stands alone and a hot unit's partition can be split.
+    """
     firsts = units.groupBy(*_UNIT).agg(F.count("*").alias("times_"), F.min(F.struct("id_", *_ROW, "k_")).alias("first_")).where("times_ > 1").drop("times_")
+    firsts = written(firsts, f"first-{name}").hint("merge")
     return written(units.join(firsts, [*_UNIT]), name)
 
 
