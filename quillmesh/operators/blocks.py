@@ -36,22 +36,33 @@ def body(blocks: DataFrame) -> DataFrame:
     return blocks.join(content_bounds(blocks), "doc").where("index >= lo AND index < hi").drop("lo", "hi")
 
 
-def heading_path(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (with ``heading, level, is_toc``) and ``path``: the open headings, the own one last.
+def _stacked(blocks: DataFrame) -> tuple[DataFrame, Column]:
+    """``blocks`` with the last heading of each level so far, and the array of those that are open: (at, title).
 
     The last heading of each level is open if it stands after the last ones of all lower levels. Lines of a table of
-    contents have no path and open nothing.
+    contents have none and open nothing.
     """
     so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens = F.col("heading") & ~F.col("is_toc")
     last = [F.last(F.when(opens & (F.col("level") == n), F.struct(F.col("index").alias("at"), F.col("text").alias("title"))), ignorenulls=True).over(so_far).alias(f"h{n}_") for n in LEVELS]
-    stacked = blocks.select("*", *last)
 
     def below(n: int) -> Column:
         return F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(F.col(f"h{k}_.at"), F.lit(-1)) for k in range(n)))
 
-    open_now = F.array_compact(F.array(*(F.when(F.col(f"h{n}_.at") > below(n), F.col(f"h{n}_.title")) for n in LEVELS)))
-    return stacked.withColumn("path", F.when(F.col("is_toc"), F.array().cast("array<string>")).otherwise(open_now)).drop(*(f"h{n}_" for n in LEVELS))
+    now = F.array_compact(F.array(*(F.when(F.col(f"h{n}_.at") > below(n), F.col(f"h{n}_")) for n in LEVELS)))
+    return blocks.select("*", *last), F.when(~F.col("is_toc"), now).otherwise(F.slice(now, 1, 0))
+
+
+def heading_path(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with ``heading, level, is_toc``) and ``path``: the open headings' texts, the own one last."""
+    stacked, now = _stacked(blocks)
+    return stacked.withColumn("path", F.transform(now, lambda h: h["title"])).drop(*(f"h{n}_" for n in LEVELS))
+
+
+def open_headings(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``path`` and ``open``: texts and places of the open headings, the own one last."""
+    stacked, now = _stacked(blocks)
+    return stacked.withColumn("path", F.transform(now, lambda h: h["title"])).withColumn("open", F.transform(now, lambda h: h["at"])).drop(*(f"h{n}_" for n in LEVELS))
 
 
 def scope_end(blocks: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.functions.similarity import bigrams, lcs_ratio
+from quillmesh.functions.similarity import bigrams, lcs_ratio, parent_ratios
 from quillmesh.operators.blocks import in_order
 
 
@@ -113,3 +113,100 @@ def report_html(proposals: DataFrame, title: str = "Report") -> DataFrame:
         return pd.DataFrame([(key[0], page)], columns=["doc", "html"])
 
     return proposals.select("doc", "index", "status", "text", "new_text").groupBy("doc").applyInPandas(run, f"doc {kind}, html string")
+
+
+def near_keys(keys: DataFrame, other: DataFrame, least: float = 0.88) -> DataFrame:
+    """``key, s_key, score`` of different keys whose subsequence ratio is ``least`` or more; rows are ``key``, distinct.
+
+    Filters first, all exact: of lengths m and n, the shorter has ``least / (2 - least)`` of the longer one's at least;
+    at most k = (1 - least) * (m + n) characters are inserted or deleted, and each spoils two bigrams. So all but 2k of
+    the distinct bigrams of either are common, and one of the 2k + 1 that are rarest, by one order for both sides, is.
+    Only pairs that pass both are compared. Prefixes are short where ``least`` is high or bigrams are many.
+    """
+    grown = F.floor(F.length("key") * (2 - least) / least + 1e-9)
+    edits = F.floor((1 - least) * (F.length("key") + grown) + 1e-9)
+    cut = lambda df: df.where(F.length("key") > 1).select("key", edits.alias("edits"), F.explode(bigram_set("key")).alias("gram"))
+    left, right = cut(keys), cut(other)
+    often = left.select("gram").unionAll(right.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def prefixed(grams: DataFrame, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "gram"))
+        return grams.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= 2 * F.col("edits") + 1).select(F.col("key").alias(name), "gram")
+
+    met = prefixed(left, "key").join(prefixed(right, "s_key"), "gram").select("key", "s_key").where("key != s_key").distinct()
+    m, n = F.greatest(F.length("key"), F.length("s_key")), F.least(F.length("key"), F.length("s_key"))
+    met = met.where(2 * n >= least * (m + n) - 1e-9)
+    own, other_own = bigram_set("key"), bigram_set("s_key")
+    spoilt = F.greatest(F.size(own), F.size(other_own)) - F.size(F.array_intersect(own, other_own))
+    met = met.where(spoilt <= 2 * F.floor((1 - least) * (m + n) + 1e-9))
+    return met.withColumn("score", lcs_ratio("key", "s_key")).where(F.col("score") >= least)
+
+
+def bigram_set(c) -> Column:
+    """Distinct bigrams of a text of two characters or more."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
+
+
+#: The wording of archive dates and of the issuer's own voice, which don't make two bodies differ.
+_EDITORIAL = [(r"(?:本)?募集说明书(?:签署|出具)(?:之)?日|本核查(?:分析文件|文件|意见)出具(?:之)?日", "本核查分析文件出具日"), ("本公司", "发行人"), (r"[ \t-\r]+", "")]
+
+
+def section_body(texts: Column) -> Column:
+    out = F.array_join(texts, "")
+    for pattern, new in _EDITORIAL:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
+def heading_sections(outline: DataFrame, least: int = 2, above: int = 3) -> DataFrame:
+    """``doc, at, key, parents, body``: what stands between each heading and the next one of any level.
+
+    Rows are those of ``scopes.outlined``. Keys of under ``least`` characters are left out; ``parents`` are the last
+    ``above`` keys over the heading. A section without a text is none.
+    """
+    keys = F.filter(F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p: T.title_key(p)), lambda k: F.length(k) >= least)
+    parents = F.slice(keys, F.greatest(F.size(keys) - above + 1, F.lit(1)), above)
+    heads = outline.where("heading AND NOT is_toc").select("doc", F.col("index").alias("at"), T.title_key("text").alias("key"), parents.alias("parents")).where(F.length("key") >= least)
+    own = outline.where("NOT heading AND NOT is_toc AND at IS NOT NULL").where(F.trim("text") != "")
+    bodies = own.groupBy("doc", "at").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("t"))
+    return heads.join(bodies, ["doc", "at"]).select("doc", "at", "key", "parents", section_body(F.transform("t", lambda x: x["text"])).alias("body"))
+
+
+def complete_sections(targets: DataFrame, sources: DataFrame, *, near: float = 0.88, limit: int = 4, first: Column | None = None) -> DataFrame:
+    """Candidates for each whole section: ``doc, at, source_doc, source_at, exact, score, parent, direct, verified,
+    same, rank``, at most ``limit`` for a section, each body of a source document once.
+
+    Rows are those of :func:`heading_sections`. Keys are the same or near (:func:`near_keys`, over distinct keys). The
+    best pair of parents must agree by 0.68 and the innermost ones by 0.72, by 0.9 under keys of less than 8 characters.
+    ``verified``: the same key, 0.92 and 0.86. Order: verified, innermost parent, score, documents that ``first`` marks
+    (a column over ``source_doc``), document, place. ``same``: the bodies are equal but for editorial wording.
+    """
+    s = sources.select(*(F.col(c).alias(f"source_{c}" if c in ("doc", "at", "body") else f"s_{c}") for c in ("doc", "at", "key", "parents", "body")))
+    same = targets.select("key").distinct().join(sources.select("key").distinct(), "key").select("key", F.col("key").alias("s_key"), F.lit(1.0).alias("leaf"))
+    close = near_keys(targets.select("key").distinct(), sources.select("key").distinct(), near).withColumnRenamed("score", "leaf")
+    pairs = targets.join(same.unionByName(close), "key").join(s, "s_key")
+    scores = pairs.select("parents", "s_parents").distinct().withColumn("p", parent_ratios("parents", "s_parents"))
+    fits = scores.where("p.nearest >= 0.68 AND p.direct >= 0.72")
+    scored = pairs.join(fits, ["parents", "s_parents"]).where((F.length("key") >= 8) | (F.col("p.direct") >= 0.9))
+    exact = F.col("key") == F.col("s_key")
+    scored = scored.select("doc", "at", "source_doc", "source_at", exact.alias("exact"), F.round(0.72 * F.col("leaf") + 0.28 * F.col("p.nearest"), 4).alias("score"), F.round("p.nearest", 4).alias("parent"), F.round("p.direct", 4).alias("direct"),
+        (exact & (F.col("p.nearest") >= 0.92) & (F.col("p.direct") >= 0.86)).alias("verified"), (F.col("body") == F.col("source_body")).alias("same"), F.xxhash64("source_body").alias("h1_"), F.md5(F.col("source_body").cast("binary")).alias("h2_"))
+    order = [F.desc("verified"), F.desc("direct"), F.desc("score"), F.desc(F.lit(False) if first is None else first), "source_doc", "source_at"]
+    once = scored.withColumn("n_", F.row_number().over(Window.partitionBy("doc", "at", "source_doc", "h1_", "h2_").orderBy(*order))).where("n_ = 1")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "at").orderBy(*order))).where(F.col("rank") <= limit).drop("n_", "h1_").withColumnRenamed("h2_", "digest")
+
+
+def assess_sections(candidates: DataFrame, first: Column | None = None) -> DataFrame:
+    """``doc, at, source_doc, source_at, same, n_candidates, status`` of each section with candidates.
+
+    ``auto`` with a verified candidate if the verified ones (those that ``first`` marks, if there are any) have one body;
+    else ``review``. The candidate shown is the first of those, or the first at all.
+    """
+    c = candidates.withColumn("first_", F.lit(False) if first is None else first)
+    group = Window.partitionBy("doc", "at")
+    c = c.withColumn("lead_", F.max(F.col("verified") & F.col("first_")).over(group)).withColumn("primary_", F.col("verified") & (F.col("first_") | ~F.col("lead_")))
+    c = c.withColumn("bodies_", F.size(F.collect_set(F.when(F.col("primary_"), F.col("digest"))).over(group))).withColumn("n_candidates", F.count("*").over(group))
+    shown = F.row_number().over(group.orderBy(F.desc("primary_"), "rank"))
+    status = F.when(F.col("bodies_") == 1, "auto").otherwise("review").alias("status")
+    return c.withColumn("shown_", shown).where("shown_ = 1").select("doc", "at", "source_doc", "source_at", "same", "n_candidates", status)

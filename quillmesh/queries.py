@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import similarity as S
@@ -15,9 +15,11 @@ from quillmesh.functions import text as T
 from quillmesh.operators import blocks as B
 from quillmesh.operators import match as M
 from quillmesh.operators import reconcile as C
-from quillmesh.operators import resolve, tables
+from quillmesh.operators import overlap, recovery, resolve, scopes, sections, tables
 from quillmesh.plans import rules as R
 from quillmesh.plans.analyze import analyze
+from quillmesh.plans.store import written
+from quillmesh.sources import pages as P
 from quillmesh.sources import uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,3 +403,107 @@ def analyze_documents(spark, sf_dir):
     _, sources = sides(spark, sf_dir)
     targets = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
     return longs(analyze(sources.select("index", "kind", "text"), targets).drop("candidates", "table_projection"))
+
+
+def _key(x: str) -> str:
+    return rf"""lower(regexp_replace(trim(regexp_replace({x}, '{R.LONG_LEAD}', '')), '[\t-\r \x{{3000}}\x{{a0}}，。；：、“”‘’（）()《》:;,.\-—]+', '', 'g'))"""
+
+
+_LEVELS = " ".join(f"WHEN '{tag}' THEN {level}" for tag, level in P.LEVELS.items())
+#: Blocks of pages, and the headings with the places where their scopes end and the keys above them.
+_OUTLINES = f"""l AS MATERIALIZED (SELECT *, CASE WHEN length(text) <= {P.LONGEST} THEN CASE tag {_LEVELS} END END AS level FROM (SELECT page_id AS doc, url LIKE 'https:%' AS src, generate_subscripts(t, 1) - 1 AS index, unnest(t) AS tag, unnest(x) AS text
+  FROM (SELECT page_id, url, regexp_extract_all(html, '{P.ELEMENT}', 1) AS t, regexp_extract_all(html, '{P.ELEMENT}', 2) AS x FROM pages))),
+h AS MATERIALIZED (SELECT a.doc, a.src, a.index AS hd, a.text AS title, {_key("a.text")} AS key, a.level, coalesce(min(k.index), 1000000000) AS stop FROM l a LEFT JOIN l k ON k.doc = a.doc AND k.index > a.index AND k.level <= a.level WHERE a.level IS NOT NULL GROUP BY ALL),
+n AS MATERIALIZED (SELECT h.doc, h.hd, list(u.key ORDER BY u.hd) FILTER (u.key IS NOT NULL) AS outside FROM h LEFT JOIN h u ON u.doc = h.doc AND u.hd < h.hd AND h.hd < u.stop AND length(u.key) >= 4 GROUP BY h.doc, h.hd),
+o AS MATERIALIZED (SELECT l.doc, l.src, l.index, l.text, l.level, h.hd FROM l JOIN h ON h.doc = l.doc AND h.hd < l.index AND l.index < h.stop),
+c AS MATERIALIZED (SELECT h.doc, h.src, h.hd, h.title, h.key, coalesce(n.outside, []) AS outside, h.hd + 1 AS start, g."end", g.leaf, g.body FROM h JOIN n USING (doc, hd) JOIN (SELECT doc, hd, max(index) FILTER (trim(text, ' ') != '') + 1 AS "end",
+  bool_and(level IS NULL) AS leaf, regexp_replace(string_agg(text, '' ORDER BY index) FILTER (trim(text, ' ') != ''), '[ \\t-\\r]+', '', 'g') AS body FROM o GROUP BY doc, hd) g USING (doc, hd) WHERE g."end" IS NOT NULL)"""
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages by http as targets, pages by https as sources, both with their outlines."""
+    pages = table(spark, sf_dir, "pages")
+    outline = scopes.outlined(P.page_blocks(pages).join(pages.select(F.col("page_id").alias("doc"), F.col("url").startswith("https:").alias("src")), "doc"))
+    return outline.where("NOT src").drop("src"), outline.where("src").drop("src")
+
+
+@query(f"""WITH {_OUTLINES} SELECT doc, src, hd::BIGINT AS "at", key, array_to_string(outside, ' > ') AS outside, start::BIGINT AS start, "end"::BIGINT AS "end", leaf, sha256(body) AS body FROM c""")
+def scope_catalogue(spark, sf_dir):
+    """Every heading's scope of every page, nested ones too."""
+    both = [scopes.scope_catalogue(side).withColumn("src", F.lit(src)) for side, src in zip(outlines(spark, sf_dir), (False, True), strict=True)]
+    return longs(both[0].unionByName(both[1]).select("doc", "src", "at", "key", F.concat_ws(" > ", "outside").alias("outside"), "start", "end", "leaf", F.sha2("body", 256).alias("body")))
+
+
+@query(f"""WITH {_OUTLINES},
+f AS (SELECT doc, src, index, regexp_replace(text, '[ \\t-\\r]+', '', 'g') AS form, (SELECT max(hd) FROM h WHERE h.doc = l.doc AND h.hd < l.index AND l.index < h.stop) AS hd FROM l WHERE level IS NULL),
+u AS (SELECT form, min((doc, index)) AS s FROM f WHERE src AND length(form) >= 20 GROUP BY form HAVING count(*) = 1),
+a AS MATERIALIZED (SELECT f.doc, f.hd, f.index, s[1] AS source_doc, s[2] AS source_index FROM f JOIN u USING (form) WHERE NOT src AND f.hd IS NOT NULL),
+m AS MATERIALIZED (SELECT a.doc, a.hd, a.source_doc, o.hd AS source_at, count(DISTINCT source_index) AS n, list(source_index ORDER BY a.index, source_index) AS places FROM a JOIN o ON o.doc = source_doc AND o.index = source_index GROUP BY a.doc, a.hd, a.source_doc, o.hd),
+z AS MATERIALIZED (SELECT *, places = list_sort(places) AS ordered, min(hd) OVER w != max(hd) OVER w AS shared FROM m WINDOW w AS (PARTITION BY doc, source_doc, source_at)),
+t AS (SELECT * FROM c WHERE NOT src AND leaf AND length(key) >= 4), s AS (SELECT * FROM c WHERE src AND leaf),
+k AS (SELECT t.doc, t.hd, t.start, t."end", t.body, s.doc AS source_doc, s.hd AS source_at, s.start AS source_start, s."end" AS source_end, s.body AS source_body, s.key AS s_key, false AS renamed FROM t JOIN s USING (key)
+  LEFT JOIN z ON z.doc = t.doc AND z.hd = t.hd AND z.source_doc = s.doc AND z.source_at = s.hd
+  WHERE NOT EXISTS (SELECT 1 FROM z y WHERE y.doc = t.doc AND y.source_doc = s.doc AND y.source_at = s.hd AND y.hd != t.hd) AND (z.n IS NOT NULL OR list_has_any(t.outside, s.outside))
+  UNION ALL SELECT t.doc, t.hd, t.start, t."end", t.body, s.doc, s.hd, s.start, s."end", s.body, s.key, true FROM z JOIN t ON z.doc = t.doc AND z.hd = t.hd JOIN s ON z.source_doc = s.doc AND z.source_at = s.hd WHERE z.n >= 2 AND z.ordered AND NOT z.shared AND t.key != s.key),
+p AS (SELECT * FROM (SELECT *, bool_and(renamed) OVER (PARTITION BY doc, hd) AS all_renamed FROM k) WHERE renamed = all_renamed),
+q AS MATERIALIZED (SELECT *, body = source_body AS same FROM p x WHERE NOT EXISTS (SELECT 1 FROM p y WHERE y.doc = x.doc AND y.hd = x.hd AND y.source_doc = x.source_doc AND y.s_key = x.s_key AND length(y.source_body) > length(x.source_body) AND contains(y.source_body, x.source_body))),
+d AS (SELECT doc, hd, source_body, same, count(DISTINCT source_doc) AS n_docs FROM q GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc, hd ORDER BY same DESC, n_docs DESC, length(source_body) DESC, source_body) AS version FROM d),
+r AS (SELECT doc, hd, max(version) AS n_versions, coalesce(max(version) = 1 OR (bool_or(same) FILTER (version = 1) AND NOT bool_or(same) FILTER (version = 2)) OR (max(n_docs) FILTER (version = 1) >= 2 AND max(n_docs) FILTER (version = 1) > max(n_docs) FILTER (version = 2)), false) AS sure FROM v GROUP BY doc, hd),
+w AS (SELECT q.*, v.version, v.n_docs, r.n_versions, r.sure FROM q JOIN v USING (doc, hd, source_body) JOIN r USING (doc, hd))
+SELECT doc, hd::BIGINT AS "at", start::BIGINT AS start, "end"::BIGINT AS "end", source_doc, source_at::BIGINT AS source_at, source_start::BIGINT AS source_start, source_end::BIGINT AS source_end, renamed, same, n_versions::BIGINT AS n_versions, n_docs::BIGINT AS n_docs,
+  CASE WHEN sure THEN 'auto' ELSE 'review' END AS status FROM w QUALIFY row_number() OVER (PARTITION BY doc, hd ORDER BY CASE WHEN sure THEN version END, same DESC, source_doc, source_start) = 1""")
+def scope_reconcile(spark, sf_dir):
+    """The whole source scope that each leaf of a target page stands for."""
+    targets, sources = (written(side, "outline") for side in outlines(spark, sf_dir))
+    found = scopes.reconcile_scopes(scopes.scope_catalogue(targets), scopes.scope_catalogue(sources), scopes.unique_anchors(targets, sources))
+    return longs(found)
+
+
+_SUBJECTS = f"""f AS MATERIALIZED (SELECT l.doc, l.src, l.index, l.level, regexp_replace(l.text, '[ \\t-\\r]+', '', 'g') AS form, list(h.key ORDER BY h.at) FILTER (NOT regexp_matches(h.title, '{recovery.ABOUT_INSPECTION}')) AS k, max(h.at) AS at
+  FROM l LEFT JOIN h ON h.doc = l.doc AND h.at < l.index AND l.index < h.stop WHERE l.level IS NULL GROUP BY ALL),
+u AS (SELECT form, min((doc, index)) AS s FROM f WHERE src AND length(form) >= 20 GROUP BY form HAVING count(*) = 1),
+a0 AS (SELECT f.doc, f.index AS i, s[1] AS sd, s[2] AS si FROM f JOIN u USING (form) WHERE NOT src AND f.at IS NOT NULL),
+pp AS MATERIALIZED (SELECT t.doc, t.index AS i, s.doc AS sd, s.index AS si FROM f t JOIN f s USING (form) WHERE NOT t.src AND s.src AND form != '' AND t.k[-1] = s.k[-1] AND (length(t.k[-1]) >= 4 OR (t.k[-2] = s.k[-2] AND length(t.k[-2]) >= 4))),
+w AS (SELECT t.doc, t.index AS i, s.doc AS sd, s.index AS si FROM f t JOIN f s USING (form) WHERE NOT t.src AND s.src AND length(form) >= 20),
+hh AS (SELECT t.doc, t.at AS i, s.doc AS sd, s.at AS si FROM h t JOIN h s ON regexp_replace(t.title, '[ \\t-\\r]+', '', 'g') = regexp_replace(s.title, '[ \\t-\\r]+', '', 'g') AND t.level = s.level WHERE NOT t.src AND s.src AND length(t.key) >= 8),
+e AS MATERIALIZED (SELECT doc, i, sd, si, i - 1 AS pi, si - 1 AS psi FROM pp UNION SELECT doc, i, sd, si, i + 1, si + 1 FROM pp
+  UNION SELECT p.doc, p.i, p.sd, p.si, w.i, w.si FROM pp p JOIN w ON w.doc = p.doc AND w.sd = p.sd AND w.i = p.i - 2 AND w.si = p.si - 2 JOIN hh ON hh.doc = p.doc AND hh.sd = p.sd AND hh.i = p.i - 1 AND hh.si = p.si - 1)"""
+_NEXT = """SELECT doc, i, min((sd, si)) AS s, count(*) = 1 AS taken FROM (SELECT DISTINCT e.doc, e.i, e.sd, e.si FROM e JOIN r ON r.doc = e.doc AND r.sd = e.sd AND r.i = e.pi AND r.si = e.psi AND r.taken AND r.born = r.round)
+  WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.doc = doc AND x.i = i) GROUP BY doc, i"""
+
+
+@query(f"""WITH RECURSIVE {_OUTLINES}, {_SUBJECTS.replace("h.at", "h.hd").replace("t.at", "t.hd").replace("s.at", "s.hd").replace("AS at", "AS hd").replace("f.at", "f.hd")},
+r(round, born, doc, i, sd, si, taken) AS (SELECT 0, 0, doc, i, sd, si, true FROM a0
+  UNION ALL SELECT z.round + 1, z.born, z.doc, z.i, z.sd, z.si, z.taken FROM (SELECT round, born, doc, i, sd, si, taken FROM r UNION ALL SELECT (SELECT max(round) FROM r), (SELECT max(round) FROM r) + 1, doc, i, s[1], s[2], taken FROM ({_NEXT.replace("doc = doc", "doc = q.doc").replace("x.i = i", "x.i = q.i").replace("r.born = r.round)", "r.born = r.round) q")})) z
+  WHERE EXISTS (SELECT 1 FROM ({_NEXT.replace("doc = doc", "doc = q.doc").replace("x.i = i", "x.i = q.i").replace("r.born = r.round)", "r.born = r.round) q")})))
+SELECT doc, i::BIGINT AS "index", sd AS source_doc, si::BIGINT AS source_index, born::BIGINT AS round FROM r WHERE taken AND round = (SELECT max(round) FROM r)""")
+def recover_coverage(spark, sf_dir):
+    """Paragraphs of target pages that unique ones beside them place, and so on."""
+    targets, sources = (written(side, "outline") for side in outlines(spark, sf_dir))
+    return longs(recovery.recover_coverage(targets, sources, scopes.unique_anchors(targets, sources)))
+
+
+@query("""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_returnflag) AS copy FROM lineitem),
+i AS (SELECT l_suppkey AS k, printf('%d-%d-%d', l_orderkey, l_linenumber, copy) AS name, epoch(l_shipdate)::BIGINT // 86400 AS s, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS e,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag = 'N', l_extendedprice DESC, printf('%d-%d-%d', l_orderkey, l_linenumber, copy)) AS r FROM l),
+g AS (SELECT k, 0::BIGINT AS r, []::STRUCT(n VARCHAR, s BIGINT, e BIGINT)[] AS kept, NULL::VARCHAR AS name, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::STRUCT(n VARCHAR, s BIGINT, e BIGINT) AS hit FROM (SELECT DISTINCT k FROM i)
+  UNION ALL SELECT k, r, CASE WHEN hit IS NULL THEN list_append(kept, {'n': name, 's': s, 'e': e}) ELSE kept END, name, s, e, hit
+  FROM (SELECT g.k, i.r, g.kept, i.name, i.s, i.e, list_filter(g.kept, lambda x: x.s < x.e AND i.s < i.e AND x.s < i.e AND i.s < x.e)[1] AS hit FROM g JOIN i ON i.k = g.k AND i.r = g.r + 1))
+SELECT k AS l_suppkey, name, hit IS NULL AS kept, hit.n AS replaced_by, coalesce(s < hit.s OR e > hit.e, false) AS crossing FROM g WHERE name IS NOT NULL""")
+def replace_overlapping(spark, sf_dir):
+    """Each supplier's lines from their shipping on, a day for each piece: settled lines go before others, then the dearest."""
+    lines = table(spark, sf_dir, "lineitem")
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"))
+    lines = lines.withColumn("copy", copy).withColumn("start", F.unix_date(F.to_date("l_shipdate")).cast("long"))
+    intervals = lines.select("l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "copy").alias("name"), "start", (F.col("start") + F.col("l_quantity").cast("long")).alias("end"), "l_returnflag", "l_extendedprice")
+    strength = F.struct(F.col("l_returnflag") == "N", -F.col("l_extendedprice"))
+    return overlap.replace_overlapping(intervals, "l_suppkey", strength).select("l_suppkey", "name", "kept", "replaced_by", "crossing")
+
+
+@query()
+def complete_sections(spark, sf_dir):
+    """Whole sections of target pages and the source sections under the same or nearly the same heading; no SQL has the
+    subsequence ratio, so it is held against a plain version in the tests."""
+    targets, sources = (sections.heading_sections(written(side, "outline")) for side in outlines(spark, sf_dir))
+    return longs(sections.assess_sections(sections.complete_sections(targets, sources)))
