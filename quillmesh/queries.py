@@ -1,7 +1,4 @@
-"""Queries over the driver's tables, one for each operator or family of operators, and the same in DuckDB SQL.
-
-Rules for Chinese bond documents are run over rows given inline, as the driver's tables hold no such text.
-"""
+"""Queries over the driver's tables, one for each operator or family of operators, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -48,10 +45,6 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes))
 
 
-def rows(spark: SparkSession, values: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
-
-
 _PARAGRAPHS = r"""p AS (SELECT doc_id AS doc, generate_subscripts(l, 1) - 1 AS index, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
 _DATES = "|".join(sorted(R.DATE_TERMS, key=lambda w: (-len(w), w)))
 
@@ -186,38 +179,6 @@ def fact_target_check(spark, sf_dir):
     return C.target_checks(targets, sources, ["key"]).select(F.col("key").alias("o_orderkey"), "verdict")
 
 
-_SHEETS = "('a','assets',100.0,0.5),('a','debts',60.0,0.5),('a','equity',40.4,0.05),('b','assets',100.0,0.05),('b','debts',60.0,0.05),('b','equity',39.0,0.05),('c','assets',5.0,0.1),('c','debts',5.0,0.1)"
-
-
-@query(f"""WITH f AS (SELECT * FROM (VALUES {_SHEETS}) AS t(sheet, metric, value, tolerance)),
-w AS (SELECT sheet, max(value) FILTER (metric = 'assets') - max(value) FILTER (metric = 'debts') - max(value) FILTER (metric = 'equity') AS gap, sum(tolerance) AS tol FROM f GROUP BY sheet)
-SELECT sheet, gap::DOUBLE AS gap, abs(gap) <= tol AS balanced FROM w WHERE gap IS NOT NULL""")
-def equation_check(spark, sf_dir):
-    facts = rows(spark, _SHEETS, "sheet, metric, value, tolerance").withColumn("value", F.col("value").cast("decimal(38,12)")).withColumn("tolerance", F.col("tolerance").cast("decimal(38,12)"))
-    return C.equation(facts, ["sheet"], "metric", "assets", ["debts", "equity"]).withColumn("gap", F.col("gap").cast("double"))
-
-
-_TABLES = "('subset','A|C','x|A|B|C\n1|2|3|4'),('same','A|B','A|B\n1|2'),('order','C|A','A|B|C\n1|2|3'),('unknown','A|D','A|B|C\n1|2|3'),('repeated','A|A','A|B|C\n1|2|3')"
-
-
-@query(f"""WITH r AS (SELECT name, string_split(t, '|') AS t, string_split(string_split(s, chr(10))[1], '|') AS s FROM (VALUES {_TABLES}) AS v(name, t, s)),
-p AS (SELECT *, list_transform(t, lambda k: coalesce(list_position(s, k), 0) - 1) AS pos FROM r)
-SELECT name, CASE WHEN len(list_distinct(t)) < len(t) THEN NULL WHEN t = s THEN '' WHEN list_contains(pos, -1) OR pos != list_sort(pos) OR len(t) >= len(s) THEN NULL ELSE array_to_string(pos, ',') END AS places FROM p""")
-def header_subset(spark, sf_dir):
-    r = rows(spark, _TABLES.replace("\n", "\\n"), "name, t, s").withColumn("tk", tables.header_keys(tables.cells(F.concat("t", F.lit("\n"), "t")))).withColumn("sk", tables.header_keys(tables.cells("s")))
-    return r.select("name", F.concat_ws(",", tables.projection(F.col("tk"), F.col("sk")).cast("array<string>")).alias("p"), F.col("tk").isNotNull().alias("simple"), tables.projection(F.col("tk"), F.col("sk")).alias("q")).select("name", F.when(F.col("q").isNotNull(), F.col("p")).alias("places"))
-
-
-_LABELS = "('h|v\nRent|1\n(1) Tax|2','h|v\nTax|5'),('h|v\nCash|1','h|v\nCash|2\nDebt|3'),('h|v','h|v\nCash|2')"
-
-
-@query(f"""WITH r AS (SELECT t, list_transform(string_split(t, chr(10))[2:], lambda x: regexp_replace(string_split(x, '|')[1], '^[(][0-9]+[)] ', '')) AS a, list_transform(string_split(s, chr(10))[2:], lambda x: regexp_replace(string_split(x, '|')[1], '^[(][0-9]+[)] ', '')) AS b FROM (VALUES {_LABELS}) AS v(t, s))
-SELECT t, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS lost FROM r""")
-def lost_labels(spark, sf_dir):
-    r = rows(spark, _LABELS.replace("\n", "\\n"), "t, s")
-    return r.select("t", F.concat_ws(",", tables.lost_labels(tables.cells("t"), tables.cells("s"))).alias("lost"))
-
-
 @query("""WITH s AS (SELECT s_nationkey::BIGINT AS parent, floor(s_acctbal / 100)::BIGINT AS key, min(s_suppkey) AS pos FROM supplier GROUP BY ALL), t AS (SELECT DISTINCT c_nationkey AS parent, floor(c_acctbal / 100)::BIGINT AS key FROM customer),
 m AS (SELECT s.*, t.key IS NOT NULL AS ok FROM s LEFT JOIN t ON s.parent = t.parent AND s.key = t.key),
 p AS (SELECT *, last_value(CASE WHEN ok THEN key END IGNORE NULLS) OVER (PARTITION BY parent ORDER BY pos, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -230,27 +191,6 @@ def missing_siblings(spark, sf_dir):
     return C.missing_siblings(items("customer", "c"), sources)
 
 
-_OUTLINE = "(0,'Title',CAST(NULL AS INT),false),(1,'第一章 A',0,false),(2,'一、B',1,false),(3,'text',CAST(NULL AS INT),false),(4,'1、C',3,false),(5,'目录 9',1,true),(6,'二、D',1,false),(7,'more',CAST(NULL AS INT),false),(8,'第二章 E',0,false),(9,'（一）F',2,false),(10,'end',CAST(NULL AS INT),false)"
-
-
-def _outline(spark: SparkSession) -> DataFrame:
-    return rows(spark, _OUTLINE, "index, text, level, is_toc").withColumn("doc", F.lit(1)).withColumn("heading", F.col("level").isNotNull())
-
-
-@query(f"""WITH b AS (SELECT * FROM (VALUES {_OUTLINE}) AS t(index, text, level, is_toc)),
-o AS (SELECT b.index, h.index AS hi, h.text AS ht, h.level AS hl FROM b JOIN b h ON h.index <= b.index AND h.level IS NOT NULL AND NOT h.is_toc
-  WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.index > h.index AND k.index <= b.index AND k.level <= h.level AND NOT k.is_toc))
-SELECT b.index::BIGINT AS index, CASE WHEN b.is_toc THEN '' ELSE coalesce((SELECT string_agg(ht, ' > ' ORDER BY hi) FROM o WHERE o.index = b.index), '') END AS path FROM b""")
-def heading_path(spark, sf_dir):
-    return longs(B.heading_path(_outline(spark)).select("index", F.concat_ws(" > ", "path").alias("path")))
-
-
-@query(f"""WITH b AS (SELECT * FROM (VALUES {_OUTLINE}) AS t(index, text, level, is_toc))
-SELECT index::BIGINT AS index, CASE WHEN level IS NOT NULL THEN coalesce((SELECT min(k.index) FROM b k WHERE k.index > b.index AND (k.is_toc OR k.level <= b.level)), 11) END::BIGINT AS scope_end FROM b""")
-def scope_end(spark, sf_dir):
-    return longs(B.scope_end(_outline(spark)).select("index", "scope_end"))
-
-
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM w)
 SELECT gram, count(*)::BIGINT AS df, round(ln(1 + (SELECT n FROM n) / (1 + count(*))), 9) AS weight FROM w GROUP BY gram""")
 def idf_weights(spark, sf_dir):
@@ -281,57 +221,11 @@ def summary_counts(spark, sf_dir):
     return resolve.summary(judged, ["doc"]).select("doc", F.col("source_updates").alias("ready"), "review", "retained")
 
 
-_LINES = "('一、公司基本情况'),('（三）截至报告期末'),('3、净利润为12.5%。'),('单位：万元'),('第二章 发行条款'),('本公司于2021年1-6月实现收入'),('发行人2019-2021年'),('plain text'),('(12) Item'),('1) Note')"
-
-
-@query(rf"""WITH r AS (SELECT * FROM (VALUES {_LINES}) AS v(s)), k AS (SELECT s, regexp_extract(s, '{R.LEAD}') AS lead FROM r)
-SELECT s, lead, regexp_replace(s, '{R.LEAD}', '') AS body, trim(regexp_replace(s, '{R.LONG_LEAD}', '')) AS stripped,
-  replace(replace(s, '发行人', '公司'), '本公司', '公司') AS adapted, length(s) < 90 AND regexp_matches(s, '{R.HEADING_START}') AS headingish,
-  CASE WHEN regexp_matches(s, '[。；;]$') OR regexp_matches(s, '{R.NOT_HEADING}') THEN NULL {" ".join(f"WHEN regexp_matches(s, '{p}') THEN {n}" for n, p, _ in R.HEADING_LEVELS)} END::BIGINT AS level FROM k""")
-def lead_forms(spark, sf_dir):
-    r = rows(spark, _LINES, "s")
-    return longs(r.select("s", T.lead("s").alias("lead"), T.after_lead("s").alias("body"), T.strip_lead("s").alias("stripped"), T.adapt("s").alias("adapted"), T.headingish("s").alias("headingish"), T.heading_level("s").alias("level")))
-
-
-_AMOUNTS = "('收入1,234.50万元，增长12.3%'),('亏损-5亿元'),('no number'),('7.0%与7.00%')"
-
-
-@query(f"""SELECT s, array_to_string(list_transform(regexp_extract_all(s, '-?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), ';') AS numbers,
-  array_to_string(regexp_extract_all(s, '(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+\\.[0-9]+|[0-9]+)%'), ';') AS percentages FROM (VALUES {_AMOUNTS}) AS v(s)""")
-def evidence_numbers(spark, sf_dir):
-    r = rows(spark, _AMOUNTS, "s")
-    return r.select("s", F.concat_ws(";", T.evidence_numbers("s")).alias("numbers"), F.concat_ws(";", T.percentages("s")).alias("percentages"))
-
-
-_PERIODS = "('2019-2021年'),('2021年1-6月'),('2020年度与2021年3月末'),('2010年至2019年'),('none'),('2020年、2020年'),('2018年12月及2019年到2020年')"
-_PERIOD = "((?:19|20)[0-9]{2})(?:年度?)?(?:[-－—–至]|到)((?:19|20)[0-9]{2})年|((?:19|20)[0-9]{2})年(?:(?:[0-9]{1,2}[-－—–至])?([0-9]{1,2})月)?"
-
-
-@query(f"""WITH r AS (SELECT s, unnest(regexp_extract_all(s, '{_PERIOD}')) AS m, generate_subscripts(regexp_extract_all(s, '{_PERIOD}'), 1) AS i FROM (VALUES {_PERIODS}) AS v(s)),
-g AS (SELECT s, i, regexp_extract(m, '{_PERIOD}', 1) AS a, regexp_extract(m, '{_PERIOD}', 2) AS b, regexp_extract(m, '{_PERIOD}', 3) AS y, regexp_extract(m, '{_PERIOD}', 4) AS mo FROM r),
-e AS (SELECT s, i, 0 AS k, CASE WHEN mo = '' THEN y ELSE y || '-' || lpad(mo, 2, '0') END AS p FROM g WHERE a = ''
-  UNION ALL SELECT s, i, k, (a::INT + k)::VARCHAR FROM g, range(6) AS t(k) WHERE a != '' AND (k = 0 OR a::INT + k <= b::INT)),
-f AS (SELECT s, p, min((i, k)) AS pos FROM e GROUP BY s, p)
-SELECT v.s, coalesce(string_agg(p, ',' ORDER BY pos), '') AS periods FROM (VALUES {_PERIODS}) AS v(s) LEFT JOIN f USING (s) GROUP BY v.s""")
-def reporting_periods(spark, sf_dir):
-    return rows(spark, _PERIODS, "s").select("s", F.concat_ws(",", T.periods("s")).alias("periods"))
-
-
 @query("""SELECT doc_id, substr(sha256(concat_ws('|', source, doc_id, -1, substr(translate(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g'), '（），。：；', '(),.:;'), 1, 180))), 1, 20) AS id FROM documents""".replace("\\\\", "\\"))
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.stable_id("source", F.col("doc_id"), F.lit(-1), "text").alias("id"))
 
 
-_NUMBERS = "('1,000.0','万元'),('2.5','亿元'),('300','元'),('x','元')"
-
-
-@query(f"""SELECT s, unit, (try_cast(replace(s, ',', '') AS DECIMAL(38,12)) * CASE unit WHEN '亿元' THEN 10000 WHEN '万元' THEN 1 ELSE 0.0001 END)::DOUBLE AS base,
-  CASE WHEN s LIKE '%.%' THEN 0.05 ELSE 0.5 END::DOUBLE AS tolerance FROM (VALUES {_NUMBERS}) AS v(s, unit)""")
-def money_scale(spark, sf_dir):
-    r = rows(spark, _NUMBERS, "s, unit")
-    return r.select("s", "unit", C.unit_scaled(T.decimal("s"), F.col("unit"), R.Units().scale).cast("double").alias("base"), T.shown_tolerance("s").cast("double").alias("tolerance"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, turn + coalesce(length(text), 0) % 2 AS source, role = 'user' AND turn % 5 = 0 AS anchor FROM conversations),
 r AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, source - turn ORDER BY turn) AS run FROM m)
 SELECT conv_id, turn, source, anchor FROM r QUALIFY bool_or(anchor) OVER (PARTITION BY conv_id, source - turn, run)""")
@@ -507,3 +401,102 @@ def complete_sections(spark, sf_dir):
     subsequence ratio, so it is held against a plain version in the tests."""
     targets, sources = (sections.heading_sections(written(side, "outline")) for side in outlines(spark, sf_dir))
     return longs(sections.assess_sections(sections.complete_sections(targets, sources)))
+
+
+@query(f"""WITH {_OUTLINES} SELECT l.doc, l.index::BIGINT AS "index", coalesce(string_agg(h.title, ' > ' ORDER BY h.hd), '') AS path FROM l LEFT JOIN h ON h.doc = l.doc AND h.hd <= l.index AND l.index < h.stop GROUP BY l.doc, l.index""")
+def heading_path(spark, sf_dir):
+    """The open headings of every block of every page."""
+    return longs(B.heading_path(P.page_blocks(table(spark, sf_dir, "pages"))).select("doc", "index", F.concat_ws(" > ", "path").alias("path")))
+
+
+@query(f"""WITH {_OUTLINES} SELECT l.doc, l.index::BIGINT AS "index", CASE WHEN h.stop = 1000000000 THEN max(l.index) OVER (PARTITION BY l.doc) + 1 ELSE h.stop END::BIGINT AS scope_end FROM l LEFT JOIN h ON h.doc = l.doc AND h.hd = l.index""")
+def scope_end(spark, sf_dir):
+    """Where the scope of every heading of every page ends."""
+    return longs(B.scope_end(P.page_blocks(table(spark, sf_dir, "pages"))).select("doc", "index", "scope_end"))
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'assets' WHEN 2 THEN 'debts' WHEN 3 THEN 'equity' END AS metric, round(l_extendedprice, 2)::DECIMAL(38,12) AS value, (l_quantity::INT * 500)::DECIMAL(38,12) AS tolerance FROM lineitem),
+m AS (SELECT l_orderkey, metric, max(value) AS value, max(tolerance) AS tolerance FROM f WHERE metric IS NOT NULL GROUP BY ALL),
+w AS (SELECT l_orderkey, max(value) FILTER (metric = 'assets') - max(value) FILTER (metric = 'debts') - max(value) FILTER (metric = 'equity') AS gap, sum(tolerance) AS tol FROM m GROUP BY l_orderkey)
+SELECT l_orderkey, gap::DOUBLE AS gap, abs(gap) <= tol AS balanced FROM w WHERE gap IS NOT NULL""")
+def equation_check(spark, sf_dir):
+    """Whether an order's first line is the sum of the next two, within tolerances by their pieces."""
+    line = F.col("l_linenumber")
+    metric = F.when(line == 1, "assets").when(line == 2, "debts").when(line == 3, "equity")
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", metric.alias("metric"), F.round("l_extendedprice", 2).cast("decimal(38,12)").alias("value"), (F.col("l_quantity").cast("int") * 500).cast("decimal(38,12)").alias("tolerance"))
+    return C.equation(facts, ["l_orderkey"], "metric", "assets", ["debts", "equity"]).withColumn("gap", F.col("gap").cast("double"))
+
+
+_MENU = "<li><a [^>]*>([^<]*)</a></li>"
+
+
+def menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu entries of pages; those of more than three characters make the smaller table."""
+    entries = F.regexp_extract_all("html", F.lit(_MENU), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", entries.alias("s"), F.filter(entries, lambda x: F.length(x) > 3).alias("t"))
+
+
+@query(f"""WITH r AS (SELECT page_id, regexp_extract_all(html, '{_MENU}', 1) AS s FROM pages), p AS (SELECT page_id, s, list_filter(s, lambda x: length(x) > 3) AS t FROM r),
+q AS (SELECT *, len(s) = len(list_distinct(s)) AND len(s) > 0 AND len(t) > 0 AS ok, list_transform(t, lambda k: list_position(s, k) - 1) AS pos FROM p)
+SELECT page_id, CASE WHEN NOT ok THEN NULL WHEN t = s THEN '' ELSE array_to_string(pos, ',') END AS places FROM q""")
+def header_subset(spark, sf_dir):
+    """Places of a menu's longer entries among all of them, both taken as header rows."""
+    matrix = lambda c: tables.cells(F.concat(F.array_join(c, "|"), F.lit("\n"), F.array_join(c, "|")))
+    keys = menus(spark, sf_dir).select("page_id", tables.header_keys(matrix("t")).alias("tk"), tables.header_keys(matrix("s")).alias("sk"))
+    places = tables.projection(F.col("tk"), F.col("sk"))
+    return keys.select("page_id", F.when(places.isNotNull(), F.array_join(places.cast("array<string>"), ",")).alias("places"))
+
+
+@query(f"""WITH r AS (SELECT page_id, regexp_extract_all(html, '{_MENU}', 1) AS s FROM pages), u AS (SELECT page_id, generate_subscripts(s, 1) AS i, unnest(s) AS raw FROM r),
+k AS (SELECT page_id, i, raw, regexp_replace(regexp_replace({_compact(f"trim(regexp_replace(raw, '{R.LONG_LEAD}', ''))")}, '[(（][^)）]*[)）]', '', 'g'), '[:,.;、]', '', 'g') AS k FROM u),
+d AS (SELECT page_id, k, min(i) AS i FROM k WHERE k != '' GROUP BY page_id, k HAVING max(length(raw)) <= 3)
+SELECT r.page_id, coalesce(string_agg(d.k, ',' ORDER BY d.i), '') AS lost FROM r LEFT JOIN d USING (page_id) GROUP BY r.page_id""")
+def lost_labels(spark, sf_dir):
+    """Row labels of the whole menu that the table of its longer entries lacks."""
+    matrix = lambda c: tables.cells(F.concat_ws("\n", F.lit("h|v"), F.transform(c, lambda x: F.concat(x, F.lit("|1")))))
+    return menus(spark, sf_dir).select("page_id", F.array_join(tables.lost_labels(matrix("s"), matrix("t")), ",").alias("lost"))
+
+
+@query(rf"""WITH {_PARAGRAPHS}, k AS (SELECT doc, index, text AS s, regexp_extract(text, '{R.LEAD}') AS lead FROM p)
+SELECT doc, index::BIGINT AS index, lead, regexp_replace(s, '{R.LEAD}', '') AS body, trim(regexp_replace(s, '{R.LONG_LEAD}', '')) AS stripped,
+  replace(replace(s, '发行人', '公司'), '本公司', '公司') AS adapted, length(s) < 90 AND regexp_matches(s, '{R.HEADING_START}') AS headingish,
+  CASE WHEN regexp_matches(s, '[。；;]$') OR regexp_matches(s, '{R.NOT_HEADING}') THEN NULL {" ".join(f"WHEN regexp_matches(s, '{p}') THEN {n}" for n, p, _ in R.HEADING_LEVELS)} END::BIGINT AS level FROM k""")
+def lead_forms(spark, sf_dir):
+    """Leads and what they leave, of every line of every document."""
+    lines = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return longs(lines.select("doc", "index", T.lead("text").alias("lead"), T.after_lead("text").alias("body"), T.strip_lead("text").alias("stripped"), T.adapt("text").alias("adapted"), T.headingish("text").alias("headingish"), T.heading_level("text").alias("level")))
+
+
+@query(f"""WITH {_PARAGRAPHS} SELECT doc, index::BIGINT AS index, array_to_string(list_transform(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), ';') AS numbers,
+  array_to_string(regexp_extract_all(text, '(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+\\.[0-9]+|[0-9]+)%'), ';') AS percentages FROM p""")
+def evidence_numbers(spark, sf_dir):
+    """Numbers and percentages of every line of every document."""
+    lines = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return longs(lines.select("doc", "index", F.concat_ws(";", T.evidence_numbers("text")).alias("numbers"), F.concat_ws(";", T.percentages("text")).alias("percentages")))
+
+
+_PERIOD = "((?:19|20)[0-9]{2})(?:年度?)?(?:[-－—–至]|到)((?:19|20)[0-9]{2})年|((?:19|20)[0-9]{2})年(?:(?:[0-9]{1,2}[-－—–至])?([0-9]{1,2})月)?"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, concat(year(o_orderdate) - o_custkey % 3, '-', year(o_orderdate), '年及', year(o_orderdate), '年1-', month(o_orderdate), '月，', year(o_orderdate), '年度') AS s FROM orders),
+r AS (SELECT o_orderkey, unnest(regexp_extract_all(s, '{_PERIOD}')) AS m, generate_subscripts(regexp_extract_all(s, '{_PERIOD}'), 1) AS i FROM v),
+g AS (SELECT o_orderkey, i, regexp_extract(m, '{_PERIOD}', 1) AS a, regexp_extract(m, '{_PERIOD}', 2) AS b, regexp_extract(m, '{_PERIOD}', 3) AS y, regexp_extract(m, '{_PERIOD}', 4) AS mo FROM r),
+e AS (SELECT o_orderkey, i, 0 AS k, CASE WHEN mo = '' THEN y ELSE y || '-' || lpad(mo, 2, '0') END AS p FROM g WHERE a = ''
+  UNION ALL SELECT o_orderkey, i, k, (a::INT + k)::VARCHAR FROM g, range(6) AS t(k) WHERE a != '' AND (k = 0 OR a::INT + k <= b::INT)),
+f AS (SELECT o_orderkey, p, min((i, k)) AS pos FROM e GROUP BY o_orderkey, p)
+SELECT v.o_orderkey, coalesce(string_agg(p, ',' ORDER BY pos), '') AS periods FROM v LEFT JOIN f USING (o_orderkey) GROUP BY v.o_orderkey""")
+def reporting_periods(spark, sf_dir):
+    """Periods named in a phrase about each order's date."""
+    year, text = F.year("o_orderdate"), lambda *x: F.concat(*(c if not isinstance(c, str) else F.lit(c) for c in x))
+    phrase = text(year - F.col("o_custkey") % 3, "-", year, "年及", year, "年1-", F.month("o_orderdate"), "月，", year, "年度")
+    return table(spark, sf_dir, "orders").select("o_orderkey", phrase.alias("s")).select("o_orderkey", F.concat_ws(",", T.periods("s")).alias("periods"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN round(o_totalprice)::BIGINT::VARCHAR ELSE round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR END AS s, CASE o_orderpriority WHEN '1-URGENT' THEN '亿元' WHEN '2-HIGH' THEN '万元' ELSE '元' END AS unit FROM orders)
+SELECT o_orderkey, s, unit, (s::DECIMAL(38,12) * CASE unit WHEN '亿元' THEN 10000 WHEN '万元' THEN 1 ELSE 0.0001 END)::DOUBLE AS base, CASE WHEN s LIKE '%.%' THEN 0.005 ELSE 0.5 END::DOUBLE AS tolerance FROM v""")
+def money_scale(spark, sf_dir):
+    """Each order's total as a text in one of three units, in ten thousand yuan with the tolerance that it shows."""
+    price = F.when(F.col("o_orderstatus") == "P", F.round("o_totalprice").cast("long").cast("string")).otherwise(F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"))
+    unit = F.when(F.col("o_orderpriority") == "1-URGENT", "亿元").when(F.col("o_orderpriority") == "2-HIGH", "万元").otherwise("元")
+    r = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("s"), unit.alias("unit"))
+    return r.select("o_orderkey", "s", "unit", C.unit_scaled(T.decimal("s"), F.col("unit"), R.Units().scale).cast("double").alias("base"), T.shown_tolerance("s").cast("double").alias("tolerance"))
