@@ -210,3 +210,15 @@ def assess_sections(candidates: DataFrame, first: Column | None = None) -> DataF
     shown = F.row_number().over(group.orderBy(F.desc("primary_"), "rank"))
     status = F.when(F.col("bodies_") == 1, "auto").otherwise("review").alias("status")
     return c.withColumn("shown_", shown).where("shown_ = 1").select("doc", "at", "source_doc", "source_at", "same", "n_candidates", status)
+
+
+def direct_children(outline: DataFrame) -> DataFrame:
+    """``doc, at, child, key, pos, n``: under each heading, its headings of the shallowest level, in order.
+
+    Rows are those of ``scopes.outlined``. A heading is passed on once for each that is open above it, so no document is
+    searched pair by pair.
+    """
+    heads = outline.where("heading AND NOT is_toc").select("doc", F.col("index").alias("child"), "level", T.title_key("text").alias("key"), F.explode("open").alias("at")).where("at != child")
+    under = Window.partitionBy("doc", "at")
+    nearest = heads.withColumn("least", F.min("level").over(under)).where("level = least")
+    return nearest.select("doc", "at", "child", "key", F.row_number().over(under.orderBy("child")).alias("pos"), F.count("*").over(under).alias("n"))

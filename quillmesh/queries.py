@@ -12,7 +12,8 @@ from quillmesh.functions import text as T
 from quillmesh.operators import blocks as B
 from quillmesh.operators import match as M
 from quillmesh.operators import reconcile as C
-from quillmesh.operators import overlap, recovery, resolve, scopes, sections, tables
+from quillmesh.operators import overlap, quotes, recovery, resolve, scopes, sections, tables
+from quillmesh.plans import frozen
 from quillmesh.plans import rules as R
 from quillmesh.plans.analyze import analyze
 from quillmesh.plans.store import written
@@ -500,3 +501,32 @@ def money_scale(spark, sf_dir):
     unit = F.when(F.col("o_orderpriority") == "1-URGENT", "亿元").when(F.col("o_orderpriority") == "2-HIGH", "万元").otherwise("元")
     r = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("s"), unit.alias("unit"))
     return r.select("o_orderkey", "s", "unit", C.unit_scaled(T.decimal("s"), F.col("unit"), R.Units().scale).cast("double").alias("base"), T.shown_tolerance("s").cast("double").alias("tolerance"))
+
+
+@query(f"""WITH {_OUTLINES}, y AS (SELECT p.doc, p.hd AS a, h.hd AS child, h.key, h.level, min(h.level) OVER (PARTITION BY p.doc, p.hd) AS least FROM h p JOIN h ON h.doc = p.doc AND h.hd > p.hd AND h.hd < p.stop)
+SELECT doc, a::BIGINT AS "at", child::BIGINT AS child, key, (row_number() OVER (PARTITION BY doc, a ORDER BY child))::BIGINT AS pos, (count(*) OVER (PARTITION BY doc, a))::BIGINT AS n FROM y WHERE level = least""")
+def direct_children(spark, sf_dir):
+    """The headings right under each heading of every page."""
+    return longs(sections.direct_children(scopes.outlined(P.page_blocks(table(spark, sf_dir, "pages")))))
+
+
+_MARKS = {"“": "”", "(": ")", "[": "]", "{": "}"}
+_CLOSER = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _MARKS.items())
+
+
+@query(f"""WITH {_PARAGRAPHS}, k AS (SELECT doc, index, regexp_replace(text, '[^“”(){{}}\\[\\]]+', '', 'g') AS m FROM p),
+w AS (SELECT doc, index, coalesce(string_agg(m, '') OVER (PARTITION BY doc ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, string_agg(m, '') OVER (PARTITION BY doc ORDER BY index) AS a FROM k),
+s AS (SELECT doc, index, {", ".join(f"list_reduce(list_prepend('', string_split({x}, '')), lambda t, c: CASE WHEN c IN ({', '.join(repr(m) for m in _MARKS)}) THEN t || CASE c {_CLOSER} END WHEN c != '' AND t[-1] = c THEN t[:-2] ELSE t END) AS {x}{x}" for x in "ab")} FROM w)
+SELECT doc, index::BIGINT AS index, length(aa)::BIGINT AS depth, length(aa) > 0 OR length(bb) > 0 AS quoted FROM s""")
+def quote_state(spark, sf_dir):
+    """Marks and brackets that are open at each line of every document."""
+    lines = B.split_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return longs(quotes.quote_state(lines, _MARKS, stretch=16).select("doc", "index", "depth", "quoted"))
+
+
+@query("""WITH d AS (SELECT sha256(to_json({'conv_id': conv_id, 'role': role, 'turn': turn})::VARCHAR) AS d FROM conversations),
+s AS (SELECT count(*) AS n, coalesce(sum(('0x' || d[1:15])::HUGEINT), 0) AS a, coalesce(sum(('0x' || d[16:30])::HUGEINT), 0) AS b, coalesce(sum(('0x' || d[31:45])::HUGEINT), 0) AS c, coalesce(sum(('0x' || d[46:60])::HUGEINT), 0) AS e FROM d)
+SELECT n::BIGINT AS n, sha256(concat_ws(':', n, a::HUGEINT, b::HUGEINT, c::HUGEINT, e::HUGEINT)) AS digest FROM s""")
+def frozen_digest(spark, sf_dir):
+    """One digest of all turns, whatever their order."""
+    return frozen.table_digest(table(spark, sf_dir, "conversations"), ["conv_id", "turn", "role"])
