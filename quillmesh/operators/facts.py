@@ -19,9 +19,12 @@ def _plain(c: Column) -> Column:
 
 
 def scope_of(path: Column, tail: Column) -> Column:
-    """Whose figure it is: by the nearest deciding heading, else by what stands right before the metric."""
+    """Whose figure it is: by the nearest deciding heading, else by what stands right before the metric.
+
+    A heading over both the consolidated and the parent's statements decides nothing.
+    """
     decides = "|".join((R.GUARANTOR_HEADINGS, R.PARENT_HEADINGS, R.OTHER_HEADINGS, R.IMPACT_HEADINGS))
-    nearest = F.coalesce(F.get(F.filter(F.reverse(path), lambda h: h.rlike(decides)), F.lit(0)), F.lit(""))
+    nearest = F.coalesce(F.get(F.filter(F.reverse(path), lambda h: h.rlike(decides) & ~(h.rlike(R.PARENT_HEADINGS) & h.rlike(R.BOTH_STATEMENTS))), F.lit(0)), F.lit(""))
     last = F.regexp_extract(tail, "([^，,；;。]*)$", 1)
     return (
         F.when(nearest.rlike(R.GUARANTOR_HEADINGS), "保证人")

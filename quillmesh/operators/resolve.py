@@ -135,7 +135,8 @@ def decided(proposals: DataFrame, decisions: DataFrame, sources: DataFrame | Non
     """``proposals`` with ``decision``: a user's one by id, else update for what is settled; retained rows stay kept.
 
     A review is updated only with a source that is one of its candidates. With ``sources`` (``index, kind, text``) it
-    then gets that source's whole text, a table its matrix, too, in ``new_text`` and ``new_cells``.
+    then gets that source's whole text, a table its matrix, too, in ``new_text`` and ``new_cells``: the scanned matrix
+    where ``sources`` have one (``cells``, of structs with ``text``), as cells may hold lines and bars of their own.
     """
     chosen = decisions.select("id", F.col("decision").alias("wish"), F.col("source_index").alias("picked"))
     joined = proposals.join(chosen, "id", "left")
@@ -145,7 +146,10 @@ def decided(proposals: DataFrame, decisions: DataFrame, sources: DataFrame | Non
     by_hand = (F.col("status") == "review") & (F.col("decision") == "update")
     out = joined.withColumn("decision", decision).withColumn("source_index", F.when(by_hand, F.col("picked")).otherwise(F.col("source_index")))
     if sources is not None:
-        texts = sources.select(F.col("index").alias("picked"), F.col("text").alias("p_text"), F.when(F.col("kind") == "table", tables.cells("text")).alias("p_cells"))
+        matrix = tables.cells("text")
+        if "cells" in sources.columns:
+            matrix = F.coalesce(F.transform("cells", lambda row: F.transform(row, lambda cell: cell["text"])), matrix)
+        texts = sources.select(F.col("index").alias("picked"), F.col("text").alias("p_text"), F.when(F.col("kind") == "table", matrix).alias("p_cells"))
         out = out.join(texts, "picked", "left").withColumn("new_text", F.when(by_hand, T.adapt_for("p_text", F.col("text"))).otherwise(F.col("new_text")))
         adapted = F.transform("p_cells", lambda row: F.transform(row, lambda cell: T.adapt(cell)))
         out = out.withColumn("new_cells", F.when(by_hand, adapted).otherwise(F.col("new_cells"))).drop("p_text", "p_cells")

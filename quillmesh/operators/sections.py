@@ -78,16 +78,28 @@ def paired_parents(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return shared.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def tables_in_order(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """``section, pos, source_pos``: target tables matched to source tables of one schema, in order and each once.
+def tables_in_order(targets: DataFrame, sources: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """``section, pos, source_pos``: target tables matched to source tables, in order and each once.
 
-    The n-th table of a schema meets the n-th of the source; pairs that would step back are left out. Rows are
-    ``section, pos, schema``.
+    Each target takes the first source table of a compatible schema after the one taken last; without one it is left
+    out, and added source tables are stepped over. Rows are ``section, pos, schema``; ``alike`` has the compatible
+    schemas (``schema, source_schema``), without it only equal ones are. A section's tables are matched as two arrays.
     """
-    nth = lambda df, name: df.select("section", "schema", F.col("pos").alias(name), F.row_number().over(Window.partitionBy("section", "schema").orderBy("pos")).alias("n"))
-    both = nth(targets, "pos").join(nth(sources, "source_pos"), ["section", "schema", "n"])
-    before = F.max("source_pos").over(Window.partitionBy("section").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("before", before).where("before IS NULL OR source_pos > before").select("section", "pos", "source_pos")
+    pairs = alike if alike is not None else targets.select("schema", F.col("schema").alias("source_schema")).distinct()
+    fits = pairs.groupBy("schema").agg(F.collect_set("source_schema").alias("fits"))
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("pos", *c)))
+    left = targets.join(fits, "schema", "left").groupBy("section").agg(in_order("schema", "fits").alias("ts"))
+    right = sources.groupBy("section").agg(in_order("schema").alias("ss"))
+    both = left.join(right, "section")
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<pos:bigint,source_pos:bigint>>").alias("met"))
+
+    def step(state: Column, t: Column) -> Column:
+        rest = F.filter(F.sequence(F.lit(0), F.size("ss") - 1), lambda i: (i >= state["next"]) & F.coalesce(F.array_contains(t["fits"], F.get("ss", i)["schema"]), F.lit(False)))
+        found = F.array_min(rest)
+        pair = F.struct(t["pos"].cast("long").alias("pos"), F.get("ss", found)["pos"].cast("long").alias("source_pos"))
+        return F.when(found.isNull(), state).otherwise(F.struct((found + 1).alias("next"), F.concat(state["met"], F.array(pair)).alias("met")))
+
+    return both.select("section", F.explode(F.aggregate("ts", start, step)["met"]).alias("m")).select("section", "m.*")
 
 
 def figure_after(targets: DataFrame, sources: DataFrame, reach: int = 5) -> DataFrame:

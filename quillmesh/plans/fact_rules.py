@@ -34,6 +34,7 @@ SHARE_COLUMN = "占比|比例|比重"
 IMPACT_HEADINGS = "募集资金运用对.*财务|本次发行对.*财务|财务结构的影响|模拟"
 OTHER_HEADINGS = "主要子公司|参股公司|关联方"
 PARENT_HEADINGS = "母公司|本部"
+BOTH_STATEMENTS = "合并[及和与]|合并.*母公司"
 GUARANTOR_HEADINGS = "保证人|担保人"
 SEGMENT_END = "(?:业务|板块|子公司).{0,12}$"
 OWN_WORDS = "发行人|公司|集团|截至|年度|年末|月末|报告期"

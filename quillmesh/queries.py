@@ -530,3 +530,17 @@ SELECT n::BIGINT AS n, sha256(concat_ws(':', n, a::HUGEINT, b::HUGEINT, c::HUGEI
 def frozen_digest(spark, sf_dir):
     """One digest of all turns, whatever their order."""
     return frozen.table_digest(table(spark, sf_dir, "conversations"), ["conv_id", "turn", "role"])
+
+
+@query("""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_extendedprice, l_suppkey) AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_extendedprice, l_suppkey) AS place FROM lineitem),
+x AS (SELECT l_orderkey, max(pos) AS n FROM d GROUP BY l_orderkey),
+g AS (SELECT l_orderkey, 0::BIGINT AS pos, 0::BIGINT AS last, NULL::BIGINT AS met FROM x
+  UNION ALL SELECT g.l_orderkey, g.pos + 1, coalesce(h.place, g.last), h.place FROM g JOIN x ON x.l_orderkey = g.l_orderkey AND g.pos < x.n JOIN d t ON t.l_orderkey = g.l_orderkey AND t.pos = g.pos + 1
+    LEFT JOIN LATERAL (SELECT min(s.place) AS place FROM d s WHERE s.l_orderkey = g.l_orderkey AND s.place > g.last AND s.l_returnflag = t.l_returnflag) h ON true)
+SELECT l_orderkey, pos, met AS source_pos FROM g WHERE met IS NOT NULL""")
+def tables_in_order(spark, sf_dir):
+    """Each order's lines by number matched to its lines by shipping, in order, by return flag."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), "l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey", F.col("l_returnflag").alias("schema"))
+    side = lambda *order: lines.select("section", "schema", F.row_number().over(Window.partitionBy("section").orderBy(*order)).alias("pos"))
+    targets = side("l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey")
+    return sections.tables_in_order(targets, side("l_shipdate", "l_linenumber", "l_extendedprice", "l_suppkey")).select(F.col("section").alias("l_orderkey"), "pos", "source_pos")

@@ -124,3 +124,12 @@ def test_a_reviewers_pick_brings_its_text(spark):
     s = spark.createDataFrame([(4, "paragraph", "其他"), (5, "paragraph", "发行人的新文本")], "index int, kind string, text string")
     row = resolve.decided(p, d, s).first()
     assert (row.decision, row.source_index, row.new_text, row.new_cells) == ("update", 5, "公司的新文本", None)
+
+
+def test_a_picked_table_keeps_its_scanned_cells(spark):
+    cand = "array<struct<source_index:int,score:double,literal:double>>"
+    p = spark.createDataFrame([("b", "review", "old", None, [(5, 0.7, 0.7)], None, None)], f"id string, status string, text string, source_index int, candidates {cand}, new_text string, new_cells array<array<string>>")
+    d = spark.createDataFrame([("b", "update", 5)], "id string, decision string, source_index int")
+    cells = [[("a bar | in it",), ("two\nparagraphs",)], [("1",), ("2",)]]
+    s = spark.createDataFrame([(5, "table", "a bar | in it|two\nparagraphs\n1|2", cells)], "index int, kind string, text string, cells array<array<struct<text:string>>>")
+    assert resolve.decided(p, d, s).first().new_cells == [["a bar | in it", "two\nparagraphs"], ["1", "2"]]

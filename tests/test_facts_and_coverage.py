@@ -127,3 +127,11 @@ def test_missing_siblings_by_support(spark):
     # "b" has two of five, which is too few; "d" has none; "e" isn't in the sources
     assert got == {("a", "v", 1, "u", "w"), ("a", "x", 3, "w", "y"), ("c", "u", 0, None, "v")}
     assert missing_siblings(targets.limit(0), sources).count() == 0
+
+
+def test_a_heading_over_both_statements_decides_nothing(spark):
+    from quillmesh.operators import facts
+
+    rows = [(["合并及母公司财务报表"],), (["母公司财务报表"],), (["母公司财务报表", "合并及母公司财务报表"],), (["合并财务报表与母公司财务报表"],)]
+    got = [r.s for r in spark.createDataFrame(rows, "path array<string>").select(facts.scope_of(F.col("path"), F.lit("")).alias("s")).collect()]
+    assert got == ["发行人", "发行人本部", "发行人本部", "发行人"]
