@@ -99,7 +99,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc, index ORDER BY hits DESC, i
 SELECT doc, index::BIGINT AS index, item_id, 'exact' AS branch FROM e WHERE r <= 8 UNION ALL SELECT doc, index::BIGINT, item_id, 'fuzzy' FROM f WHERE r = 1""")
 def exact_then_fuzzy(spark, sf_dir):
     targets, sources = sides(spark, sf_dir)
-    exact = M.exact_candidates(targets, sources)
+    targets = written(targets, "targets")
+    exact = written(M.exact_candidates(targets, sources), "exact")
     rest = targets.join(exact.select("doc", "index").distinct(), ["doc", "index"], "left_anti")
     fuzzy = M.gram_hits(rest, sources, keep=1)
     pick = lambda df, branch: df.select("doc", "index", F.col("source_index").alias("item_id"), F.lit(branch).alias("branch"))
@@ -206,7 +207,7 @@ n AS (SELECT count(DISTINCT item_id) AS n FROM b), i AS (SELECT gram, ln(1 + (SE
 s AS (SELECT doc_id, item_id, sum(w) AS score FROM w JOIN i USING (gram) JOIN b USING (gram) GROUP BY ALL)
 SELECT doc_id AS target, item_id AS block, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, item_id) <= 4""")
 def idf_topk(spark, sf_dir):
-    words = lambda name, key, new: table(spark, sf_dir, name).select(F.col(key).alias(new), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("gram"))
+    words = lambda name, key, new: table(spark, sf_dir, name).select(F.col(key).alias(new), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("grams"))
     return M.weighted_hits(words("documents", "doc_id", "target"), words("benchmark", "item_id", "block"), 4).select("target", "block", F.round("score", 6).alias("score"))
 
 

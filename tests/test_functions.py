@@ -192,3 +192,16 @@ def test_grams_of_wide_characters_and_short_texts_are_exact(spark):
         for r in hits(frame("index").where("n IS NOT NULL"), frame("index").where("n IS NOT NULL"), None, 0.0).collect():
             found.setdefault(r["index"], {})[r["source_index"]] = r["hits"]
         assert found == {i: w for i, w in want.items() if w}
+
+
+def test_weighted_hits_by_index_and_by_join(spark):
+    import random
+
+    from quillmesh.operators import match as M
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    side = lambda n, name: spark.createDataFrame([(k, sorted({rng.choice(words) for _ in range(rng.randrange(9))}) if k else None) for k in range(n)], f"{name} int, grams array<string>")
+    t, s = side(40, "target"), side(25, "block")
+    rows = [{(r["target"], r["block"]): (round(r["score"], 9), r["rank"]) for r in way(t, s, 4).collect()} for way in (M._weighted_by_index, M._weighted_by_join)]
+    assert rows[0] == rows[1] and len(rows[0]) > 60
