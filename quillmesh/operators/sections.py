@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.functions.similarity import bigrams, lcs_ratio, parent_ratios
 from quillmesh.operators.blocks import in_order
+from quillmesh.plans.store import written
 
 
 def headings(blocks: DataFrame, least: int = 4) -> DataFrame:
@@ -137,21 +138,23 @@ def near_keys(keys: DataFrame, other: DataFrame, least: float = 0.88) -> DataFra
     """
     grown = F.floor(F.length("key") * (2 - least) / least + 1e-9)
     edits = F.floor((1 - least) * (F.length("key") + grown) + 1e-9)
-    cut = lambda df: df.where(F.length("key") > 1).select("key", edits.alias("edits"), F.explode(bigram_set("key")).alias("gram"))
+    # written, as bigrams are used three times and would be made anew for each pair
+    cut = lambda df: written(df.where(F.length("key") > 1).select("key", edits.alias("edits"), bigram_set("key").alias("grams")), "bigrams")
     left, right = cut(keys), cut(other)
-    often = left.select("gram").unionAll(right.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    single = lambda df: df.select("key", "edits", F.explode("grams").alias("gram"))
+    often = single(left).unionAll(single(right)).groupBy("gram").agg(F.count("*").alias("often"))
 
-    def prefixed(grams: DataFrame, name: str) -> DataFrame:
+    def prefixed(df: DataFrame, name: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "gram"))
-        return grams.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= 2 * F.col("edits") + 1).select(F.col("key").alias(name), "gram")
+        return single(df).join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= 2 * F.col("edits") + 1).select(F.col("key").alias(name), "gram")
 
-    met = prefixed(left, "key").join(prefixed(right, "s_key"), "gram").select("key", "s_key").where("key != s_key").distinct()
     m, n = F.greatest(F.length("key"), F.length("s_key")), F.least(F.length("key"), F.length("s_key"))
-    met = met.where(2 * n >= least * (m + n) - 1e-9)
-    own, other_own = bigram_set("key"), bigram_set("s_key")
-    spoilt = F.greatest(F.size(own), F.size(other_own)) - F.size(F.array_intersect(own, other_own))
-    met = met.where(spoilt <= 2 * F.floor((1 - least) * (m + n) + 1e-9))
-    return met.withColumn("score", lcs_ratio("key", "s_key")).where(F.col("score") >= least)
+    near = (F.col("key") != F.col("s_key")) & (2 * n >= least * (m + n) - 1e-9)
+    met = prefixed(left, "key").join(prefixed(right, "s_key"), "gram").where(near).select("key", "s_key").distinct()
+    met = met.join(left.select("key", "grams"), "key").join(right.select(F.col("key").alias("s_key"), F.col("grams").alias("s_grams")), "s_key")
+    spoilt = F.greatest(F.size("grams"), F.size("s_grams")) - F.size(F.array_intersect("grams", "s_grams"))
+    met = met.where(spoilt <= 2 * F.floor((1 - least) * (m + n) + 1e-9)).select("key", "s_key")
+    return written(met, "near-keys").withColumn("score", lcs_ratio("key", "s_key")).where(F.col("score") >= least)
 
 
 def bigram_set(c) -> Column:
