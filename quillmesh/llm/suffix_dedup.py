@@ -212,8 +212,10 @@ def _gathered(blobs: DataFrame, parts: int, name: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, length: int = 50, wide_from: int = 2048, flush: int = 1 << 20) -> DataFrame:
     """``node, spans`` (packed start and end pairs, in one or more rows for each document) of ``doc_id long, text``."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL")
+    # a partition is held in memory, so there is one for each 16 MB of text, however many the session asks for
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
