@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.operators import guards
 from quillmesh.operators.blocks import in_order
 from quillmesh.plans import fact_rules as R
 
@@ -61,13 +62,21 @@ def table_bundles(blocks: DataFrame) -> DataFrame:
     return classed.select("doc", "index", "class_", F.coalesce(above + 1, low).alias("start"), F.coalesce(below, high + 1).alias("end")).where("class_ = 't'").drop("class_")
 
 
-def subject_guard(target: str = "t", source: str = "s") -> Column:
+def subject_guard(target: str = "t", source: str = "s", with_tables: bool = False) -> Column:
     """Why a source may not replace a target, or an empty string: the first reason that holds.
 
-    Both are structs with ``text`` and ``path`` (array); the checks go from the speaker's scope to the sentence's object.
+    Both are structs with ``text`` and ``path`` (array), and, if ``with_tables``, ``lines`` and ``matrices``; the checks
+    go from the speaker's scope to the sentence's object and end with what table or paragraph is described. The scope is
+    that of the nearest heading that decides.
     """
+    scope = lambda side: guards.scope_at(F.col(f"{side}.path"), F.substring(f"{side}.text", 1, 110))
+    either = lambda name: (scope(target) == name) != (scope(source) == name)
+    if with_tables:
+        described = guards.descriptor_veto(F.col(target), F.col(source))
+    else:
+        described = guards.paragraph_veto(*(guards.paragraph_identity(F.col(f"{side}.text"), F.col(f"{side}.path")) for side in (target, source)))
     t, s = F.col(f"{target}.text"), F.col(f"{source}.text")
-    nearest = lambda side, words: F.exists(F.col(f"{side}.path"), lambda h: h.rlike(words))
+    under = lambda side, words: F.exists(F.col(f"{side}.path"), lambda h: h.rlike(words))
 
     def owner(side: str) -> Column:
         said = F.regexp_extract(F.col(f"{side}.text"), "发行人(?:的)?(" + "|".join(R.CONTROLLERS) + ")", 1)
@@ -83,14 +92,14 @@ def subject_guard(target: str = "t", source: str = "s") -> Column:
     for role in R.CONTROLLERS:
         lost_role = lost_role | F.contains(t, F.lit(role)) & ~F.contains(s, F.lit(role))
     return (
-        F.when(nearest(target, R.PARENT_HEADINGS) != nearest(source, R.PARENT_HEADINGS), "parent scope")
+        F.when(either("发行人本部"), "parent scope")
         .when((owner(target) != "") & (owner(source) != "") & (owner(target) != owner(source)), "owner role")
         .when(unchanged & (lost_role | ~s.rlike("变更|变化")), "control change")
         .when((t.rlike(errors) != s.rlike(errors)) & F.when(t.rlike(errors), s).otherwise(t).rlike("会计政策|会计估计"), "accounting error")
         .when((F.size(denied(t)) > 0) & (F.size(denied(s)) > 0) & (denied(t) != denied(s)), "denied object")
-        .when(nearest(target, R.GUARANTOR_HEADINGS) != nearest(source, R.GUARANTOR_HEADINGS), "guarantor")
-        .when(nearest(source, "风险") & ~nearest(target, "风险") & ~F.contains(t, F.lit("风险")), "risk section")
-        .otherwise("")
+        .when(either("保证人"), "guarantor")
+        .when(under(source, "风险") & ~under(target, "风险") & ~F.contains(t, F.lit("风险")), "risk section")
+        .otherwise(described)
     )
 
 

@@ -42,3 +42,42 @@ OWN_WORDS = "发行人|公司|集团|截至|年度|年末|月末|报告期"
 DENIALS = "不存在|未发生|没有|不涉及|无重大"
 DENIED = {"重大承诺": "重大承诺", "诉讼仲裁": "诉讼|仲裁|行政处罚", "违规担保": "违规担保", "对外担保": "对外担保", "关联担保": "关联.{0,5}担保|担保.{0,5}关联", "股权质押": "股权.{0,8}质押"}
 CONTROLLERS = ("控股股东", "实际控制人")
+# What a table is about, by its caption, title and header.
+TABLE_MEASURES = {
+    "资产负债表": "资产负债表",
+    "现金流量表": "现金流量表",
+    "利润表": "(?<!毛)利润表",
+    "营业收入": "营业收入|主营业务收入",
+    "营业成本": "营业成本|主营业务成本",
+    "毛利润": "毛利润|毛利情况",
+    "毛利率": "毛利率",
+}
+# What a sentence measures, by the words before its amounts.
+LEADING_MEASURES = {
+    **{name: name for name in ("其他业务收入", "其他业务成本", "其他业务毛利", "营业外收入", "其他收益", "资产处置收益", "公允价值变动收益", "投资收益", "营业收入", "营业成本", "净利润", "营业利润", "毛利润", "毛利率")},
+    "资产总计": "总资产|资产总计",
+    "负债总计": "总负债|负债总计|负债合计",
+    "净资产": "净资产|所有者权益|股东权益",
+}
+AMOUNT_VERB = "分别(?:为|是)|(?:账面价值|余额|金额)(?:分别)?(?:为|是)"
+BUSINESSES = {name: name for name in ("电力", "食品", "物业", "供水", "屠宰", "房地产", "住宅", "商业", "工程建设", "担保业务")}
+PARTIES = {"客户": "客户|销售对象", "供应商": "供应商|采购对象"}
+UNIT_WORD = "元|%|％|倍|平方|瓦|头|吨"
+# Lines around a table, header cells and titles that say nothing of their own.
+TABLE_CAPTION = r"^[\t-\r ]*表(?:[\t-\r ]*[:：]|[\t-\r ]*[0-9]+[\t-\r ]*[:：、.．]?)"
+UNIT_LINE = r"^[\t-\r ]*单位[\t-\r ]*[:：]"
+HEADER_CELL = r"^(?:项目|科目|指标|金额|比例|占比|单位|名称|本期|上期|余额|年末|年度|期间|[\t-\r 0-9年\-/月日度末（）()%％、.]+)$"
+GENERIC_HEADING = r"^(?:[一二三四五六七八九十0-9]+[、．.]|[（(][一二三四五六七八九十0-9]+[）)])?[\t-\r ]*(?:核查|调查|分析)(?:情况|记录|结果|过程|程序|意见|结论)?$"
+# Whose figures a heading opens, the first rule that a heading meets; an empty name decides nothing.
+PARENT_LEAD = "发行人(?:本部|母公司)|母公司(?:口径|本部)"
+SCOPE_HEADINGS = {
+    "会计调整": "会计政策变更|会计估计变更|调整影响",
+    "": "(?=.*(?:母公司|本部))(?:.*合并[及和与]|.*合并.*母公司)",
+    "保证人": r"^(?:(?:[一二三四五六七八九十0-9]+[、.．]|[（(][0-9]+[）)])?[\t-\r ]*(?:保证人|担保人|增信主体)(?:的|基本|主要|财务|资信|信用|情况|$)|(?:第.{1,6}[节章][\t-\r ]*)?增信机制$)",
+    "控股股东": "^(?!.*实际控制人).*控股股东",
+    "实际控制人": "^(?!.*控股股东).*实际控制人",
+    "发行人本部": "母公司|发行人本部|本部财务",
+    "发行人": "合并(?:财务|资产|利润|现金|报表)",
+}
+NAMED_COMPANY = r"^([\x{4e00}-\x{9fff}A-Za-z（）()]{4,55}(?:有限公司|有限责任公司|股份有限公司))"
+PROFILE = "成立|注册资本|经营范围"

@@ -12,7 +12,7 @@ from quillmesh.functions import text as T
 from quillmesh.operators import blocks as B
 from quillmesh.operators import match as M
 from quillmesh.operators import reconcile as C
-from quillmesh.operators import overlap, quotes, recovery, resolve, scopes, sections, tables
+from quillmesh.operators import guards, overlap, quotes, recovery, resolve, scopes, sections, tables
 from quillmesh.plans import frozen
 from quillmesh.plans import rules as R
 from quillmesh.plans.analyze import analyze
@@ -545,3 +545,36 @@ def tables_in_order(spark, sf_dir):
     side = lambda *order: lines.select("section", "schema", F.row_number().over(Window.partitionBy("section").orderBy(*order)).alias("pos"))
     targets = side("l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey")
     return sections.tables_in_order(targets, side("l_shipdate", "l_linenumber", "l_extendedprice", "l_suppkey")).select(F.col("section").alias("l_orderkey"), "pos", "source_pos")
+
+
+_ABOUT = {"party": ("o_orderstatus", {"F": "前五大客户", "O": "前五大供应商"}), "measure": ("o_orderpriority", {"1-URGENT": "营业收入", "2-HIGH": "主营业务成本", "3-MEDIUM": "毛利率"})}
+
+
+def _cases(words: dict[str, str]) -> str:
+    return " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items())
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, '表1：' || year(o_orderdate) || '年' || CASE o_orderstatus {_cases(_ABOUT['party'][1])} ELSE '' END || CASE o_custkey % 3 WHEN 0 THEN '电力' WHEN 1 THEN '食品' ELSE '' END || CASE o_orderpriority {_cases(_ABOUT['measure'][1])} ELSE '' END || '情况' AS caption,
+  CASE WHEN month(o_orderdate) % 2 = 0 THEN '单位：万元' ELSE '' END AS unit_line, CASE WHEN month(o_orderdate) % 5 = 0 THEN '客户' ELSE '名称' END || ' 金额（元）' AS header, CASE WHEN o_orderstatus = 'P' THEN '母公司财务报表' ELSE '合并财务报表' END AS heading FROM orders),
+i AS (SELECT *, list_sort(list_distinct(regexp_extract_all(caption, '((?:19|20)[0-9]{{2}})年', 1))) AS periods, CASE WHEN unit_line != '' THEN split_part(unit_line, '：', 2) ELSE regexp_extract(header, '（(.*)）', 1) END AS unit,
+  CASE WHEN regexp_matches(heading, '母公司') THEN '本部' ELSE '合并' END AS scope,
+  CASE WHEN regexp_matches(caption, '客户') THEN '客户' WHEN regexp_matches(caption, '供应商') THEN '供应商' ELSE '' END AS pt, CASE WHEN regexp_matches(header, '客户') THEN '客户' ELSE '' END AS ph,
+  list_filter(['营业收入', '主营业务成本', '毛利率'], lambda m: contains(caption, m)) AS m, list_filter(['电力', '食品'], lambda b: contains(caption, b)) AS b FROM o),
+j AS (SELECT *, pt != '' AND ph != '' AND pt != ph AS clash, CASE WHEN pt != '' THEN pt ELSE ph END AS party, lead(o_orderkey) OVER w AS nk FROM i WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+v AS (SELECT t.o_orderkey, s.o_orderkey AS source_key, t.caption AS tc, s.caption AS sc, t.periods AS tp, s.periods AS sp, t.unit AS tu, s.unit AS su, CASE WHEN t.scope != s.scope THEN 'scope' WHEN t.clash OR s.clash THEN 'caption against header' WHEN len(t.m) > 0 AND len(s.m) > 0 AND NOT list_has_any(t.m, s.m) THEN 'measures'
+  WHEN t.periods != s.periods THEN 'periods' WHEN t.party != '' AND s.party != '' AND t.party != s.party THEN 'parties' WHEN len(t.b) > 0 AND len(s.b) > 0 AND NOT list_has_any(t.b, s.b) THEN 'businesses' WHEN t.unit != s.unit THEN 'units' ELSE '' END AS veto FROM j t JOIN j s ON t.nk = s.o_orderkey)
+SELECT o_orderkey, source_key, array_to_string(tp, ',') AS periods, tu AS unit, veto, tc = sc AND tp = sp AND tu = su AND veto = '' AS same FROM v""")
+def table_guard(spark, sf_dir):
+    """A table about each order against one about its customer's next order: the first veto, and whether they are one table."""
+    pick = lambda name: F.coalesce(F.create_map(*(F.lit(x) for pair in _ABOUT[name][1].items() for x in pair))[F.col(_ABOUT[name][0])], F.lit(""))
+    business = F.when(F.col("o_custkey") % 3 == 0, "电力").when(F.col("o_custkey") % 3 == 1, "食品").otherwise("")
+    month = F.month("o_orderdate")
+    caption = F.concat(F.lit("表1："), F.year("o_orderdate"), F.lit("年"), pick("party"), business, pick("measure"), F.lit("情况"))
+    lines = F.array(caption, F.when(month % 2 == 0, "单位：万元").otherwise(""))
+    text = F.concat(F.when(month % 5 == 0, "客户").otherwise("名称"), F.lit("|金额（元）\n"), F.col("o_orderpriority"), F.lit("|"), F.col("o_totalprice").cast("string"))
+    path = F.array(F.lit("第一节"), F.when(F.col("o_orderstatus") == "P", "母公司财务报表").otherwise("合并财务报表"))
+    about = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", guards.table_identity(lines, guards.matrices_of(text), path).alias("t"))
+    following = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = about.select("o_orderkey", F.lead("o_orderkey").over(following).alias("source_key"), "t", F.lead("t").over(following).alias("s")).where("source_key IS NOT NULL")
+    t, s = F.col("t"), F.col("s")
+    return pairs.select("o_orderkey", "source_key", F.array_join("t.periods", ",").alias("periods"), F.array_join("t.units", ",").alias("unit"), guards.table_veto(t, s).alias("veto"), guards.same_table(t, s).alias("same"))
