@@ -2,7 +2,9 @@
 
 Targets come from the weights, with what a source can't give reshared. Blocks of equal token counts go to the sources by
 the highest quotients target / (2 k - 1), then to each source's shards in the same way by shard size, and where a source
-has more than ``FINE`` shards' worth of words, from those to their parts once more. In a shard or part, documents stand in a seeded order, and the blocks of its quota are taken from that row of words, round and round.
+has more than ``FINE`` shards' worth of words, from those to their parts once more. In a shard or part, documents stand in a seeded order, and their row of
+words is cut into blocks. A quota beyond the whole row takes all of it once or twice, and then as many blocks as are left,
+those of the lowest seeded ranks; documents get the words of the chosen blocks that lie in them.
 """
 
 from __future__ import annotations
@@ -84,21 +86,55 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return filled.select("source", "source_size", "rank_", "all_", F.when(F.col("capped_"), F.col("cap_")).otherwise(F.col("weight_") * F.col("level_")).alias("target"))
 
 
+RANKS = 2147483647  # a prime: ranks are squares modulo it, and ties go by the block's number
+
+
+def _salt(*keys: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 7), 16, 10).cast("long")
+
+
+def _block_rank(block: Column, salt: Column) -> Column:
+    """Seeded rank of a block of a shard, as a struct that orders without ties."""
+    x = (block * 48271 + salt + 1) % RANKS
+    return F.struct(((x * x) % RANKS).alias("r"), block.alias("b"))
+
+
+def _chosen(before: Column, size: Column, last: Column, rest: Column, salt: Column, block_tokens: int) -> Column:
+    """Spans ``start, words`` (from 0 in a document) of the chosen blocks that lie in a document.
+
+    The document's words are ``before`` to ``before + size`` of its shard. Blocks ranked below ``last`` are chosen whole,
+    ``last`` itself with its first ``rest`` words.
+    """
+    blocks = F.sequence(F.floor(before / block_tokens), F.floor((before + size - 1) / block_tokens))
+
+    def span(b: Column) -> Column:
+        rank = _block_rank(b, salt)
+        words = F.when(rank < last, F.lit(block_tokens)).when(rank == last, rest).otherwise(F.lit(0))
+        start = F.greatest(b * block_tokens, before)
+        return F.struct((start - before).alias("start"), (F.least(b * block_tokens + words, before + size) - start).alias("words"))
+
+    none = F.array().cast("array<struct<start:bigint,words:bigint>>")
+    return F.when((size > 0) & last.isNotNull(), F.filter(F.transform(blocks, span), lambda x: x["words"] > 0)).otherwise(none)
+
+
 _OWN = (
     "source_q", "bucket_", "fine_", "rank_", "rank_q", "all_", "shards_", "shard_", "shard_q", "parts_", "part_", "part_q", "blocks_", "source_blocks_",
-    "shard_size_", "seeded_", "before_", "rounds_", "over_",
+    "shard_size_", "seeded_", "before_", "rounds_", "over_", "salt_", "last_",
 )
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = 8, shard_words: int = 100_000, seed: str = "mix") -> DataFrame:
-    """All rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words of the row in the mix).
+    """All rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words of the row in the mix), and
+    what they are: ``copies`` whole ones and the ``blocks`` (spans ``start, words``, counted from 0) of one more.
 
     A null text has size 0 and nothing is taken of it. Null sources form one source, the last. Rows with equal ids stand
     next to each other in the seeded order, the shorter first, and are taken each on their own. An empty table gives an
     empty table; input columns named like those that are added are replaced. No document gives more than twice its size,
-    so a shard gives at most twice its words and a source may end below its target by less than a block for each shard.
+    so a shard gives at most twice its words and a source may end below its target by less than two blocks for each shard
+    (the end of a quota, and the short last block of the row). A shard's blocks are ranked within one row of the table of
+    shards: some ``shard_words / block_tokens`` numbers, more only where one document is longer than a shard.
     """
-    given = docs.drop("size", "source_size", "target", "taken")
+    given = docs.drop("size", "source_size", "target", "taken", "copies", "blocks")
     docs, moved = aside(given, *_OWN)
     id_col, text_col, source_col = (moved.get(c, c) for c in (id_col, text_col, source_col))
     sized = docs.withColumn("size", n_words(F.col(text_col))).withColumn("bucket_", _bucket(id_col, seed)).withColumn("fine_", (F.col("bucket_") % FINE).cast("int"))
@@ -121,30 +157,40 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
         parts = placed.groupBy("rank_", "shard_", "part_").agg(F.sum("size").alias("part_size_"))
         parts = parts.join(shards.select("rank_", "shard_", "blocks_"), ["rank_", "shard_"])
         shards = apportioned(parts, ["rank_", "shard_"], ["part_"], "part_size_", F.col("blocks_")).select("rank_", "shard_", "part_", F.col("part_size_").alias("shard_size_"), F.col("seats_").alias("blocks_"))
+    words = F.least(F.col("blocks_") * block_tokens, 2 * F.col("shard_size_"))
+    rounds = F.when(F.col("shard_size_") > 0, F.floor(words / F.col("shard_size_"))).otherwise(F.lit(0)).cast("long")
+    ranks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shard_size_") - 1) / block_tokens)), lambda n: _block_rank(n, F.col("salt_")))
+    shards = (
+        shards.select("rank_", "shard_", "part_", "shard_size_", rounds.alias("rounds_"), (words - rounds * F.col("shard_size_")).cast("long").alias("over_"))
+        .withColumn("salt_", _salt(F.lit(seed), "rank_", "shard_", "part_"))
+        .withColumn("last_", F.when(F.col("over_") > 0, F.get(F.array_sort(ranks), F.floor(F.col("over_") / block_tokens).cast("int"))))
+        .withColumn("over_", F.col("over_") % block_tokens)
+    )
     shards = written(shards.withColumnsRenamed({"rank_": "rank_q", "shard_": "shard_q", "part_": "part_q"}), "mix-shard-quotas")
     placed = _joined(placed, shards, (F.col("rank_") == F.col("rank_q")) & (F.col("shard_") == F.col("shard_q")) & (F.col("part_") == F.col("part_q")))
     order = Window.partitionBy("rank_", "shard_", "part_").orderBy("seeded_", "size").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.least(F.col("blocks_") * block_tokens, 2 * F.col("shard_size_"))
-    rounds = F.when(F.col("shard_size_") > 0, F.floor(words / F.col("shard_size_"))).otherwise(F.lit(0))
     return (
         placed.withColumn("seeded_", _seeded(id_col, seed + "-order"))
-        .withColumn("before_", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .withColumn("rounds_", rounds.cast("long"))
-        .withColumn("over_", words - F.col("rounds_") * F.col("shard_size_") - F.col("before_"))
-        .withColumn("taken", F.col("rounds_") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("over_"))))
-        .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+        .withColumn("before_", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
+        .withColumn("blocks", _chosen(F.col("before_"), F.col("size"), F.col("last_"), F.col("over_"), F.col("salt_"), block_tokens))
+        .withColumn("taken", F.col("rounds_") * F.col("size") + F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+        .select(*(F.col(moved.get(c, c)).alias(c) for c in given.columns), "size", "source_size", "target", "taken", F.col("rounds_").alias("copies"), "blocks")
     )
 
 
 def written_out(mix: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The mix as rows of ``columns``: a row for each whole copy, and one with the first words of a copy taken in part.
+    """The mix as rows of ``columns``: a row for each whole copy, and one with the chosen blocks of a copy taken in part.
 
-    The words of such a part are joined by single spaces. A document of size 0 gives no row.
+    The words of such a part stand in their order, joined by single spaces; a copy whose blocks were all chosen is whole.
+    A document of size 0, and one with a null text, gives no row.
     """
-    copies = mix.where("taken > 0").withColumn("part_", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    rest = (F.col("taken") - (F.col("part_") - 1) * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, rest), " ")
-    return copies.withColumn(text_col, F.when(rest >= F.col("size"), F.col(text_col)).otherwise(cut)).select(*columns)
+    part = F.when(F.size("blocks") > 0, 1).otherwise(0)
+    copies = mix.where("taken > 0").withColumn("part_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") + part)))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    chosen = F.flatten(F.transform("blocks", lambda x: F.slice("words_", (x["start"] + 1).cast("int"), x["words"].cast("int"))))
+    whole = (F.col("part_") <= F.col("copies")) | (F.col("taken") == (F.col("copies") + 1) * F.col("size"))
+    cut = copies.withColumn("words_", F.when(~whole, words))
+    return cut.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join(chosen, " "))).select(*columns)
 
 
 #: The same in DuckDB.
@@ -166,9 +212,15 @@ p AS (SELECT d.*, r, source_size, target, seats, fine % shards AS shard FROM d J
 z AS (SELECT r, shard, sum(size)::BIGINT AS z, any_value(seats) AS seats FROM p GROUP BY r, shard),
 y AS (SELECT r, shard, count(*) AS blocks FROM (SELECT r, shard, seats, row_number() OVER (PARTITION BY r ORDER BY z / (2 * k - 1) DESC, shard, k) AS n
     FROM (SELECT *, unnest(range(1, seats + 1)) AS k FROM z WHERE z > 0)) WHERE n <= seats GROUP BY r, shard),
-b AS (SELECT p.*, z, least(8 * coalesce(blocks, 0), 2 * z) AS words,
-    coalesce(sum(size) OVER (PARTITION BY p.r, p.shard ORDER BY seeded, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM p JOIN z ON p.r = z.r AND p.shard = z.shard LEFT JOIN y ON p.r = y.r AND p.shard = y.shard)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN z > 0 THEN words // z * size + greatest(0, least(size, words - words // z * z - before)) ELSE 0 END)::BIGINT AS taken FROM b
+e AS (SELECT z.r, z.shard, z, least(8 * coalesce(blocks, 0), 2 * z)::BIGINT AS words, ('0x' || substr(md5('mix|' || z.r || '|' || z.shard || '|0'), 1, 7))::BIGINT AS salt FROM z LEFT JOIN y ON z.r = y.r AND z.shard = y.shard),
+n AS (SELECT r, shard, b, row_number() OVER (PARTITION BY r, shard ORDER BY x * x % 2147483647, b) AS place
+    FROM (SELECT r, shard, b, (b * 48271 + salt + 1) % 2147483647 AS x FROM (SELECT *, unnest(range(0, (z + 7) // 8)) AS b FROM e WHERE z > 0))),
+c AS (SELECT n.r, n.shard, b, CASE WHEN place <= (words % z) // 8 THEN 8 WHEN place = (words % z) // 8 + 1 THEN (words % z) % 8 ELSE 0 END AS got FROM n JOIN e ON n.r = e.r AND n.shard = e.shard),
+b AS (SELECT p.*, z, words, coalesce(sum(size) OVER (PARTITION BY p.r, p.shard ORDER BY seeded, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM p JOIN e ON p.r = e.r AND p.shard = e.shard),
+i AS (SELECT *, unnest(range(before // 8, (before + size - 1) // 8 + 1)) AS blk FROM b WHERE size > 0),
+f AS (SELECT i.doc_id, i.r, i.shard, i.seeded, i.before, sum(greatest(0, least(blk * 8 + got, before + size) - greatest(blk * 8, before)))::BIGINT AS part
+    FROM i JOIN c ON i.r = c.r AND i.shard = c.shard AND i.blk = c.b GROUP BY ALL)
+SELECT b.doc_id, size, source_size, target, (CASE WHEN size > 0 THEN words // z * size + coalesce(part, 0) ELSE 0 END)::BIGINT AS taken
+FROM b LEFT JOIN f ON b.doc_id IS NOT DISTINCT FROM f.doc_id AND b.r = f.r AND b.shard = f.shard AND b.before = f.before AND size > 0
 """

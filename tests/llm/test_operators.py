@@ -512,6 +512,55 @@ def test_mix(docs, none):
     assert rows.columns == docs.columns and sum(len((r.text or "").split()) for r in rows.collect() if "▁" not in r.text) <= sum(taken.values())
 
 
+def test_mix_selects_blocks_by_seeded_rank(spark, monkeypatch):
+    """Against a plain selection: a shard's row of words, its blocks in rank order, whole rows first; shards and parts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.choice((0, 1, 5, 8, 40, 700)))), rng.choice("aab")) for i in range(60)]
+    rows += [(7, "again and again", "a"), (None, "no id at all", None), (None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("id_", F.col("doc_id")).withColumn("last_", F.lit("own"))
+    for fine, words in ((4096, 100_000), (4, 200)):
+        monkeypatch.setattr(source_mix, "FINE", fine)
+        mix = source_mix.mixed(frame, shard_words=words)
+        assert mix.columns[:5] == frame.columns
+        got = mix.collect()
+        assert len(got) == len(rows) and all(r.last_ == "own" and r.id_ == r.doc_id for r in got)
+        texts = collections.defaultdict(list)
+        for r in source_mix.written_out(mix, ["doc_id", "text"]).collect():
+            texts[r.doc_id].append(r.text)
+        shards = collections.defaultdict(list)
+        sizes = collections.Counter()
+        for r in got:
+            sizes[r.source] += r["size"]
+        for r in got:
+            assert r.taken == r.copies * r["size"] + sum(b.words for b in r.blocks) <= 2 * r["size"]
+            own = (r.text or "").split()
+            want = [r.text] * r.copies
+            if r.blocks:
+                spans = [w for b in r.blocks for w in own[b.start : b.start + b.words]]
+                want.append(r.text if len(spans) == len(own) else " ".join(spans))
+            if r.doc_id not in (7, None):
+                assert sorted(texts[r.doc_id]) == sorted(want if own else [])
+            digest = hashlib.md5(f"mix|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()
+            bucket, total = int(digest[:7], 16), sizes[r.source]
+            shard = bucket % fine % max(1, min(fine, math.ceil(total / words)))
+            part = bucket // fine % max(1, math.ceil(total / (fine * words)))
+            rank = ["a", "b", None].index(r.source) + 1
+            shards[rank, shard, part].append((hashlib.md5(f"mix-order|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r["size"], r))
+        assert fine == 4096 or len({k[2] for k in shards}) > 1
+        for key, members in shards.items():
+            members.sort(key=lambda m: m[:2])
+            z = sum(m[1] for m in members)
+            over = sum(b.words for *_, r in members for b in r.blocks)
+            salt = int(hashlib.md5("|".join(["mix", *map(str, key)]).encode()).hexdigest()[:7], 16)
+            order = sorted(range(-(-z // 8)), key=lambda b: (((b * 48271 + salt + 1) % 2147483647) ** 2 % 2147483647, b))
+            takes = [{b * 8 + k for n, b in enumerate(order) for k in range(8 if n < m else rest if n == m else 0) if b * 8 + k < z} for m in range(len(order) + 1) for rest in range(8)]
+            at, chosen = 0, set()
+            for _, size, r in members:
+                chosen |= {at + b.start + k for b in r.blocks for k in range(b.words)}
+                at += size
+            assert over == len(chosen) and chosen in takes
+
+
 def test_apportionment_is_highest_quotients(spark):
     rng = random.Random(2)
     for seats in (0, 1, 7, 250):

@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 from tests.llm.test_operators import brute_groups, brute_runs, corpus, plain
 
-from quillmesh.llm import quality_rules
+from quillmesh.llm import quality_rules, source_mix
 from quillmesh.llm.queries import piece_model
 
 
@@ -19,7 +19,7 @@ def test_stages(spark, tmp_path):
     state = spark.read.parquet(str(tmp_path / "documents.parquet"))
     before = {r.doc_id: r.text for r in state.collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, state, str(tmp_path))
+        docs_before, out = state, stage(spark, state, str(tmp_path))
         out.write.parquet(str(tmp_path / name))
         state = spark.read.parquet(str(tmp_path / name))
         rows = state.collect()
@@ -34,7 +34,13 @@ def test_stages(spark, tmp_path):
         elif name == "near_copies":
             assert {r.doc_id for r in rows} == {i for i, (_, c) in brute_groups(before.items(), 5, 80).items() if c == i}
         elif name == "mix":
-            assert rows and all(r.text in before[r.doc_id] or " ".join(before[r.doc_id].split()).startswith(r.text) for r in rows)
+            want = []
+            for m in source_mix.mixed(docs_before).collect():
+                own = m.text.split()
+                want += [(m.doc_id, m.text)] * m.copies
+                chosen = [w for b in m.blocks for w in own[b.start : b.start + b.words]]
+                want += [(m.doc_id, m.text if len(chosen) == len(own) else " ".join(chosen))] if chosen else []
+            assert rows and plain((r.doc_id, r.text) for r in rows) == plain(want)
         else:
             sp = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
             want = []
