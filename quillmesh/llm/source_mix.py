@@ -17,6 +17,7 @@ from quillmesh.llm.store import aside, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 FINE = 4096  # shards that one group of quotients is ranked among, so no window grows with the corpus
+RANKED = 1 << 22  # blocks that one task ranks, about
 #: Rows up to which a table of sources or shards is broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 100_000
 
@@ -94,9 +95,9 @@ def _salt(*keys: str) -> Column:
 
 
 def _block_rank(block: Column, salt: Column) -> Column:
-    """Seeded rank of a block of a shard, as a struct that orders without ties."""
+    """Seeded rank of a block of a shard: one number that orders without ties, as a shard has fewer than 2^31 blocks."""
     x = (block * 48271 + salt + 1) % RANKS
-    return F.struct(((x * x) % RANKS).alias("r"), block.alias("b"))
+    return (x * x) % RANKS * (RANKS + 1) + block
 
 
 def _chosen(before: Column, size: Column, last: Column, rest: Column, salt: Column, block_tokens: int) -> Column:
@@ -151,17 +152,21 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     shards = apportioned(shards, ["rank_"], ["shard_"], "shard_size_", F.col("source_blocks_")).drop("source_blocks_").withColumnRenamed("seats_", "blocks_")
     placed = _joined(sized, quotas.withColumnRenamed("source", "source_q"), F.col(source_col).eqNullSafe(F.col("source_q")))
     placed = placed.withColumn("shard_", F.col("fine_") % F.col("shards_")).withColumn("part_", F.floor(F.col("bucket_") / FINE) % F.col("parts_"))
-    if (quotas.agg(F.max("parts_")).first()[0] or 1) == 1:
+    most_parts, all_words = quotas.agg(F.max("parts_"), F.sum("source_size")).first()
+    if (most_parts or 1) == 1:
         shards = shards.withColumn("part_", F.lit(0).cast("long"))
     else:
         parts = placed.groupBy("rank_", "shard_", "part_").agg(F.sum("size").alias("part_size_"))
         parts = parts.join(shards.select("rank_", "shard_", "blocks_"), ["rank_", "shard_"])
         shards = apportioned(parts, ["rank_", "shard_"], ["part_"], "part_size_", F.col("blocks_")).select("rank_", "shard_", "part_", F.col("part_size_").alias("shard_size_"), F.col("seats_").alias("blocks_"))
+    # A shard's row is small and its ranks are many: tasks follow the blocks, not the bytes that would be merged into one.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (all_words or 0) // (block_tokens * RANKED))
     words = F.least(F.col("blocks_") * block_tokens, 2 * F.col("shard_size_"))
     rounds = F.when(F.col("shard_size_") > 0, F.floor(words / F.col("shard_size_"))).otherwise(F.lit(0)).cast("long")
     ranks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shard_size_") - 1) / block_tokens)), lambda n: _block_rank(n, F.col("salt_")))
     shards = (
         shards.select("rank_", "shard_", "part_", "shard_size_", rounds.alias("rounds_"), (words - rounds * F.col("shard_size_")).cast("long").alias("over_"))
+        .repartition(tasks, "rank_", "shard_", "part_")
         .withColumn("salt_", _salt(F.lit(seed), "rank_", "shard_", "part_"))
         .withColumn("last_", F.when(F.col("over_") > 0, F.get(F.array_sort(ranks), F.floor(F.col("over_") / block_tokens).cast("int"))))
         .withColumn("over_", F.col("over_") % block_tokens)
