@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import similarity as S
 from quillmesh.functions import text as T
+from quillmesh.functions import wording
 from quillmesh.operators import blocks as B
 from quillmesh.operators import match as M
 from quillmesh.operators import reconcile as C
@@ -578,3 +579,26 @@ def table_guard(spark, sf_dir):
     pairs = about.select("o_orderkey", F.lead("o_orderkey").over(following).alias("source_key"), "t", F.lead("t").over(following).alias("s")).where("source_key IS NOT NULL")
     t, s = F.col("t"), F.col("s")
     return pairs.select("o_orderkey", "source_key", F.array_join("t.periods", ",").alias("periods"), F.array_join("t.units", ",").alias("unit"), guards.table_veto(t, s).alias("veto"), guards.same_table(t, s).alias("same"))
+
+
+# Rules by a document's language; they meet inside words too, and one term is the beginning of another.
+_WORDING = {"": {"the": "this", "then": "later", "of": "about", "er": "or"}, "fr": {"le": "ce", "les": "ces", "de": "hors de", "la": "cette"}, "de": {"und": "sowie", "der": "dieser"}}
+
+
+def _ledger_sql(rules: dict[str, str]) -> str:
+    pattern = "|".join(sorted(rules, key=lambda t: (-len(t), t)))
+    return f"SELECT regexp_extract_all(text, '{pattern}') AS old, string_split_regex(text, '{pattern}') AS piece, MAP {{{', '.join(f"'{a}': '{b}'" for a, b in rules.items())}}} AS new"
+
+
+@query(f"""WITH l AS (SELECT doc_id AS doc, lang, generate_subscripts(l, 1) - 1 AS index, unnest(l) AS text FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+g AS ({" UNION ALL BY NAME ".join(f"{_ledger_sql(r)}, doc, index FROM l WHERE {f"lang = '{k}'" if k else "lang IS NULL OR lang NOT IN ('fr', 'de')"}" for k, r in _WORDING.items())}),
+p AS (SELECT *, list_transform(range(1, len(old) + 1), lambda k: list_sum(list_transform(piece[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(old[1:k - 1], lambda x: length(x))), 0)) AS pos FROM g)
+SELECT doc, index::BIGINT AS index, md5(array_to_string(list_transform(range(1, len(piece) + 1), lambda k: piece[k] || CASE WHEN k <= len(old) THEN new[old[k]] ELSE '' END), '')) AS adapted,
+  array_to_string(list_transform(range(1, len(old) + 1), lambda k: old[k] || '>' || new[old[k]] || '@' || pos[k]::BIGINT), ';') AS ledger FROM p""")
+def wording_ledger(spark, sf_dir):
+    """Each line of each document in the wording of its language's rules, and every change with its place."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(F.col("doc_id").alias("doc"), "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("index", "text"))
+    told = lines.select("doc", "index", wording.adapted(F.col("text"), F.col("lang"), _WORDING).alias("w"))
+    shown = F.transform("w.ledger", lambda c: F.concat(c["old"], F.lit(">"), c["new"], F.lit("@"), c["at"]))
+    return longs(told.select("doc", "index", F.md5(F.col("w.text").cast("binary")).alias("adapted"), F.array_join(shown, ";").alias("ledger")))
