@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.store import aside, written
+from quillmesh.llm.store import aside, fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -189,13 +189,22 @@ def written_out(mix: DataFrame, columns: list[str], text_col: str = "text") -> D
     The words of such a part stand in their order, joined by single spaces; a copy whose blocks were all chosen is whole.
     A document of size 0, and one with a null text, gives no row.
     """
-    part = F.when(F.size("blocks") > 0, 1).otherwise(0)
-    copies = mix.where("taken > 0").withColumn("part_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") + part)))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    chosen = F.flatten(F.transform("blocks", lambda x: F.slice("words_", (x["start"] + 1).cast("int"), x["words"].cast("int"))))
-    whole = (F.col("part_") <= F.col("copies")) | (F.col("taken") == (F.col("copies") + 1) * F.col("size"))
-    cut = copies.withColumn("words_", F.when(~whole, words))
-    return cut.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join(chosen, " "))).select(*columns)
+
+    def joined(blocks: Column) -> Column:
+        # The words are the one element of an array: named in a column, they would be taken out again for every block.
+        pieces = F.transform(F.array(words), lambda own: F.flatten(F.transform(blocks, lambda x: F.slice(own, (x["start"] + 1).cast("int"), x["words"].cast("int")))))
+        return F.array_join(F.get(pieces, F.lit(0)), " ")
+
+    def part(blocks: Column) -> Column:
+        whole = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col("size")
+        return F.when(F.size(blocks) > 0, F.array(F.when(whole, F.col(text_col)).otherwise(joined(blocks)))).otherwise(F.array().cast("array<string>"))
+
+    parts = F.get(F.transform(F.array("blocks"), part), F.lit(0))
+    (copy,) = fresh(mix, "copy")
+    texts = F.when(F.col("size") > 0, F.concat(F.array_repeat(F.col(text_col), F.col("copies").cast("int")), parts))
+    copies = mix.select("*", F.explode_outer(texts).alias(copy)).where(F.col(copy).isNotNull())
+    return copies.withColumn(text_col, F.col(copy)).select(*columns)
 
 
 #: The same in DuckDB.
