@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
 from quillmesh.llm.memory import released
-from quillmesh.llm.store import fresh, written
+from quillmesh.llm.store import drop_table, fresh, written
 
 _U = np.uint64
 GROUPS = 64  # dimensions of a count vector
@@ -442,7 +443,31 @@ def _may_be_in(ids: DataFrame, column: str) -> Column:
     return passes(F.coalesce(F.col(column).cast("long"), F.lit(0)))
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, block_rows: int | None = None, flush: int = 1 << 20, count_links: bool = False, name_bits: int = 63) -> DataFrame:
+def _dealt(members: DataFrame, percent: int, block_shingles: int, block_rows: int | None) -> DataFrame:
+    """``members`` (``family, node, n_shingles``) with their ``block`` and the blocks that it ``meets``, its own too.
+
+    A family of one block meets itself. Of a larger one, sets are dealt by size first, in steps of the similarity: sets
+    of steps further apart than one differ too much in size to link, so these blocks never meet.
+    """
+
+    def blocks() -> Column:
+        n = F.ceil(F.sum("n_shingles") / block_shingles)
+        n = F.greatest(n, F.ceil(F.count("*") / block_rows)) if block_rows else n
+        return F.least(n, F.count("*")).cast("long")
+
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else math.log(1.25)
+    large = members.groupBy("family").agg(blocks().alias("n_")).where("n_ > 1").select("family", F.lit(True).alias("large_"))
+    sized = members.join(large, "family", "left").withColumn("step_", F.when(F.col("large_"), F.floor(F.log("n_shingles") / step)).otherwise(F.lit(0)).cast("long"))
+    steps = written(sized.groupBy("family", "step_").agg(blocks().alias("own_")), "steps")
+    beside = lambda by, name: steps.select("family", (F.col("step_") + by).alias("step_"), F.col("own_").alias(name))
+    steps = steps.join(beside(1, "below_"), ["family", "step_"], "left").join(beside(-1, "above_"), ["family", "step_"], "left")
+    code = lambda by, k: (F.col("step_") + by) * (1 << 32) + k
+    every = lambda by, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: code(by, k))).otherwise(F.array().cast("array<bigint>"))
+    meets = F.concat(every(0, "own_"), every(-1, "below_"), every(1, "above_")).alias("meets")
+    return sized.join(steps, ["family", "step_"]).select(*members.columns, code(0, F.pmod(F.xxhash64("node"), F.col("own_"))).alias("block"), meets)
+
+
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 1 << 20, block_rows: int | None = None, round_shingles: int | None = None, flush: int = 1 << 20, count_links: bool = False, name_bits: int = 63) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id that links reach, itself included.
 
     Two documents link when 100 * shared >= percent * joint shingles. ASCII letters count in lower case. A null or empty
@@ -450,7 +475,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     of the same id are one node and link if either links. Rows with a null id stay alone with a null component. Equal
     sets are one node, so copies cost nothing after the keys. Nothing is capped: large families are cut into blocks of
     about ``block_shingles`` shingles (and ``block_rows`` sets, if given, so that many short ones don't gather in a
-    task), and every pair of blocks is searched. Shingles and keys are compared by 64-bit
+    task), by size first, and every pair of blocks whose sizes allow a link is searched, in as many rounds as keep what
+    is shuffled at once to ``round_shingles`` (half the corpus's, if not given). Shingles and keys are compared by 64-bit
     hashes, equal sets by two of them; sets are named by the first (``name_bits`` bits of it), and the few that share it get
     names of their own. The list of frequent shingles is gathered from all batches and bounded. Texts are read three times and never shuffled.
 
@@ -548,11 +574,10 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     extra = ["weight", "each"] if count_links else []
     if count_links:
         members = members.join(weights.withColumnRenamed("h1", "node"), "node")
-    n_blocks = F.ceil(F.sum("n_shingles") / block_shingles)
-    if block_rows:
-        n_blocks = F.greatest(n_blocks, F.ceil(F.count("*") / block_rows))
-    blocks = members.groupBy("family").agg(n_blocks.cast("int").alias("n_blocks"))
-    members = written(members.join(blocks, "family").select("node", "first_id", "family", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), *extra), "members")
+    members = written(_dealt(members, percent, block_shingles, block_rows), "members")
+    # What the pairs of blocks move at once is held to half the corpus's shingles, however large a family is.
+    moved = members.agg(F.coalesce(F.sum(F.col("n_shingles") * F.size("meets")), F.lit(0))).first()[0]
+    rounds = math.ceil(moved / (round_shingles or max(1 << 24, n_shingles // 2))) or 1
     wanted = spark.sparkContext.broadcast(_filter_of(members.select("first_id")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -616,15 +641,22 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         released()
 
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(shingled, "first_id long, node long, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    pairs = texts.join(members, ["first_id", "node"]).select("family", "block", "node", "shingles", *extra, other.alias("k"))
+    held = texts.join(members.drop("n_shingles"), ["first_id", "node"]).select("family", "block", "node", "shingles", *extra, "meets")
+    if rounds > 1:
+        held = written(held, "shingles")
+    pairs = held.select("family", "block", "node", "shingles", *extra, F.explode("meets").alias("k"))
     pairs = pairs.select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "shingles", *extra)
-    pairs = pairs.repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
-    if count_links:
-        found = written(pairs.mapInArrow(counted, "kind long, a long, b long, n long"), "counts")
-        links = found.where(F.col("kind") == SPAN).select("a", "b")
-    else:
-        links = written(pairs.mapInArrow(searched, "a long, b long"), "links")
+    run, kind = (counted, "kind long, a long, b long, n long") if count_links else (searched, "a long, b long")
+
+    def found_in(k: int) -> DataFrame:
+        some = pairs.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(rounds)) == k) if rounds > 1 else pairs
+        some = some.repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
+        return written(some.mapInArrow(run, kind), "found")
+
+    found = reduce(DataFrame.union, map(found_in, range(rounds)))
+    if rounds > 1:
+        drop_table(held)
+    links = found.where(F.col("kind") == SPAN).select("a", "b") if count_links else found
 
     ties = profile.where("n_shingles > 0").join(several, "doc_id").select("a", F.col("h1").alias("b")).where("a != b")
     tied = written(components(links.union(ties)), "components").select(F.col("node").alias("h1"), "component")

@@ -263,6 +263,30 @@ def test_ngram_links_by_brute_force(spark, docs, none, n, percent, block):
     assert plain(ngram_join.linked(more, n=n, percent=percent, count_links=True, name_bits=2).collect()) == plain(got)
 
 
+def test_large_families_are_searched_in_rounds(spark, monkeypatch):
+    """One family of sets of all sizes: blocks too different in size don't meet, and no round moves more than its share."""
+    rng = random.Random(5)
+    rows, text = [], []
+    for i in range(60):  # each text is the last one and some words more, so neighbours link and the ends don't
+        text = text + [f"w{i}x{k}" for k in range(2 + len(text) // (9 if i % 20 else 2))]
+        rows.append((i, " ".join(text)))
+    rng.shuffle(rows)
+    want = brute_groups(rows, 5, 80)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: tables.append((name, df)) or write(df, name))
+    for count in (False, True):
+        tables.clear()
+        got = ngram_join.linked(frame, block_shingles=2000, round_shingles=40_000, count_links=count).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+        (members,) = (df for name, df in tables if name == "members")
+        members = members.collect()
+        moved = sum(m.n_shingles * len(m.meets) for m in members)
+        assert sum(name == "found" for name, _ in tables) == math.ceil(moved / 40_000) > 2
+        most = max(len({k for m in members if m.family == f for k in m.meets}) for f in {m.family for m in members})
+        assert max(len(m.meets) for m in members) < most  # not every block of the family
+
+
 def test_block_counts_by_brute_force():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 90).astype(np.uint64)
