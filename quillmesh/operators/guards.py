@@ -7,6 +7,7 @@ can bring their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ class Descriptors:
     unit_word: str = R.UNIT_WORD
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def names_in(c: Column, named: dict[str, str]) -> Column:
     """Names whose pattern occurs in a text, in the order of ``named``; empty for a null."""
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")).rlike(p), F.lit(k)) for k, p in named.items())))
@@ -38,8 +44,7 @@ def names_in(c: Column, named: dict[str, str]) -> Column:
 
 def _only(c: Column, named: dict[str, str]) -> Column:
     """The one name that occurs in a text, or empty if none or several do."""
-    found = names_in(c, named)
-    return F.when(F.size(found) == 1, found[0]).otherwise("")
+    return _bound(names_in(c, named), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(""))
 
 
 def scope_at(path: Column, lead: Column | None = None) -> Column:
@@ -82,26 +87,36 @@ def table_identity(lines: Column, matrices: Column, path: Column, words: Descrip
     lines, path = F.coalesce(lines, none), F.coalesce(path, none)
     caption = F.array_join(F.filter(lines, lambda x: x.rlike(R.TABLE_CAPTION)), " ")
     heading = F.get(F.filter(F.reverse(path), lambda h: ~h.rlike(R.GENERIC_HEADING) & (F.length(T.strip_lead(h)) > 2)), F.lit(0))
-    title = F.when(caption != "", caption).otherwise(F.coalesce(heading, F.lit("")))
     header = F.coalesce(F.array_join(F.transform(matrices, lambda m: header_text(m)), "\n"), F.lit(""))
-    told = F.array_union(T.periods(caption), T.periods(header))
     unit_lines = F.filter(lines, lambda x: x.rlike(R.UNIT_LINE))
     said = F.flatten(F.transform(unit_lines, lambda x: F.split(F.trim(F.regexp_replace(x, R.UNIT_LINE, "")), r"[、,，/／\t-\r ]+", -1)))
-    bracketed = F.filter(F.regexp_extract_all(header, F.lit("[（(]([^（）()]{1,12})[）)]"), F.lit(1)), lambda u: u.rlike(words.unit_word))
-    units = F.transform(F.filter(F.when(F.size(said) > 0, said).otherwise(bracketed), lambda u: u != ""), lambda u: F.replace(u, F.lit("％"), F.lit("%")))
-    by_title, by_header = _only(title, words.categories), _only(F.substring(header, 1, 120), words.categories)
-    return F.struct(
-        title.alias("title"),
-        caption.alias("caption"),
-        F.array_sort(F.when(F.size(told) > 0, told).otherwise(T.periods(title))).alias("periods"),
-        F.array_sort(F.array_distinct(units)).alias("units"),
-        scope_at(path).alias("scope"),
-        F.when(by_title != "", by_title).otherwise(by_header).alias("category"),
-        ((by_title != "") & (by_header != "") & (by_title != by_header)).alias("clash"),
-        names_in(F.concat(title, F.lit(" "), F.substring(header, 1, 130)), words.measures).alias("measures"),
-        names_in(title, words.businesses).alias("businesses"),
-        F.coalesce(F.size(matrices), F.lit(0)).alias("tables"),
-    )
+
+    def titled(x: Column) -> Column:
+        title = F.when(x["caption"] != "", x["caption"]).otherwise(F.coalesce(heading, F.lit("")))
+        told = F.array_union(T.periods(x["caption"]), T.periods(x["header"]))
+        return F.struct(x["caption"].alias("caption"), x["header"].alias("header"), title.alias("title"), told.alias("told"), said.alias("said"))
+
+    def owned(x: Column) -> Column:
+        return x.withField("by_title", _only(x["title"], words.categories)).withField("by_header", _only(F.substring(x["header"], 1, 120), words.categories))
+
+    def told(x: Column) -> Column:
+        bracketed = F.filter(F.regexp_extract_all(x["header"], F.lit("[（(]([^（）()]{1,12})[）)]"), F.lit(1)), lambda u: u.rlike(words.unit_word))
+        units = F.transform(F.filter(F.when(F.size(x["said"]) > 0, x["said"]).otherwise(bracketed), lambda u: u != ""), lambda u: F.replace(u, F.lit("％"), F.lit("%")))
+        return F.struct(
+            x["title"].alias("title"),
+            x["caption"].alias("caption"),
+            F.array_sort(F.when(F.size(x["told"]) > 0, x["told"]).otherwise(T.periods(x["title"]))).alias("periods"),
+            F.array_sort(F.array_distinct(units)).alias("units"),
+            scope_at(path).alias("scope"),
+            F.when(x["by_title"] != "", x["by_title"]).otherwise(x["by_header"]).alias("category"),
+            ((x["by_title"] != "") & (x["by_header"] != "") & (x["by_title"] != x["by_header"])).alias("clash"),
+            names_in(F.concat(x["title"], F.lit(" "), F.substring(x["header"], 1, 130)), words.measures).alias("measures"),
+            names_in(x["title"], words.businesses).alias("businesses"),
+            F.coalesce(F.size(matrices), F.lit(0)).alias("tables"),
+        )
+
+    first = F.struct(caption.alias("caption"), header.alias("header"))
+    return _bound(_bound(_bound(first, titled), owned), told)
 
 
 def measured(text: Column, words: Descriptors = Descriptors()) -> Column:
