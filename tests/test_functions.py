@@ -205,3 +205,26 @@ def test_weighted_hits_by_index_and_by_join(spark):
     t, s = side(40, "target"), side(25, "block")
     rows = [{(r["target"], r["block"]): (round(r["score"], 9), r["rank"]) for r in way(t, s, 4).collect()} for way in (M._weighted_by_index, M._weighted_by_join)]
     assert rows[0] == rows[1] and len(rows[0]) > 60
+
+
+def test_grams_of_many_texts_at_once():
+    """As one by one: repeated, short, wide and empty texts; ties go by key, whatever its place."""
+    import random
+
+    from quillmesh.functions.similarity import GramIndex, codes_of
+
+    rng = random.Random(8)
+    text = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    forms = [text("abc", rng.randrange(40)) for _ in range(30)] + ["ab", "abc", "", "募集说明书募集", "😀abcd😀abc"]
+    texts = [text("abcd", rng.randrange(60)) for _ in range(200)] + ["ab", "", "abc", "募集说明书", "x😀abcd😀", "aaaaaaaa", "\ud800abca"]
+    keys = rng.sample(range(1000), len(forms))
+    grams = [set(zip(["n"] * len(n), n.tolist())) | set(w) for n, w in map(codes_of, forms)]
+    for keep, share in ((None, 0.0), (3, 0.0), (None, 0.5)):
+        at, source, hits, size, place = (c.tolist() for c in GramIndex(keys, forms).best_of(texts, keep, share))
+        want = []
+        for i, t in enumerate(texts):
+            narrow, wide = codes_of(t)
+            own = set(zip(["n"] * len(narrow), narrow.tolist())) | set(wide)
+            found = sorted((-len(own & g), k, j) for j, (k, g) in enumerate(zip(keys, grams)) if own & g and len(own & g) >= share * len(own))
+            want += [(i, j, -h, len(own), r) for r, (h, _, j) in enumerate(found[:keep], 1)]
+        assert list(zip(at, source, hits, size, place)) == want
