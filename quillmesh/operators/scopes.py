@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators.blocks import in_order, open_headings, scope_end
+from quillmesh.plans.store import written
 
 
 def outlined(blocks: DataFrame) -> DataFrame:
@@ -85,42 +86,111 @@ def reconcile_scopes(targets: DataFrame, sources: DataFrame, anchors: DataFrame,
     marks documents (a column over the sources' ``doc``) and a candidate of another document differs from all of theirs,
     only theirs are versions.
 
-    A candidate is a pair of scopes, so a template that very many sources repeat gives as many for each target leaf:
-    take exact copies of sources out first.
+    Leaves of one key under the same headings have the same candidates but where anchors of their own documents tell
+    them apart. So candidates are listed and counted once for all leaves of a kind; a leaf takes from the list the few
+    that can come first, and what its anchors change is counted on its own. Only ``leading`` pairs each leaf with each
+    candidate. Bodies are compared by their SHA-256.
     """
-    leaf = targets.where(F.col("leaf") & (F.length("key") >= least_key)).drop("leaf", "title")
-    chains = anchor_chains(anchors)
-    s = sources.where("leaf").select(*(F.col(c).alias(f"source_{c}" if c != "key" else "s_key") for c in ("doc", "at", "key", "outside", "start", "end", "body")))
-    same_key = leaf.join(s, F.col("key") == F.col("s_key")).join(chains, ["doc", "at", "source_doc", "source_at"], "left")
-    split = chains.where("shared").select("doc", "source_doc", "source_at").distinct().withColumn("split_", F.lit(True))
-    foreign = chains.select("doc", "source_doc", "source_at").distinct().withColumn("met_", F.lit(True))
-    same_key = same_key.join(split, ["doc", "source_doc", "source_at"], "left").join(foreign, ["doc", "source_doc", "source_at"], "left")
-    own = F.col("chain").isNotNull()
-    same_key = same_key.where(F.col("split_").isNull() & (own | F.col("met_").isNull())).where(own | F.arrays_overlap("outside", "source_outside")).withColumn("renamed", F.lit(False)).drop("split_", "met_")
+    leaf = targets.where(F.col("leaf") & (F.length("key") >= least_key)).select("doc", "at", "start", "end", "key", "outside", F.sha2("body", 256).alias("own_"))
+    leaf = written(leaf, "leaves")
+    renamed = {c: f"source_{c}" for c in ("doc", "at", "outside", "start", "end", "body")}
+    full = written(sources.where("leaf").select(*(F.col(c).alias(n) for c, n in renamed.items()), F.col("key").alias("s_key"), F.sha2("body", 256).alias("digest")), "source-leaves")
+    s, bodies = full.drop("source_body"), full.select("source_doc", "source_at", "source_body")
+    chains = written(anchor_chains(anchors), "chains")
+    one, kind, place = ["doc", "at"], ["key", "outside"], ["source_doc", "source_at"]
+
+    def longest(rows: DataFrame, *by: str) -> DataFrame:
+        """Without bodies that a longer one of the same group has within it; most groups are of one row."""
+        rows = rows.withColumn("n_", F.count("*").over(Window.partitionBy(*by)))
+        within = Window.partitionBy(*by).orderBy(F.desc(F.length("source_body")), "source_start")
+        longer = F.collect_list(F.struct("source_body")).over(within.rowsBetween(Window.unboundedPreceding, -1))
+        some = rows.where("n_ > 1").join(bodies, place).withColumn("longer_", longer)
+        some = some.where(~F.exists("longer_", lambda x: (F.length(x["source_body"]) > F.length("source_body")) & F.contains(x["source_body"], F.col("source_body"))))
+        return rows.where("n_ = 1").unionByName(some.drop("longer_", "source_body")).drop("n_")
+
+    # of each kind of leaf, the scopes of the same key that have a heading above in common
+    above = leaf.select(*kind).distinct().withColumn("above_", F.explode(F.array_distinct("outside")))
+    under = s.withColumnRenamed("s_key", "key").withColumn("above_", F.explode(F.array_distinct("source_outside"))).drop("source_outside")
+    shared = above.join(under, ["key", "above_"]).drop("above_").dropDuplicates([*kind, *place])
+    shared = written(longest(written(shared, "candidates"), *kind, "source_doc"), "candidates")
+
+    # documents where a leaf's anchors, or those of its document, decide: their scopes are judged for each leaf
+    met = chains.select("doc", *place).distinct().withColumn("met_", F.lit(True))
+    split = chains.where("shared").select("doc", *place).distinct().withColumn("split_", F.lit(True))
+    judged = leaf.join(met.join(s.select(*place, F.col("s_key").alias("key")), place).select("doc", "key", "source_doc").distinct(), ["doc", "key"])
+    judged = written(judged.select(*one, *kind, "source_doc"), "judged")
+    special = judged.join(s.withColumnRenamed("s_key", "key"), ["key", "source_doc"]).join(chains.select(*one, *place, F.lit(True).alias("has_")), [*one, *place], "left")
+    special = special.join(met, ["doc", *place], "left").join(split, ["doc", *place], "left")
+    own = F.col("has_").isNotNull()
+    special = special.where(F.col("split_").isNull() & (own | F.col("met_").isNull()) & (own | F.arrays_overlap("outside", "source_outside"))).drop("has_", "met_", "split_", "source_outside")
+    special = written(longest(written(special, "special"), *one, "source_doc"), "special")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*one)
+        if leading is not None:
+            rows = rows.withColumn("leads_", leading).withColumn("known_", F.max("leads_").over(Window.partitionBy(*one, "digest")))
+            clash = F.max("leads_").over(group) & ~F.min("known_").over(group)
+            rows = rows.withColumn("clash_", clash).where("leads_ OR NOT clash_").drop("leads_", "known_", "clash_")
+        rows = rows.withColumn("n_docs", F.size(F.collect_set("source_doc").over(Window.partitionBy(*one, "digest"))))
+        return rows.withColumn("n_versions", F.size(F.collect_set("digest").over(group)))
+
+    columns = [*one, *place, "source_start", "source_end", "digest"]
+    if leading is None:
+        same_key = _ahead(leaf, shared, judged, special).select(*columns, "n_docs", "n_versions")
+    else:
+        every = leaf.join(shared, kind).join(judged.select(*one, "source_doc"), [*one, "source_doc"], "left_anti").select(*columns)
+        same_key = counted(every.unionByName(special.select(*columns))).select(*columns, "n_docs", "n_versions")
+    same_key = written(same_key, "same-key")
     ordered = F.col("in_order") if all_in_order else F.lit(True)
-    moved = chains.where((F.col("chain") >= least_chain) & ordered & ~F.col("shared")).join(leaf, ["doc", "at"]).join(s, ["source_doc", "source_at"]).where("key != s_key").withColumn("renamed", F.lit(True))
-    found = same_key.unionByName(moved)
-
-    group = Window.partitionBy("doc", "at")
-    found = found.withColumn("any_same_", F.min("renamed").over(group)).where("renamed = any_same_").drop("any_same_")
-    within = Window.partitionBy("doc", "at", "source_doc", "s_key").orderBy(F.desc(F.length("source_body")), "source_start")
-    longer = F.collect_list(F.struct("source_body")).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("longer_", longer).where(~F.exists("longer_", lambda x: (F.length(x["source_body"]) > F.length("source_body")) & F.contains(x["source_body"], F.col("source_body")))).drop("longer_")
-
-    version = Window.partitionBy("doc", "at", "source_body")
-    if leading is not None:
-        found = found.withColumn("leads_", leading).withColumn("known_", F.max("leads_").over(version))
-        clash = F.max("leads_").over(group) & ~F.min("known_").over(group)
-        found = found.withColumn("clash_", clash).where("leads_ OR NOT clash_").drop("leads_", "known_", "clash_")
-    found = found.withColumn("same", F.col("body") == F.col("source_body"))
-    found = found.withColumn("n_docs", F.size(F.collect_set("source_doc").over(version)))
-    versions = Window.partitionBy("doc", "at").orderBy(F.desc("same"), F.desc("n_docs"), F.desc(F.length("source_body")), "source_body")
-    found = found.withColumn("version_", F.dense_rank().over(versions))
-    of = lambda k: F.max(F.when(F.col("version_") == k, F.struct("n_docs", "same"))).over(group)
-    found = found.withColumns({"n_versions": F.max("version_").over(group), "first_": of(1), "second_": of(2)})
-    sure = (F.col("n_versions") == 1) | (F.col("first_.same") & ~F.col("second_.same")) | ((F.col("first_.n_docs") >= 2) & (F.col("first_.n_docs") > F.col("second_.n_docs")))
-    found = found.withColumn("sure_", F.coalesce(sure, F.lit(False)))
-    order = group.orderBy(F.when(F.col("sure_"), F.col("version_")), F.desc("same"), "source_doc", "source_start")
-    ranked = found.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1")
+    moved = chains.where((F.col("chain") >= least_chain) & ordered & ~F.col("shared")).join(leaf, one).join(s, place).where("key != s_key").join(same_key.select(*one).distinct(), one, "left_anti")
+    moved = counted(longest(written(moved.select(*columns, "s_key"), "moved"), *one, "source_doc", "s_key")).select(*same_key.columns)
+
+    group = Window.partitionBy(*one)
+    found = leaf.join(same_key.withColumn("renamed", F.lit(False)).unionByName(moved.withColumn("renamed", F.lit(True))), one).withColumn("same", F.col("own_") == F.col("digest"))
+    found = found.withColumns({"any_same_": F.max("same").over(group), "most_": F.max("n_docs").over(group)})
+    leads = F.size(F.collect_set(F.when(F.col("n_docs") == F.col("most_"), F.col("digest"))).over(group)) == 1
+    found = found.withColumn("sure_", (F.col("n_versions") == 1) | F.col("any_same_") | ((F.col("most_") >= 2) & leads))
+    taken = F.col("sure_") & F.when(F.col("any_same_"), F.col("same")).otherwise(F.col("n_docs") == F.col("most_"))
+    ranked = found.withColumn("rank_", F.row_number().over(group.orderBy(F.desc(taken), F.desc("same"), "source_doc", "source_start"))).where("rank_ = 1")
     status = F.when(F.col("sure_"), "auto").otherwise("review").alias("status")
     return ranked.select("doc", "at", "start", "end", "source_doc", "source_at", "source_start", "source_end", "renamed", "same", "n_versions", "n_docs", status)
+
+
+def _ahead(leaf: DataFrame, shared: DataFrame, judged: DataFrame, special: DataFrame) -> DataFrame:
+    """Candidates of each leaf that can be shown or decide, with ``n_docs`` of their versions and ``n_versions``.
+
+    ``shared``: candidates of each kind of leaf; in the ``judged`` documents (k of a leaf) the ``special`` ones stand
+    instead. That changes the counts of T versions. So what comes first among the leaf's own candidates is in the first
+    k + 1 documents of the list, and the version that most documents have among the first T + 2, the changed ones and
+    the leaf's own; of a version, the first k + 1 documents are enough.
+    """
+    one, kind, version = ["doc", "at"], ["key", "outside"], ["key", "outside", "digest"]
+    listed = shared.withColumn("n_", F.row_number().over(Window.partitionBy(*version, "source_doc").orderBy("source_start"))).where("n_ = 1").drop("n_")
+    listed = listed.withColumn("n_docs", F.count("*").over(Window.partitionBy(*version))).withColumn("in_version_", F.row_number().over(Window.partitionBy(*version).orderBy("source_doc")))
+    listed = listed.withColumn("in_list_", F.dense_rank().over(Window.partitionBy(*kind).orderBy("source_doc")))
+    listed = written(listed.withColumn("version_", F.dense_rank().over(Window.partitionBy(*kind).orderBy(F.desc("n_docs"), "digest"))), "listed")
+    counts = listed.where("in_version_ = 1").select(*version, "n_docs")
+
+    less = judged.join(listed, [*kind, "source_doc"]).groupBy(*one, *version).agg(F.count("*").alias("n_"))
+    more = special.groupBy(*one, *version).agg(F.count_distinct("source_doc").alias("n_"))
+    changed = less.withColumn("n_", -F.col("n_")).unionByName(more).groupBy(*one, *version).agg(F.sum("n_").alias("change_"))
+    changed = changed.join(counts, version, "left").withColumn("before_", F.coalesce("n_docs", F.lit(0))).withColumn("now_", F.col("before_") + F.col("change_")).drop("n_docs", "change_")
+    changed = written(changed, "changed")
+    appeared = F.sum((F.col("now_") > 0).cast("long") - (F.col("before_") > 0).cast("long"))
+    none = F.lit(0).cast("long")
+    leaves = leaf.select(*one, *kind, F.col("own_").alias("own_")).join(judged.groupBy(*one).agg(F.count("*").alias("k_")), one, "left")
+    leaves = leaves.join(changed.groupBy(*one).agg(F.count("*").alias("t_"), appeared.alias("more_")), one, "left").join(counts.groupBy(*kind).agg(F.count("*").alias("all_")), kind, "left")
+    leaves = leaves.select(*one, *kind, "own_", F.coalesce("k_", none).alias("k_"), F.coalesce("t_", none).alias("t_"), (F.coalesce("all_", none) + F.coalesce("more_", none)).alias("n_versions"))
+    leaves = written(leaves, "leaves")
+
+    few = F.col("in_version_") <= F.col("k_") + 1
+    first = lambda k, t: (F.col("in_list_") <= F.col(k) + 1) | ((F.col("version_") <= F.col(t) + 2) & (F.col("in_version_") <= F.col(k) + 1))
+    top = listed.join(leaves.groupBy(*kind).agg(F.max("k_").alias("most_k_"), F.max("t_").alias("most_t_")), kind).where(first("most_k_", "most_t_")).drop("most_k_", "most_t_")
+    columns = [*one, "source_doc", "source_at", "source_start", "source_end", "digest", "n_docs"]
+    ahead = leaves.join(top, kind).where(first("k_", "t_")).select(*columns)
+    wanted = leaves.select(*one, *kind, F.col("own_").alias("digest")).unionByName(changed.select(*one, *version)).distinct().join(leaves.select(*one, "k_"), one)
+    most = leaves.groupBy(*kind).agg(F.max("k_").alias("most_"))
+    ahead = ahead.unionByName(wanted.join(listed.join(most, kind).where(F.col("in_version_") <= F.col("most_") + 1), version).where(few).select(*columns))
+    ahead = ahead.join(judged.select(*one, "source_doc"), [*one, "source_doc"], "left_anti").unionByName(special.withColumn("n_docs", none).select(*columns)).dropDuplicates([*one, "source_doc", "source_at"])
+    ahead = ahead.join(changed.select(*one, "digest", "now_"), [*one, "digest"], "left").withColumn("n_docs", F.coalesce("now_", "n_docs"))
+    return ahead.join(leaves.select(*one, "n_versions"), one)

@@ -241,3 +241,33 @@ def test_near_texts_by_brute_force_across_lengths():
     for least in (0.7, 0.88):
         got = near_texts(keys, keys, least, width=64, rows=16)
         assert len(got) == len(set(got)) and {g[:2] for g in got} == {(a, b) for a in keys for b in keys if a != b and ratio(a, b) >= least}
+
+
+def test_leaves_of_one_heading_are_not_paired_one_by_one(spark):
+    docs = lambda side: {f"{side}{i:03}": ["#Annual report", "##Summary of results", f"body {i % 200}"] for i in range(600)}
+    t, s = outline(spark, docs("t")), outline(spark, docs("s"))
+    most, rows = most_rows(scopes.reconcile_scopes(scopes.scope_catalogue(t), scopes.scope_catalogue(s), scopes.unique_anchors(t, s)))
+    assert most < 6000 and len(rows) == 600
+    assert all((r["source_doc"], r["same"], r["n_versions"], r["n_docs"], r["status"]) == (f"s{int(r['doc'][1:]) % 200:03}", True, 200, 3, "auto") for r in rows)
+
+
+def test_listed_candidates_are_those_of_each_leaf_by_itself(spark):
+    rng = random.Random(4)
+    shared = [f"a paragraph that several documents share, number {k}" for k in range(6)]
+
+    def docs(side, n):
+        out = {}
+        for i in range(n):
+            texts = [f"#{rng.choice(['Annual report', 'Interim report'])}"]
+            for _ in range(rng.randrange(1, 4)):
+                texts.append("##" + rng.choice(["Summary of results", "Summary of results", "Risks of all kinds"]))
+                texts += rng.choice([shared[:1], shared[:2], shared[:3], rng.sample(shared, 2)])
+                if rng.random() < 0.5:
+                    texts.append(f"a paragraph of one source alone, number {rng.randrange(2 * n)}")
+            out[f"{side}{i}"] = texts
+        return out
+
+    t, s = outline(spark, docs("t", 50)), outline(spark, docs("s", 50))
+    args = [scopes.scope_catalogue(t), scopes.scope_catalogue(s), scopes.unique_anchors(t, s)]
+    listed, each = (sorted(map(tuple, scopes.reconcile_scopes(*args, leading=leading).collect())) for leading in (None, F.lit(False)))
+    assert listed == each and len(listed) > 60 and len({r[-1] for r in listed}) == 2 and len(args[2].take(9)) == 9
