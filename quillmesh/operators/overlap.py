@@ -2,11 +2,73 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators.reconcile import overlaps
-from quillmesh.plans.store import drop_table, written
+from quillmesh.plans.store import written
+
+#: Intervals of a slice at first, times as many in each round, and mean lengths in a slice at least.
+SLICE, GROWTH, LENGTHS = 2000, 8, 8
+
+
+class _Slice:
+    """What is known of one stretch of the axis, where intervals come strongest first."""
+
+    def __init__(self) -> None:
+        self.starts, self.kept = [], []  # kept ones don't overlap, so they are in order of start and end
+        self.open_starts, self.open_ends = [], []  # what undecided ones cover, put together
+
+    def strongest(self, start, end) -> tuple | None:
+        i = bisect_right(self.starts, start)
+        i -= bool(i) and self.kept[i - 1][1] > start
+        met = self.kept[i : bisect_left(self.starts, end)]
+        return min(met, key=lambda k: k[3]) if met else None
+
+    def is_open(self, start, end) -> bool:
+        return bisect_right(self.open_ends, start) < bisect_left(self.open_starts, end)
+
+    def leave_open(self, start, end) -> None:
+        i, j = bisect_left(self.open_ends, start), bisect_right(self.open_starts, end)
+        if i < j:
+            start, end = min(start, self.open_starts[i]), max(end, self.open_ends[j - 1])
+        self.open_starts[i:j], self.open_ends[i:j] = [start], [end]
+
+    def keep(self, start, end, name) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.kept.insert(i, (start, end, name, len(self.kept)))
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come slice by slice, strongest first. ``state``: 1 kept, 2 replaced, 3 replaced by the given one, null open."""
+    at, here = None, None
+    for batch in batches:
+        cells = zip(*(batch.column(c).to_pylist() for c in ("by_", "slice_", "name", "start", "end", "inside_")))
+        states, names, crossing = [], [], []
+        for by, cell, name, start, end, inside in cells:
+            if (by, cell) != at:
+                at, here = (by, cell), _Slice()
+            hit, unsure = here.strongest(start, end), here.is_open(start, end)
+            if hit:
+                sure = inside and not unsure
+                states.append(3 if sure else 2)
+                names.append(hit[2] if sure else None)
+                crossing.append(sure and (start < hit[0] or end > hit[1]))
+                continue
+            if inside and not unsure:
+                here.keep(start, end, name)
+            else:
+                here.leave_open(start, end)
+            states.append(1 if inside and not unsure else None)
+            names.append(None)
+            crossing.append(False)
+        out = [batch.column("name"), pa.array(states, pa.int32()), pa.array(names, batch.column("name").type), pa.array(crossing, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(out, names=["name", "state", "replaced_by", "crossing"])
 
 
 def replace_overlapping(intervals: DataFrame, by: str, strength: Column) -> DataFrame:
@@ -17,35 +79,38 @@ def replace_overlapping(intervals: DataFrame, by: str, strength: Column) -> Data
     nothing. ``replaced_by`` is the strongest kept interval that it meets; it is ``crossing`` if it reaches beyond it, so
     that a part of it would be lost. Empty intervals and those without a ``by`` meet nothing and are kept.
 
-    Pairs that overlap are found once; each round then keeps what no stronger one left meets, and takes out its
-    neighbours. With strengths in no order along the axis some log n rounds do; an order that follows it takes as many
-    as the longest chain of overlapping intervals.
+    The axis of a ``by`` is cut into slices of some :data:`SLICE` intervals, which go through a slice in order of
+    strength; no pair is formed. What reaches beyond a slice, or meets a stronger one that is open, is open until it
+    meets a kept one. Open ones meet no stronger kept one, so the next round takes them alone, in larger slices; a
+    ``by`` of one slice is settled at once.
     """
-    ranked = intervals.select(by, "name", "start", "end", F.struct(strength.alias("s"), "name").alias("rank"))
-    rows = written(ranked, "intervals")
-    spread = rows.where("start < end").drop("rank")
-    met = overlaps(spread, spread, by).where("a < b").select("a", "b")
-    rank = lambda name, new: rows.select(F.col("name").alias(name), F.col("rank").alias(new))
-    both = met.join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")
-    first = F.col("ra") < F.col("rb")
-    edges = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")), "overlaps")
-    every, left, gone = edges, edges, None
-    while left.head(1):
-        # whoever is weaker in no pair that is left stays; its weaker neighbours go, with all their pairs
-        free = left.select(F.col("a").alias("n_")).distinct().join(left.select(F.col("b").alias("n_")).distinct(), "n_", "left_anti")
-        out = written(left.join(free, F.col("a") == F.col("n_")).select(F.col("b").alias("n_")).distinct(), "replaced")
-        rest = left.join(out, F.col("b") == F.col("n_"), "left_anti").join(out, F.col("a") == F.col("n_"), "left_anti")
-        rest = written(rest, "overlaps")
-        gone = out if gone is None else written(gone.union(out), "replaced-so-far")
-        if left is not every:
-            drop_table(left)
-        left = rest
-    if gone is None:
-        gone = rows.select(F.col("name").alias("n_")).limit(0)
-    # a replaced interval meets a stronger kept one: the strongest of these is what replaced it
-    weaker = every.join(gone, F.col("b") == F.col("n_")).drop("n_").join(gone, F.col("a") == F.col("n_"), "left_anti")
-    by_whom = weaker.join(rank("a", "ra"), "a").groupBy("b").agg(F.min("ra").alias("by_")).select(F.col("b").alias("name"), F.col("by_.name").alias("replaced_by"))
-    spans = rows.select(F.col("name").alias("replaced_by"), F.col("start").alias("s_"), F.col("end").alias("e_"))
-    marked = by_whom.join(spans, "replaced_by")
-    kept = F.col("replaced_by").isNull()
-    return intervals.join(marked, "name", "left").select(*intervals.columns, kept.alias("kept"), "replaced_by", (~kept & ((F.col("start") < F.col("s_")) | (F.col("end") > F.col("e_")))).alias("crossing"))
+    rank = F.struct(strength.alias("s"), "name")
+    rows = written(intervals.select(by, "name", "start", "end", rank.alias("rank")), "intervals")
+    spread = rows.where((F.col("start") < F.col("end")) & F.col(by).isNotNull()).withColumnRenamed(by, "by_")
+    name = rows.schema["name"].dataType.simpleString()
+    left, decided, size = spread, None, SLICE
+    while decided is None or left.head(1):
+        length = F.col("end").cast("double") - F.col("start").cast("double")
+        axis = left.groupBy("by_").agg(F.min(F.col("start").cast("double")).alias("low_"), F.max(F.col("end").cast("double")).alias("high_"), F.count("*").alias("n_"), F.avg(length).alias("mean_"))
+        width = F.when(F.col("n_") > size, F.greatest((F.col("high_") - F.col("low_")) / F.ceil(F.col("n_") / size), LENGTHS * F.col("mean_")))
+        cell = lambda c: F.coalesce(F.floor((F.col(c).cast("double") - F.col("low_")) / F.col("width_")), F.lit(0).cast("long"))
+        placed = left.join(axis.select("by_", "low_", width.alias("width_")), "by_").withColumns({"first_": cell("start"), "last_": cell("end")})
+        placed = placed.withColumn("inside_", F.col("first_") == F.col("last_")).withColumn("slice_", F.explode(F.sequence("first_", "last_")))
+        dealt = placed.repartition("by_", "slice_").sortWithinPartitions("by_", "slice_", "rank").select("by_", "slice_", "name", "start", "end", "inside_")
+        found = written(dealt.mapInArrow(_decide, f"name {name}, state int, replaced_by {name}, crossing boolean").where("state IS NOT NULL"), "decided")
+        decided = found if decided is None else decided.unionByName(found)
+        left = written(left.join(found.select("name"), "name", "left_anti"), "open")
+        size *= GROWTH
+    # one that reaches over slices may be met in several, and by another kept one in each
+    told = decided.where("state != 2")
+    part = decided.where("state = 2").select("name").distinct().join(told.where("state = 3").select("name"), "name", "left_anti")
+    part = written(part, "replaced")
+    if part.head(1):
+        side = lambda names: spread.join(names, "name").select(F.col("by_").alias(by), "name", "start", "end")
+        met = overlaps(side(part), side(told.where("state = 1").select("name")), by)
+        ranks = spread.select(F.col("name").alias("b"), "rank", F.col("start").alias("s_"), F.col("end").alias("e_"))
+        best = met.join(ranks, "b").groupBy("a").agg(F.min(F.struct("rank", "s_", "e_", "a_start", "a_end")).alias("x"))
+        crossing = (F.col("x.a_start") < F.col("x.s_")) | (F.col("x.a_end") > F.col("x.e_"))
+        told = told.unionByName(best.select(F.col("a").alias("name"), F.lit(3).alias("state"), F.col("x.rank.name").alias("replaced_by"), crossing.alias("crossing")))
+    marked = told.where("state = 3").select("name", "replaced_by", "crossing")
+    return intervals.join(marked, "name", "left").select(*intervals.columns, F.col("replaced_by").isNull().alias("kept"), "replaced_by", F.coalesce("crossing", F.lit(False)).alias("crossing"))

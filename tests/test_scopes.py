@@ -271,3 +271,28 @@ def test_listed_candidates_are_those_of_each_leaf_by_itself(spark):
     args = [scopes.scope_catalogue(t), scopes.scope_catalogue(s), scopes.unique_anchors(t, s)]
     listed, each = (sorted(map(tuple, scopes.reconcile_scopes(*args, leading=leading).collect())) for leading in (None, F.lit(False)))
     assert listed == each and len(listed) > 60 and len({r[-1] for r in listed}) == 2 and len(args[2].take(9)) == 9
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_replaced_intervals_over_many_slices(spark, monkeypatch, ordered):
+    monkeypatch.setattr(overlap, "SLICE", 8)
+    monkeypatch.setattr(overlap, "GROWTH", 2)
+    monkeypatch.setattr(overlap, "LENGTHS", 1)
+    rng = random.Random(3)
+    rows = []
+    for name in range(400):
+        s = rng.randrange(600)
+        rows.append((rng.choice(["x", "y", None]), name, s, s + rng.choice([0, 3, 9, 200]), s if ordered else rng.randrange(5)))
+    frame = spark.createDataFrame(rows, "k string, name int, start int, end int, w int")
+    got = {r["name"]: (r["kept"], r["replaced_by"], r["crossing"]) for r in overlap.replace_overlapping(frame, "k", F.col("w")).collect()}
+    assert got == plain_kept(rows)
+
+
+def test_replaced_intervals_are_not_paired(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pairs of intervals")
+
+    monkeypatch.setattr(overlap, "overlaps", refuse)
+    frame = spark.range(1500).select(F.lit("x").alias("k"), F.col("id").alias("name"), F.col("id").alias("start"), (F.col("id") + 2000).alias("end"))
+    rows = overlap.replace_overlapping(frame, "k", F.col("name")).collect()
+    assert all((r["kept"], r["replaced_by"], r["crossing"]) == ((True, None, False) if r["name"] == 0 else (False, 0, True)) for r in rows)
