@@ -97,9 +97,12 @@ def replace_overlapping(intervals: DataFrame, by: str, strength: Column) -> Data
         placed = left.join(axis.select("by_", "low_", width.alias("width_")), "by_").withColumns({"first_": cell("start"), "last_": cell("end")})
         placed = placed.withColumn("inside_", F.col("first_") == F.col("last_")).withColumn("slice_", F.explode(F.sequence("first_", "last_")))
         dealt = placed.repartition("by_", "slice_").sortWithinPartitions("by_", "slice_", "rank").select("by_", "slice_", "name", "start", "end", "inside_")
-        found = written(dealt.mapInArrow(_decide, f"name {name}, state int, replaced_by {name}, crossing boolean").where("state IS NOT NULL"), "decided")
+        every = written(dealt.mapInArrow(_decide, f"name {name}, state int, replaced_by {name}, crossing boolean"), "decided")
+        found, unsure = every.where("state IS NOT NULL"), every.where("state IS NULL").select("name").distinct()
         decided = found if decided is None else decided.unionByName(found)
-        left = written(left.join(found.select("name"), "name", "left_anti"), "open")
+        if not unsure.head(1):
+            break
+        left = written(left.join(unsure.join(found.select("name"), "name", "left_anti"), "name", "left_semi"), "open")
         size *= GROWTH
     # one that reaches over slices may be met in several, and by another kept one in each
     told = decided.where("state != 2")
