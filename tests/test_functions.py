@@ -228,3 +228,28 @@ def test_grams_of_many_texts_at_once():
             found = sorted((-len(own & g), k, j) for j, (k, g) in enumerate(zip(keys, grams)) if own & g and len(own & g) >= share * len(own))
             want += [(i, j, -h, len(own), r) for r, (h, _, j) in enumerate(found[:keep], 1)]
         assert list(zip(at, source, hits, size, place)) == want
+
+
+def test_subsequences_with_many_forms_at_once_are_those_of_single_pairs():
+    import numpy as np
+
+    from quillmesh.functions.similarity import Subsequences, ratio
+
+    rng = random.Random(3)
+    forms = [None, "", *("".join(rng.choices("abcd😀é" if k % 3 else "ab", k=rng.choice([1, 7, 8, 9, 63, 200]))) for k in range(60))]
+    texts = ["", "a", "zzz", *("".join(rng.choices("abcd😀xé", k=rng.choice([1, 5, 40, 300]))) for _ in range(30))]
+    at, form = np.divmod(rng.sample(range(len(texts) * len(forms)), 1500), len(forms))
+    for bits in (16, 100, 1 << 16):
+        assert Subsequences(forms, bits, held=1000).ratios(texts, at, form).tolist() == [ratio(texts[i], forms[k]) for i, k in zip(at, form)]
+
+
+def test_literal_by_index_and_by_join(spark):
+    from quillmesh.operators import match
+
+    rng = random.Random(4)
+    some = lambda n: ["".join(rng.choices("abc", k=rng.choice([2, 4, 9, 30]))) for _ in range(n)]
+    targets = spark.createDataFrame([(k % 3, k, "paragraph", n) for k, n in enumerate(some(40))], "doc int, index int, kind string, n string")
+    sources = spark.createDataFrame([(k, "paragraph", n) for k, n in enumerate(some(30))], "index int, kind string, n string")
+    for within in (2.0, float("inf")):
+        a, b = (sorted(map(tuple, f(targets, sources, 7, 0.0, ("kind",), within).collect())) for f in (match._hits_by_index, match._hits_by_join))
+        assert a == b and len(a) > 50

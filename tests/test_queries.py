@@ -33,3 +33,18 @@ def test_literal_ratio_by_brute_force(spark):
     s = {r["index"]: r["n"] for r in sources.collect()}
     rows = QUERIES["literal_ratio"](spark, SMALLEST).limit(300).collect()
     assert rows and all(abs(r["literal"] - ratio(t[r["doc"], r["index"]], s[r["item_id"]])) < 1e-8 for r in rows)
+
+
+def test_literal_ratio_has_every_item_that_shares_a_gram(spark):
+    from quillmesh.functions.similarity import grams_of, ratio
+    from quillmesh.queries import sides
+
+    targets, sources = sides(spark, SMALLEST)
+    items = [(r["index"], r["n"], set(grams_of(r["n"]))) for r in sources.collect()]
+    want = {}
+    for r in targets.where("doc % 4 = 0").collect():
+        own = set(grams_of(r["n"]))
+        want |= {(r["doc"], r["index"], k): ratio(r["n"], n) for k, n, g in items if own & g}
+    got = {(r["doc"], r["index"], r["item_id"]): r["literal"] for r in QUERIES["literal_ratio"](spark, SMALLEST).where("doc % 4 = 0").collect()}
+    assert got.keys() == want.keys() and len(want) > 3000
+    assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
