@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from quillmesh.plans.rules import THRESHOLDS, Thresholds
 
@@ -63,20 +67,28 @@ def folded(blocks: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
 
     Needs ``doc`` and the columns of :func:`fold`; gives ``doc`` and its results.
     """
-    kind = blocks.schema["doc"].dataType.simpleString()
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in frame.sort_values("index").to_dict("records"):
-            found = [dict(c.asDict() if hasattr(c, "asDict") else c) for c in (r["candidates"] if r["candidates"] is not None else [])]
-            listed = {n: None if r[n] is None else [int(i) for i in r[n]] for n in ("figure", "blocked")}
-            rows.append(r | listed | {"blocked": set(listed["blocked"] or []), "candidates": found})
-        result = pd.DataFrame(fold(rows, t), columns=["index", "status", "source_index", "score", "contextual", "candidates"])
-        result["source_index"] = result["source_index"].astype("Int32")
-        result.insert(0, "doc", key[0])
-        return result
-
-    return blocks.groupBy("doc").applyInPandas(run, f"doc {kind}, {RESULT}")
+    kinds = StructType([StructField("doc", blocks.schema["doc"].dataType), *StructType.fromDDL(RESULT).fields])
+    out = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, rows = None, []
+
+        def done() -> list[dict]:
+            return [{"doc": doc} | r for r in fold(rows, t)]
+
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if rows and row["doc"] != doc:
+                    found += done()
+                    rows = []
+                doc = row["doc"]
+                rows.append(row | {"candidates": row["candidates"] or [], "blocked": set(row["blocked"] or [])})
+            yield pa.RecordBatch.from_pylist(found, schema=out)
+        yield pa.RecordBatch.from_pylist(done(), schema=out)
+
+    # The blocks of a document are one stretch of a task, in order; nothing is made anew for each document.
+    return blocks.repartition("doc").sortWithinPartitions("doc", "index").mapInArrow(run, kinds)
 
 
 def gathered(candidates: DataFrame) -> DataFrame:

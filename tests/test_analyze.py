@@ -133,3 +133,26 @@ def test_a_picked_table_keeps_its_scanned_cells(spark):
     cells = [[("a bar | in it",), ("two\nparagraphs",)], [("1",), ("2",)]]
     s = spark.createDataFrame([(5, "table", "a bar | in it|two\nparagraphs\n1|2", cells)], "index int, kind string, text string, cells array<array<struct<text:string>>>")
     assert resolve.decided(p, d, s).first().new_cells == [["a bar | in it", "two\nparagraphs"], ["1", "2"]]
+
+
+def test_a_table_of_many_documents_is_folded_in_order_and_apart(spark):
+    from quillmesh.operators import context
+
+    cand = [(4, 0.9, 0.9), (9, 0.85, 0.85)]
+    rows = [(d, i, "paragraph", False, 200, cand if i % 2 else None, [4] if d == 1 else None, [6] if i == 2 else None, False) for d in (None, *range(60)) for i in (3, 1, 2, 0)]
+    kinds = f"doc int, index int, kind string, structural boolean, n_chars int, candidates array<{context.CANDIDATE}>, blocked array<int>, figure array<int>, wording boolean"
+    got = context.folded(spark.createDataFrame(rows, kinds).repartition(7)).collect()
+    by_doc = {}
+    for r in sorted(got, key=lambda r: r["index"]):
+        by_doc.setdefault(r["doc"], []).append((r["index"], r["status"], r["source_index"]))
+    assert by_doc.pop(1) == [(0, "review", None), (1, "review", None), (3, "review", None)]
+    assert len(by_doc) == 60 and all(v == [(0, "review", None), (1, "ready", 4), (2, "ready", 6), (3, "ready", 9)] for v in by_doc.values()), by_doc
+
+
+def test_lines_and_tables_are_scored_by_one_count_of_grams_each(spark):
+    from quillmesh.operators import match
+
+    s = spark.createDataFrame([(0, "paragraph", STABLE, STABLE), (1, "table", "a|b", "a|b" * 9)], "index int, kind string, text string, n string")
+    t = spark.createDataFrame([("d", 0, "paragraph", STABLE, STABLE)], "doc string, index int, kind string, text string, n string")
+    plan = match.fuzzy_candidates(t, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "s_n" not in plan
