@@ -32,24 +32,24 @@ GROUPS = 64  # dimensions of a count vector
 FANOUT = 16  # points of a leaf and children of a node
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words whose outputs look independent."""
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
+_HALF, _ODD = _U(32), _U(0xD6E8FEB86659FD93)
 
-class _WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < 60_000:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words whose outputs look independent."""
+    x = x ^ (x >> _HALF)
+    x *= _ODD
+    x ^= x >> _HALF
+    x *= _ODD
+    x ^= x >> _HALF
+    return x
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values of a sorted array begins."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def shingles_of(text: str | None, n: int) -> np.ndarray:
@@ -57,12 +57,14 @@ def shingles_of(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, _U)
-    hashed = np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))
     size = min(n, len(words))
     out = np.full(len(words) - size + 1, size, _U)
     for k in range(size):
-        out = _mixed(out) + hashed[k : len(words) - size + 1 + k]
-    return np.unique(_mixed(out))
+        out = _mixed(out)
+        out += hashed[k : len(words) - size + 1 + k]
+    out = np.sort(_mixed(out))
+    return out[_new(out)]
 
 
 class Levels:
@@ -83,8 +85,10 @@ class Levels:
             differ = (smaller + larger) * (100 - self.percent) // (100 + self.percent)
             extra = 0
             if differ:  # the fewest that make weak keys rare enough, or as rare as can be
-                chance = [self._tail(low, differ + 1 + e, e) for e in range(differ + 6)]
-                extra = next((e for e, c in enumerate(chance) if c <= self.miss), int(np.argmin(chance)))
+                chance: list[float] = []
+                while len(chance) < differ + 6 and not (chance and chance[-1] <= self.miss):
+                    chance.append(self._tail(low, differ + 1 + len(chance), len(chance)))
+                extra = len(chance) - 1 if chance[-1] <= self.miss else int(np.argmin(chance))
             self.groups.append((differ + 1 + extra, extra))
 
     @staticmethod
@@ -124,10 +128,10 @@ def keys_of(shingles: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.nd
         if groups == 1:  # no difference is allowed: equal sets alone, which are one node already
             continue
         spread = _mixed(shingles + _U(level))
-        at = (spread % _U(groups)).astype(np.int64)
+        at = (spread % _U(groups)).astype(np.uint16 if groups <= 1 << 16 else np.int64)  # short keys are sorted by radix
         order = np.argsort(at, kind="stable")
         at, spread = at[order], _mixed(spread[order] ^ _U(0x9E3779B97F4A7C15))
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        starts = np.flatnonzero(_new(at))
         sums = np.add.reduceat(spread, starts)
         place = at[starts].astype(_U) + (_U(level) << _U(40))
         keys = _mixed(sums ^ _mixed(place + _U(1)))
@@ -142,13 +146,14 @@ def keys_of(shingles: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.nd
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their smallest node, and an edge from every other node of a key to it."""
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-    first = nodes[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else nodes
-    other = ~new & (nodes != first)
+    starts = np.flatnonzero(_new(keys))
+    least = np.minimum.reduceat(nodes, starts) if len(keys) else nodes
+    first = np.repeat(least, np.diff(starts, append=len(keys)))
+    other = nodes != first
     edges = np.unique(np.stack([nodes[other], first[other]], axis=1), axis=0)
-    return keys[new], nodes[new], edges[:, 0], edges[:, 1]
+    return keys[starts], least, edges[:, 0], edges[:, 1]
 
 
 class RTree:
@@ -393,7 +398,7 @@ def _profiled(docs: DataFrame, n: int, bits: int) -> DataFrame:
             often = [_often(seen), *[None] * len(seen)][: len(seen)]
             columns = ([len(s) for s in seen], [h for h, _ in hashes], [h for _, h in hashes])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(often, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "often"])
-        released(_hashes)
+        released()
 
     return written(docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, often binary"), "profiles")
 
@@ -547,7 +552,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
                     seen.clear()
         if held:
             yield packed(keys, nodes)
-        released(_hashes)
+        released()
 
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, edges = [], [], []
@@ -586,7 +591,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
             seen = [shingles_of(text.as_py(), n) for text in batch.column(1)]
             hashes = pa.array([name_of(s) for s in seen], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array([s.tobytes() for s in seen], pa.binary())], ["first_id", "node", "shingles"])
-        released(_hashes)
+        released()
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, others, out = None, [], [], []

@@ -651,3 +651,19 @@ def test_toxicity_on_tables(spark, docs, none):
     assert toxicity.fit(frame, flipped) == weights  # labels that are held out teach nothing
     assert toxicity.scored(docs, weights).count() == len(corpus()) and toxicity.scored(none, weights).count() == 0
     assert list(toxicity.fit(frame, labels.limit(0))) == [""]
+
+
+def test_levels_of_long_texts_cost_little():
+    from quillmesh.llm.ngram_join import Levels
+
+    looked, tail = [], Levels._tail
+    levels = Levels(80)
+    levels._tail = lambda *a: looked.append(a) or tail(*a)
+    levels.of(20_000)
+    assert len(looked) < 2_000
+    for low, high, (groups, extra) in zip(levels.starts, levels.starts[1:], levels.groups):
+        differ = (high - 1 + 100 * (high - 1) // 80) * 20 // 180
+        if 0 < differ < 200:
+            chance = [tail(low, differ + 1 + e, e) for e in range(differ + 6)]
+            want = next((e for e, c in enumerate(chance) if c <= levels.miss), chance.index(min(chance)))
+            assert (groups, extra) == (differ + 1 + want, want)
